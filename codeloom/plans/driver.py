@@ -1,0 +1,4 @@
+"""Queries over the driver's tables."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
