@@ -167,7 +167,7 @@ def assemble(views: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
         pdf = pdf.sort_values("seq")
         first = pdf.iloc[0]
         chosen = choose_views(pdf[numbers].to_dict("records"), int(first["remaining"]), int(first["max_symbol_tokens"]))
-        out = pd.DataFrame(chosen, columns=["seq", "mode"])
+        out = pd.DataFrame(chosen, columns=["seq", "mode"], dtype="object")
         for k in keys:
             out[k] = first[k]
         return out[[*keys, "seq", "mode"]]

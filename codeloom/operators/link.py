@@ -128,6 +128,17 @@ def export_table(keys: list[str], files: DataFrame, tops: DataFrame, symbols: Da
     return table
 
 
+def method_of(df: DataFrame, children: DataFrame, extends: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Adds method_gid to rows with owner and member: the child (keys, owner, member, gid) of the class itself, or else of
+    the class that it extends (keys, owner, super). One level is inherited, no more."""
+    out = df.join(children.withColumnRenamed("gid", "own_gid"), [*keys, "owner", "member"], "left")
+    if extends is None:
+        return out.withColumnRenamed("own_gid", "method_gid")
+    out = out.join(extends, [*keys, "owner"], "left")
+    above = children.select(*keys, F.col("owner").alias("super"), "member", F.col("gid").alias("super_gid"))
+    return out.join(above, [*keys, "super", "member"], "left").withColumn("method_gid", F.coalesce("own_gid", "super_gid"))
+
+
 def link(files: DataFrame, keys: list[str] | None = None) -> Graph:
     """The graph of every repository in (keys, path, parse). Heritage is linked before calls, since an inherited method is
     found through the class's first ``extends`` edge."""
@@ -170,13 +181,7 @@ def link(files: DataFrame, keys: list[str] | None = None) -> Graph:
         return out.withColumn("dst", F.when(F.col("member").isNull(), F.col("base")).otherwise(member))
 
     def method(df: DataFrame, extends: DataFrame | None) -> DataFrame:
-        """Adds method_gid, the member of owner, or else of the class that owner extends."""
-        out = df.join(children.withColumnRenamed("gid", "own_gid"), [*keys, "owner", "member"], "left")
-        if extends is None:
-            return out.withColumnRenamed("own_gid", "method_gid")
-        out = out.join(extends, [*keys, "owner"], "left")
-        above = children.select(*keys, F.col("owner").alias("super"), "member", F.col("gid").alias("super_gid"))
-        return out.join(above, [*keys, "super", "member"], "left").withColumn("method_gid", F.coalesce("own_gid", "super_gid"))
+        return method_of(df, children, extends, keys)
 
     heritage = files.select(*keys, "path", F.posexplode("parse.heritage").alias("i", "e")).select(*keys, "path", "i", F.col("e.from").alias("id"), "e.name", "e.kind")
     sources = symbols.select(*keys, "path", "id", F.col("gid").alias("src"), "class_gid")
