@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, pick, with_row_key
@@ -133,6 +135,75 @@ def _verifier(n: int, percent: int):
     return run
 
 
+def promising(pairs: DataFrame, heads: DataFrame, percent: int, perms: int, bits: int, least: float) -> DataFrame:
+    """The pairs whose sizes allow the similarity and whose signatures are estimated at ``least`` or above."""
+    side = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("packed").alias(f"p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return checkpoint(both.filter(agreement(F.col("pa"), F.col("pb"), perms, bits) >= least).select("a", "b"))
+
+
+def _setter(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in steps(batch.column("text")):
+                value, counts = shingles(step, n)
+                part = batch.slice(step.first, step.n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), lists], names=["node", "n", "set"])
+
+    return run
+
+
+class Near(NamedTuple):
+    """What the second and third round work on: texts that share a bucket with another component."""
+
+    sets: DataFrame  #: (node, set)
+    facts: DataFrame  #: (node, n, own): sizes, and how many shingles no other of these texts has
+    first: DataFrame  #: (t, node, place): the shingles by which a text can be found, and their places in its order
+
+
+def rare_first(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Near:
+    """Counts the shingles of ``open_`` (node, n) among these texts and puts each set in one order, rarest first. Sets that
+    are similar enough share a shingle among the first n - ceil(n * percent / 100) + 1 of each. Shingles of a single text
+    take places, but lead nowhere and are not joined."""
+    sent = F.broadcast(open_) if open_.count() <= PAIRS_SENT else open_
+    sets = checkpoint(texts.join(sent, "node").mapInArrow(_setter(n), "node long, n long, set array<long>"))
+    single = sets.select("node", "n", F.explode("set").alias("t"))
+    common = single.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = single.join(common, "t")
+    mine = W.partitionBy("node")
+    own = F.col("n") - F.count(F.lit(1)).over(mine)
+    placed = known.withColumn("own", own).withColumn("place", F.col("own") + F.row_number().over(mine.orderBy("df", "t")))
+    first = checkpoint(placed.filter(f"place <= n - (n * {percent} + 99) div 100 + 1").select("t", "node", "own", "place"))
+    known = first.groupBy("node").agg(F.max("own").alias("own"))
+    # texts that are not found have too many shingles of their own to be like any other
+    facts = sets.select("node", "n").join(known, "node")
+    return Near(sets.select("node", "set"), checkpoint(facts), first.select("t", "node", "place"))
+
+
+def prefix_pairs(near: Near, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of texts with different roots that can meet the threshold: those that share one of their first
+    shingles, early enough in both orders for what follows it to be shared as well. Shingles found under one root only are
+    left out first, so a large component is not joined with itself."""
+    rooted = near.facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = near.first.join(rooted, "node")
+    split = first.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("t")
+    first = checkpoint(first.join(split, "t", "left_semi"))
+    x, y = first.alias("x"), first.alias("y")
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.root") < F.col("y.root")) & fits)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, near: Near, percent: int) -> DataFrame:
+    """The pairs whose sets meet the threshold, where the sets are at hand."""
+    held = pairs.join(near.sets.toDF("a", "sa"), "a").join(near.sets.toDF("b", "sb"), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return held.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold. Texts (node, text) meet their pairs by two equi-joins;
     up to PAIRS_SENT pairs, which are counted first, go to the texts instead of all texts being dealt out."""
@@ -149,12 +220,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     kept marks it. Texts without words, null ones too, have empty sets and are linked with nothing. Of rows that repeat
     an id all are kept or none; null ids are components of their own (null) and kept.
 
-    Equal sets are one node from the start, so copies are never paired. Band keys then give candidates in two rounds,
-    neither of which forms all pairs of a bucket. First each member is paired with one center per bucket (first in an
-    order that differs by band, so that a group has many centers), pairs are confirmed on full sets, and links joined to
-    components. Then only members of one bucket in different components are compared, by their packed signatures
-    inside the join; those estimated near the threshold or above are confirmed as well. The number of bands makes the
-    chance to miss a pair at the threshold 1e-8, and an estimate is trusted to six standard deviations.
+    Equal sets are one node from the start, so copies are never paired. Band keys then give candidates; those whose packed
+    signatures put them near the threshold or above are confirmed on full sets. Not all pairs of a bucket are formed:
+
+    1. Each member is paired with one center per bucket, the first in an order that differs by band; links are joined to
+       components.
+    2. In buckets with several components, each member is paired with the text that has fewest shingles of its own, which
+       in a group of changed copies is the one nearest to the original.
+    3. What could be missing then is links between components that share a bucket. A prefix filter finds all pairs of
+       their members that can be similar: texts that share none of their rarest shingles cannot, nor can those whose
+       first common one comes too late in either.
+
+    The number of bands makes the chance to share none at the threshold 1e-8, and an estimate is trusted to six standard
+    deviations.
     """
     bands = n_bands(percent / 100, rows)
     perms = bands * rows
@@ -175,22 +253,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     centers = centers.select("band", "hash", F.col("c").bitwiseXOR(turn).alias("center"))
     star = buckets.join(centers, ["band", "hash"]).filter("node <> center")
     star = checkpoint(star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct())
-    links = checkpoint(verify(star, texts, n, percent))
+    least = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / perms)
+    links = checkpoint(verify(promising(star, heads, percent, perms, bits, least), texts, n, percent))
     parts = components(links)
 
-    placed = heads.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = placed.select("node", "root", "n", "bands", "packed")
-    by_band = placed.select("node", "root", F.posexplode("bands").alias("band", "hash"))
+    placed = heads.select("node", "n", "bands").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_band = placed.select("node", "root", "n", F.posexplode("bands").alias("band", "hash"))
     mixed = by_band.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "hash")
-    open_ = by_band.join(mixed, ["band", "hash"], "left_semi")
-    tagged = checkpoint(open_.join(placed.select("node", "n", "packed"), "node"))
-    least = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / perms)
-    x, y = tagged.alias("x"), tagged.alias("y")
-    small, large = F.least(F.col("x.n"), F.col("y.n")), F.greatest(F.col("x.n"), F.col("y.n"))
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.root") < F.col("y.root")) & (100 * small >= percent * large)
-    near &= agreement(F.col("x.packed"), F.col("y.packed"), perms, bits) >= least
-    cross = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = verify(checkpoint(cross.join(star, ["a", "b"], "left_anti")), texts, n, percent)
+    meeting = by_band.join(mixed, ["band", "hash"], "left_semi")
+    near = rare_first(checkpoint(meeting.select("node", "n").distinct()), texts, n, percent)
+    told = checkpoint(meeting.select("node", "root", "band", "hash").join(near.facts.select("node", "own"), "node"))
+    middle = told.groupBy("band", "hash").agg(F.min(F.struct("own", "node")).alias("m")).select("band", "hash", F.col("m.node").alias("center"))
+    again = told.join(middle, ["band", "hash"]).filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    again = checkpoint(again.join(star, ["a", "b"], "left_anti"))
+    links = checkpoint(links.unionByName(confirmed(promising(again, heads, percent, perms, bits, least), near, percent)))
+    cross = prefix_pairs(near, components(links), percent).join(star, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
+    more = confirmed(promising(checkpoint(cross), heads, percent, perms, bits, least), near, percent)
     groups = components(links.unionByName(more))
 
     classes = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
