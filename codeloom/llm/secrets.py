@@ -80,11 +80,12 @@ def linked_spans(text: str, strong: list[tuple[int, str, int]], reach: int = REA
     strong_keys = [(s, e) for s, k, e in strong if k != "access"]
     if not (ids and (weak or strong_keys)) and not (weak and strong_ids) and not (strong_ids and strong_keys):
         return []
-    breaks = [m.start() for m in BREAK.finditer(text)]
+    breaks = [(m.start(), m.end()) for m in BREAK.finditer(text)]
+    first = [s for s, _ in breaks]
 
     def bounds(s: int, e: int) -> tuple[int, int]:
-        at = bisect_left(breaks, s)
-        low, high = breaks[at - 1] if at else 0, breaks[at] if at < len(breaks) else len(text)
+        at = bisect_left(first, s)
+        low, high = breaks[at - 1][1] if at else 0, first[at] if at < len(breaks) else len(text)
         return max(low, s - reach), min(high, e + reach)
 
     all_ids, all_keys = Intervals(strong_ids + ids), Intervals(strong_keys + weak)
