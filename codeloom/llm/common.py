@@ -23,6 +23,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"__c{have.index(n)}").alias(n) for n in names])
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """mapInArrow with a function that keeps the columns, whatever their names."""
+    plain = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def ascii_lower(column):
     """A-Z lower-cased, all else unchanged. Pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))

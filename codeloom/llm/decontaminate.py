@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, with_row_key
+from .common import map_rows, pick, with_row_key
 from .textscan import LOWER, WORD_CHAR, Step, pair, steps, word_hashes, words
 
 #: Words of benchmark text that one broadcast holds; more are searched block by block.
@@ -222,6 +222,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                     bad[step.first + found.doc[where]] = True
             yield batch.filter(pa.array(~bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
