@@ -89,7 +89,7 @@ def export_table(keys: list[str], files: DataFrame, tops: DataFrame, symbols: Da
 
     For a name the options are, in order: the symbol or import that an export clause names, the exported declaration, and
     the re-exports in the order of the file. A named re-export from a known file ends the list even if it leads nowhere.
-    Each round takes the best option given what the last round found, so a chain of eight re-exports needs nine rounds;
+    Each round takes the best option given what the last round found, so a chain of eight re-exports needs eight rounds;
     results don't depend on where a cycle is entered. Rounds stop as soon as nothing changes.
     """
     module_of = symbols.filter("id = 0").select(*keys, F.col("path").alias("target"), F.col("gid").alias("target_gid"))
@@ -116,7 +116,7 @@ def export_table(keys: list[str], files: DataFrame, tops: DataFrame, symbols: Da
     table, before = checkpoint(best(ends)), None
     if passed.isEmpty() and stars.isEmpty():
         return table
-    for _ in range(MOST_REEXPORTS + 1):
+    for _ in range(MOST_REEXPORTS):
         there = table.select(*keys, F.col("path").alias("target"), F.col("name").alias("imported"), "gid")
         by_name = passed.join(there, [*keys, "target", "imported"]).select(*keys, "path", "name", "rank", "gid")
         by_star = stars.join(there, [*keys, "target"]).filter("imported <> 'default'").select(*keys, "path", F.col("imported").alias("name"), "rank", "gid")
