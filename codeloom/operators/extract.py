@@ -166,6 +166,7 @@ class _Reader:
             while self.at("|", "&", "keyof", "typeof", "readonly", "infer", "unique", "asserts", "new", "abstract", "-", "+") and self.lex.next():
                 pass
             token = self.lex.peek()
+            parameters = token.kind == "op" and token.text == "("  # of a function type, if an arrow follows
             if token.kind == "op" and token.text in _CLOSE:
                 self.skip_balanced()
             elif token.text == "<":
@@ -191,7 +192,7 @@ class _Reader:
                     self.lex.next()
                 else:
                     break
-            if self.at("|", "&", "=>", "?") or self.at("extends", "is") and not self.lex.peek().newline:
+            if self.at("|", "&", "?") or self.at("=>") and parameters or self.at("extends", "is") and not self.lex.peek().newline:
                 self.lex.next()
             elif self.at(":") and self._conditional():
                 self.lex.next()
