@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import map_rows, pick
 from .textscan import LOWER, NOT_SPACE, Step, mix, steps, words
 
 #: Hashed places of letter trigrams; the model has this many counts per language, whatever the corpus.
@@ -19,8 +19,8 @@ PLACES = 1 << 16
 SWITCH = 8.0
 #: A language is written in the scripts that make up this share of its training letters.
 SCRIPT_SHARE = 0.01
-#: Word scores (words times languages) that one Viterbi pass holds.
-CELLS = 16_000_000
+#: Word scores (words times languages) that one Viterbi pass holds, and bytes of text that are scored at once.
+CELLS, BYTES = 4_000_000, 1 << 19
 
 # Scripts by the first byte of their UTF-8 letters (0: no letter). 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian,
 # 5 Hebrew, 6 Arabic, 7 South and Southeast Asian, 8 Georgian and Ethiopic, 9 Han and kana, 10 Hangul, 11 others.
@@ -135,7 +135,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
             coded = batch.column(0).dictionary_encode()
             names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             sums = [counts.setdefault(x, np.zeros(width, np.int64)) for x in names]
-            for step in steps(batch.column(1)):
+            for step in steps(batch.column(1), BYTES):
                 s = scan(step)
                 lang = index[step.first : step.first + step.n]
                 of_word = lang[s.doc]
@@ -198,7 +198,7 @@ def label_batch(model: Model, column: pa.Array) -> list[tuple[str, float, list]]
         pending.clear()
 
     cells = 0
-    for step in steps(column):
+    for step in steps(column, BYTES):
         s = scan(step)
         pending.append((s, model.word_scores(s)))
         cells += len(s.doc) * n_lang
@@ -249,4 +249,4 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0, te
             found = label_batch(sent.value, batch.column(at))
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
