@@ -12,7 +12,7 @@ from .common import checkpoint, pick, with_row_key
 from .textscan import NOT_SPACE, steps, words
 
 #: Documents in a leaf of the tree and residuals that one inner node combines.
-LEAF, FAN_IN = 20_000, 64
+LEAF, FAN_IN = 2_000, 64
 #: Sources whose totals the driver solves for; the weights are a list that somebody wrote, so this is a check, not a cap.
 MOST_SOURCES = 1_000_000
 
