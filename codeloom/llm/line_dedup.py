@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, pick, with_row_key
+from .common import SPACES, ascii_lower, checkpoint, pick, with_row_key
 
 
 def line_key(line):
@@ -18,14 +18,14 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", min_chars: int = 10, m
 
     Lines travel as a 128-bit hash, never as text. Counting is by (document, hash) first, so a line repeated within a
     document counts once, and then by hash with partial sums: a line held by a third of all documents reaches its counter
-    as one row per task. The join that brings counts back has a single row per hash on one side, so adaptive execution can
-    split a hot hash on the other.
+    as one row per task. Both are written, so texts are read once; the join that brings counts back has a single row per
+    hash on one side and reads both sides from exchanges of its own, which adaptive execution splits where a hash is hot.
     """
     lines = docs.select("__key", F.col(id_col).alias("__id"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
     lines = lines.withColumn("k", line_key(F.col("line"))).filter(F.char_length("k") >= min_chars)
     held = lines.select("__key", "__id", "pos", F.xxhash64("k").alias("k1"), F.xxhash64(F.lit(1), F.col("k")).alias("k2"))
-    held = held.groupBy("k1", "k2", "__key", "__id").agg(F.collect_list("pos").alias("at"))
-    counts = held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("keeper")).filter(F.col("n") >= min_docs)
+    held = checkpoint(held.groupBy("k1", "k2", "__key", "__id").agg(F.collect_list("pos").alias("at")))
+    counts = checkpoint(held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("keeper")).filter(F.col("n") >= min_docs))
     lost = held.join(counts, ["k1", "k2"]).filter(F.col("__id").isNull() & F.col("keeper").isNotNull() | (F.col("__id") != F.col("keeper")))
     return lost.groupBy("__key").agg(F.flatten(F.collect_list("at")).alias("drop"))
 
