@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Words of a k-mer, slots of a signature, documents that are neighbours in one sort, bytes of text a task gets.
-K, SLOTS, RUN, TASK_BYTES = 3, 32, 2_000, 6_000_000
+K, SLOTS, RUN, TASK_BYTES = 3, 32, 250, 6_000_000
+#: Stretches whose order one window finds; the order of such groups is found by a window over groups.
+GROUP = 1_024
 #: Symbols are runs of other than ASCII white space, cut every so many code points, so that text without blanks has symbols too.
 SYMBOL = r"[^\x20\x09-\x0D]{1,12}"
 _PLACE = 23
@@ -59,8 +61,8 @@ def neighbours(docs: DataFrame, n_tasks: int | None = None) -> DataFrame:
     id (ties by the hash of the text, nulls last; after the last row the first).
 
     Rows are dealt out by stretches of the id range, and the following text is looked up within a stretch; only the first
-    text of each stretch crosses a border. A stretch is about RUN documents if ids are evenly spread; elsewhere it is
-    longer, which costs time but sorts and windows spill.
+    text of each stretch crosses a border. A stretch is about RUN documents if ids are evenly spread, few
+    enough for tasks to get equal shares of them; elsewhere it is longer, which costs time but sorts and windows spill.
     """
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("low"), F.max("__id").alias("high"), F.sum(F.octet_length("text")).alias("bytes")).first()
     low, high = stats["low"] or 0, stats["high"] or 0
@@ -72,10 +74,13 @@ def neighbours(docs: DataFrame, n_tasks: int | None = None) -> DataFrame:
     mine = W.partitionBy("run").orderBy(*order)
     ranked = dealt.withColumn("row", F.row_number().over(mine)).withColumn("next", F.lead("text").over(mine))
     heads = ranked.filter("row = 1").select(F.col("run").alias("to"), F.col("text").alias("head"))
-    runs = docs.select(run.alias("run")).distinct()
-    all_ = W.orderBy("run")  # a number per RUN documents, no texts
-    first = F.first("run").over(all_.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    border = runs.select("run", F.coalesce(F.lead("run").over(all_), first).alias("to")).join(heads, "to").select(F.col("run").alias("__run"), "head")
+    runs = docs.select(run.alias("run")).distinct().withColumn("group", F.floor(F.col("run") / GROUP))
+    groups = runs.groupBy("group").agg(F.min("run").alias("first"))
+    along = W.orderBy("group")  # a number per GROUP * RUN documents
+    start = F.first("first").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    groups = groups.select("group", F.coalesce(F.lead("first").over(along), start).alias("after"))
+    follow = runs.join(groups, "group").select("run", F.coalesce(F.lead("run").over(W.partitionBy("group").orderBy("run")), F.col("after")).alias("to"))
+    border = follow.join(heads, "to").select(F.col("run").alias("__run"), "head")
     return ranked.join(border, F.col("run") == F.col("__run"), "left").withColumn("last", F.col("next").isNull()).withColumn("next", F.coalesce("next", "head")).drop("__run", "head")
 
 
