@@ -41,7 +41,8 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
     counted = ids.first()
     if counted["n"] == counted["set"] and not again.take(1):
-        return df.withColumn(key, F.col(id_col).cast("long"))
+        # not null by type, or inner joins would filter by it and not read the same exchange as outer ones
+        return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     return df.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, with_row_key
+from .common import checkpoint, pick, with_row_key
 from .textscan import NOT_SPACE, Step, Words, inside_documents, mix, steps, windows, word_hashes, words
 
 
@@ -177,6 +177,55 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     return counted.groupBy("half", "held").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")).select(_pairs("held"), "mask")
 
 
+def _at_starts(length: int):
+    """Rows (__key, at, h1, h2) for the windows of ``length`` words at given starts, where they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.asarray(batch.column("__key").to_numpy(zero_copy_only=False), np.int64)
+            lists = batch.column("ats")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int32)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            for step in steps(batch.column("text")):
+                found = words(step, NOT_SPACE)
+                of = np.repeat(np.arange(step.n), np.diff(offsets[step.first : step.first + step.n + 1]))
+                at = flat[offsets[step.first] : offsets[step.first + step.n]].astype(np.int64)
+                fits = at + length <= found.counts[of]
+                of, at = of[fits], at[fits]
+                if len(at):
+                    first = found.firsts[of] + at
+                    both = [windows(word_hashes(step, found, seed=k), length)[first].view(np.int64) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[step.first + of]), pa.array(at.astype(np.int32)), *map(pa.array, both)], names=["__key", "at", "h1", "h2"])
+
+    return run
+
+
+def longest_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document with a repeated window (id, longest): the greatest of length, 2 * length, 4 * length, ... such that a
+    window of so many words that starts with a sampled repeated one starts elsewhere too.
+
+    Windows repeated at one length are extended to twice that length, and only they, until no candidates survive. Each
+    round counts hashes of 128 bits over what is left and writes its survivors. Long repeats hold many sampled starts;
+    one is the first window of each run that repeated_windows compares. Null texts and documents without repeats have no
+    row; rows alike in id and text share one."""
+    docs = with_row_key(pick(docs, id_col, text_col).toDF("__id", "text"), "__id")
+    starts = checkpoint(repeated_windows(docs, length).filter("mask & 1 = 1").select("__key", "at"))
+    out = starts.select("__key").distinct().withColumn("longest", F.lit(length))
+    size = length
+    while True:
+        size *= 2
+        held = starts.groupBy("__key").agg(F.collect_list("at").alias("ats"))
+        wins = docs.join(held, "__key").mapInArrow(_at_starts(size), "__key long, at int, h1 long, h2 long")
+        wins = checkpoint(wins)
+        again = wins.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        starts = checkpoint(wins.join(again, ["h1", "h2"], "left_semi").select("__key", "at"))
+        if starts.isEmpty():
+            break
+        out = out.unionByName(starts.select("__key").distinct().withColumn("longest", F.lit(size)))
+    longest = out.groupBy("__key").agg(F.max("longest").alias("longest"))
+    return docs.select("__key", F.col("__id").alias(id_col)).distinct().join(longest, "__key").drop("__key")
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
