@@ -14,7 +14,8 @@ from .textscan import LOWER, WORD_CHAR, Step, pair, steps, word_hashes, words
 
 #: Words of benchmark text that one broadcast holds; more are searched block by block.
 BLOCK_WORDS = 4_000_000
-SCHEMA = "__key long, __id long, n_words long, hits array<int>, items array<string>, longest int"
+MATCH = "array<struct<at:int,words:int,item:string>>"
+SCHEMA = f"__key long, __id long, n_words long, hits array<int>, items array<string>, matches {MATCH}"
 
 
 class Tests:
@@ -40,7 +41,6 @@ class Tests:
         size = np.minimum(self.counts[self.item], window)
         self.starts = np.flatnonzero(left >= size)
         self.sizes = size[self.starts]
-        self.owner = self.item[self.starts]
         self.window = window
         self.head = int(min(3, self.sizes.min())) if len(self.sizes) else 1
         self.heads = np.unique(_span(self.words, self.starts, self.head))
@@ -50,10 +50,10 @@ class Tests:
             mine = self.sizes == n
             keys = _rows(self.words, self.starts[mine], int(n))
             order = np.lexsort(keys.T[::-1])
-            keys, owner = keys[order], self.owner[mine][order]
+            keys, starts = keys[order], self.starts[mine][order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-            self.by_size.append((int(n), keys[new], np.flatnonzero(new), owner))
+            self.by_size.append((int(n), keys[new], np.append(np.flatnonzero(new), len(keys)), starts))
 
 
 def _span(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -85,13 +85,33 @@ def _search(columns: list, n: int, key: np.ndarray, low: int, high: int) -> tupl
     return low, high
 
 
+def extended(windows: dict[int, np.ndarray], size: int, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, words, test word) of the longest verbatim matches, from the test windows found at each training word: a
+    match goes on as long as the next window on both sides does."""
+    out, open_ = [], {}
+    for p in sorted(windows):
+        after = {}
+        if p - 1 in windows and doc[p - 1] == doc[p]:
+            before = open_
+        else:
+            out += [(q, n + size - 1, t) for t, (q, n) in open_.items()]
+            before = {}
+        for t in windows[p].tolist():
+            q, n = before.pop(t - 1, (p, 0))
+            after[t] = (q, n + 1)
+        # what did not go on has ended: test words are kept as of their last window
+        out += [(q, n + size - 1, t) for t, (q, n) in before.items()]
+        open_ = after
+    out += [(q, n + size - 1, t) for t, (q, n) in open_.items()]
+    return [(q, n, t - (n - size)) for q, n, t in out]
+
+
 def scan(step: Step, tests: Tests):
-    """Hits of a shard: per document its word count, hit words, items and the longest verbatim match in words."""
+    """The words of a shard, which of them are hit, and the longest verbatim matches as (start, words, item)."""
     found = words(step, WORD_CHAR)
     hashes = word_hashes(step, found, LOWER)
     hit = np.zeros(len(hashes) + 1, np.int64)
-    items: dict[int, set] = {}
-    longest = np.zeros(step.n, np.int32)
+    matches: list[tuple[int, int, int]] = []
     if len(hashes) >= tests.head and len(tests.starts):
         n = len(hashes) - tests.head + 1
         ends = found.firsts[1:][found.doc]
@@ -103,10 +123,10 @@ def scan(step: Step, tests: Tests):
         if len(at):
             order, columns = suffix_array(hashes, ends[at], at, tests.window)
             at, columns = at[order], [c[order] for c in columns]
-            for size, keys, first, owner in tests.by_size:
-                bounds = np.append(first, len(owner))
+            for size, keys, first, starts in tests.by_size:
                 low = np.searchsorted(columns[0], keys[:, 0], "left")
                 high = np.searchsorted(columns[0], keys[:, 0], "right")
+                seen: dict[int, np.ndarray] = {}
                 for k in np.flatnonzero(high > low):
                     a, b = _search(columns, size, keys[k], int(low[k]), int(high[k]))
                     if a == b:
@@ -114,43 +134,32 @@ def scan(step: Step, tests: Tests):
                     where = at[a:b]
                     np.add.at(hit, where, 1)
                     np.add.at(hit, where + size, -1)
-                    own = set(owner[bounds[k] : bounds[k + 1]].tolist())
-                    for d in np.unique(found.doc[where]).tolist():
-                        items.setdefault(d, set()).update(own)
-    covered = np.cumsum(hit)[:-1] > 0
-    where = np.flatnonzero(covered)
-    if len(where):  # runs of hit words, cut at the documents' borders
-        cut = np.flatnonzero((np.diff(where) > 1) | (np.diff(found.doc[where]) > 0)) + 1
-        for run in np.split(where, cut):
-            d = int(found.doc[run[0]])
-            longest[d] = max(longest[d], len(run))
-    return found, where, items, longest
+                    seen |= dict.fromkeys(where.tolist(), starts[first[k] : first[k + 1]])
+                matches += [(q, n, int(tests.item[t])) for q, n, t in extended(seen, size, found.doc)]
+    return found, np.flatnonzero(np.cumsum(hit)[:-1] > 0), sorted(matches)
 
 
 def _scanner(tests: Tests):
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("item", pa.string())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, hits, items, longest = [], [], [], []
             for step in steps(batch.column("text")):
-                found, where, named, long = scan(step, tests)
-                n_words.append(found.counts)
-                longest.append(long)
+                found, where, matches = scan(step, tests)
                 by = np.searchsorted(where, found.firsts)
-                own = where - found.firsts[found.doc[where]]
-                for d in range(step.n):
-                    hits.append(own[by[d] : by[d + 1]].astype(np.int32))
-                    items.append(sorted(tests.ids[i] for i in named[d]) if d in named else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__key"),
-                    batch.column("__id"),
-                    pa.array(np.concatenate(n_words) if n_words else [], pa.int64()),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(np.concatenate(longest) if longest else [], pa.int32()),
-                ],
-                names=["__key", "__id", "n_words", "hits", "items", "longest"],
-            )
+                own = (where - found.firsts[found.doc[where]]).astype(np.int32)
+                hits = pa.ListArray.from_arrays(pa.array(by.astype(np.int32)), pa.array(own))
+                named: list[set] = [set() for _ in range(step.n)]
+                listed: list[list] = [[] for _ in range(step.n)]
+                for q, n, item in matches:
+                    d = int(found.doc[q])
+                    named[d].add(tests.ids[item])
+                    listed[d].append({"at": q - int(found.firsts[d]), "words": n, "item": tests.ids[item]})
+                part = batch.slice(step.first, step.n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("__key"), part.column("__id"), pa.array(found.counts, pa.int64()), hits, pa.array([sorted(x) for x in named], pa.list_(pa.string())), pa.array(listed, kind)],
+                    names=["__key", "__id", "n_words", "hits", "items", "matches"],
+                )
 
     return run
 
@@ -169,13 +178,14 @@ def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Tests]:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document (id, n_words, n_hit, items array<string>, contaminated, longest).
+    """Per document (id, n_words, n_hit, items array<string>, contaminated, matches, longest).
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. A window is ``window``
     consecutive words of an item, or the whole of a shorter item that has words. Each task sorts the suffixes of its
     shard of the training text, looks every test window up by binary search and marks all suffixes in the range found, so
-    no document moves. Only suffixes whose first words start some window take part; the others cannot match. ``longest``
-    is the longest run of hit words. Null texts have no words; an empty benchmark hits nothing. A benchmark over
+    no document moves. Only suffixes whose first words start some window take part; the others cannot match. matches
+    are the longest verbatim matches, (at, words, item) with the place counted in words, and longest is the longest of
+    them (0 for none). Null texts have no words; an empty benchmark hits nothing. A benchmark over
     ``block_words`` words is searched in blocks whose results are merged by document, so the broadcast stays bounded.
     """
     spark = docs.sparkSession
@@ -191,9 +201,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        found = found.groupBy("__key", "__id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("__n"))
+        found = found.groupBy("__key", "__id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("__n"))
         found = found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return found.select(F.col("__id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated"), "longest")
+    return found.select(F.col("__id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest"))
 
 
 def _deferred(sent):
@@ -218,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
             bad = np.zeros(batch.num_rows, bool)
             for sent in blocks:
                 for step in steps(batch.column(at)):
-                    found, where, _, _ = scan(step, sent.value)
+                    found, where, _ = scan(step, sent.value)
                     bad[step.first + found.doc[where]] = True
             yield batch.filter(pa.array(~bad))
 

@@ -92,6 +92,13 @@ def test_substrings(docs, texts, length):
     same(got, brute.substrings(texts, length))
 
 
+def test_longest_repeats(spark):
+    w = [f"u{i}" for i in range(600)]
+    texts = {1: " ".join(w[:300]), 2: " ".join(["x", *w[:300], "y"]), 3: " ".join(w[350:400] + ["z"]), 4: " ".join(w[350:400]), 5: " ".join(w[450:]), 6: None}
+    got = by_id(substring_dedup.longest_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "longest")
+    assert got == {1: (280,), 2: (280,), 3: (35,), 4: (35,)}
+
+
 def test_levels_double():
     assert substring_dedup.levels(35) == (9, 18, 35)
     assert substring_dedup.levels(64) == (16, 32, 64)
@@ -339,6 +346,14 @@ def test_contamination_in_blocks(spark, docs, texts):
     same({r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in found.collect()}, {i: v[:3] for i, v in brute.contamination(texts, plain).items()})
 
 
+def test_longest_verbatim_matches(spark):
+    w = [f"v{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(["a", "b", *w[5:30], "c", *w[40:52]])), (2, " ".join(w[3:12])), (3, " ".join(w[0:10] + w[0:10]))], "doc_id long, text string")
+    table = spark.createDataFrame([(7, " ".join(w[:50])), (8, " ".join(w[20:60])), (9, "v30 v31")], "item_id long, text string")
+    got = {r["doc_id"]: ([tuple(m) for m in r["matches"]], r["longest"]) for r in decontaminate.benchmark_hits(docs, table, 10).collect()}
+    assert got == {1: ([(2, 25, "7"), (17, 10, "8"), (28, 10, "7"), (28, 12, "8")], 25), 2: ([], 0), 3: ([(0, 10, "7"), (10, 10, "7")], 10)}
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
