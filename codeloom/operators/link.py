@@ -51,7 +51,8 @@ def candidates(base: Column) -> Column:
 def resolve_modules(wanted: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, source, target) for the distinct (keys, path, source) whose specifier is relative and found."""
     relative = wanted.select(*keys, "path", "source").distinct().filter(F.col("source").startswith("."))
-    options = relative.select(*keys, "path", "source", F.posexplode(candidates(joined_path(F.col("path"), F.col("source")))).alias("rank", "target"))
+    based = relative.withColumn("__base", joined_path(F.col("path"), F.col("source")))  # a column, as it is used many times
+    options = based.select(*keys, "path", "source", F.posexplode(candidates(F.col("__base"))).alias("rank", "target"))
     found = options.join(files.select(*keys, F.col("path").alias("target")), [*keys, "target"])
     return found.groupBy(*keys, "path", "source").agg(F.min_by("target", "rank").alias("target"))
 

@@ -319,7 +319,7 @@ def q_link_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT conv_id, count(*) FILTER (role = 'user') AS n_add, count(*) FILTER (role = 'assistant') AS n_del, count(*) FILTER (role NOT IN ('user', 'assistant')) AS n_context,
-        count(*) FILTER (role <> 'assistant') AS last_new, min(CASE WHEN role = 'user' THEN n END) AS first_added
+        count(*) FILTER (role <> 'assistant') AS last_new, min(CASE WHEN role = 'user' THEN n END)::BIGINT AS first_added
     FROM (SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS n FROM conversations) GROUP BY conv_id""")
 def q_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -329,7 +329,7 @@ def q_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit('diff --git "a/talk '), "conv_id", F.lit('.md" "b/talk '), "conv_id", F.lit('.md"\n--- /dev/null\n+++ "b/talk.md"\n@@ -1,'), "old", F.lit(" +1,"), "new", F.lit(" @@\n"))
     lines = diff.diff_lines(diff.diff_files(made.select("conv_id", F.concat(head, "b").alias("diff")), keys=("conv_id",)), ("conv_id",))
     is_ = lambda t: F.count_if(F.col("type") == t)
-    first = F.min(F.when(F.col("type") == "add", F.col("new_line"))).cast("decimal(38,0)")
+    first = F.min(F.when(F.col("type") == "add", F.col("new_line"))).cast("long")
     return lines.groupBy("conv_id").agg(is_("add").alias("n_add"), is_("del").alias("n_del"), is_("context").alias("n_context"), F.coalesce(F.max("new_line"), F.lit(0)).cast("long").alias("last_new"), first.alias("first_added"))
 
 
