@@ -20,7 +20,7 @@ EDGE_KINDS = ("calls", "imports", "extends", "implements")
 
 class Graph(NamedTuple):
     """symbols (keys, gid, path, id, name, qualified_name, kind, start_line, end_line, signature, exported, parent_gid,
-    module_gid, class_gid); edges (keys, src, dst, kind, seq); call_sites (keys, path, line, src, dst, seq); stats per
+    module_gid, class_gid); edges (keys, src, dst, kind, seq), seq being what they are ordered by; call_sites (keys, path, line, src, dst, seq); stats per
     repository."""
 
     symbols: DataFrame
@@ -199,15 +199,18 @@ def link(files: DataFrame, keys: list[str] | None = None) -> Graph:
     sites = checkpoint(on_this.unionByName(others).filter("dst is not null"))
     by_call = sites.select(*keys, "src", "dst", F.lit("calls").alias("kind"), F.struct(F.lit(1).alias("phase"), "path", F.lit(0).alias("part"), "i").alias("at"))
 
-    edges = checkpoint(distinct_edges(by_import.unionByName(by_heritage).unionByName(by_call), keys))
+    edges = checkpoint(distinct_edges(by_import.unionByName(by_heritage).unionByName(by_call), keys, dense=False))
     stats = graph_stats(files, symbols, edges, linked_imports, sites, keys)
     return Graph(symbols, edges, sites.withColumnRenamed("i", "seq"), stats)
 
 
-def distinct_edges(edges: DataFrame, keys: list[str], order: str = "at") -> DataFrame:
-    """Each (src, dst, kind) once, at its first place, without loops; seq numbers them in that order per repository."""
-    once = edges.filter("src <> dst").groupBy(*keys, "src", "dst", "kind").agg(F.min(order).alias("__at"))
-    return once.withColumn("seq", F.row_number().over(W.partitionBy(*keys).orderBy("__at", "src", "dst", "kind")) - 1).drop("__at")
+def distinct_edges(edges: DataFrame, keys: list[str], order: str = "at", dense: bool = True) -> DataFrame:
+    """Each (src, dst, kind) once, at its first place, without loops. seq tells their order: numbers from 0 per repository,
+    or, if not ``dense``, the place itself, which needs no window over a whole repository."""
+    once = edges.filter("src <> dst").groupBy(*keys, "src", "dst", "kind").agg(F.min(order).alias("seq"))
+    if not dense:
+        return once
+    return once.withColumn("seq", F.row_number().over(W.partitionBy(*keys).orderBy("seq", "src", "dst", "kind")) - 1)
 
 
 def graph_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, linked_imports: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
