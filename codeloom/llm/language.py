@@ -20,7 +20,7 @@ SWITCH = 8.0
 #: A language is written in the scripts that make up this share of its training letters.
 SCRIPT_SHARE = 0.01
 #: Word scores (words times languages) that one Viterbi pass holds, and bytes of text that are scored at once.
-CELLS, BYTES = 4_000_000, 1 << 19
+CELLS, BYTES = 3_000_000, 1 << 19
 
 # Scripts by the first byte of their UTF-8 letters (0: no letter). 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian,
 # 5 Hebrew, 6 Arabic, 7 South and Southeast Asian, 8 Georgian and Ethiopic, 9 Han and kana, 10 Hangul, 11 others.
@@ -168,16 +168,15 @@ def label_batch(model: Model, column: pa.Array) -> list[tuple[str, float, list]]
     """(language, score, spans) of each text of a batch."""
     out: list = []
     n_lang = len(model.langs)
-    pending: list[tuple[Scan, np.ndarray]] = []
+    pending: list[tuple[np.ndarray, ...]] = []  # per step: word offsets of texts, letters, whether a language may be told, scores
 
     def flush() -> None:
         if not pending:
             return
-        scores = np.concatenate([x for _, x in pending])
-        shift = np.cumsum([0, *(len(x) for _, x in pending)])
-        firsts = np.concatenate([[0], *(s.firsts[1:] + o for (s, _), o in zip(pending, shift, strict=False))])
-        letters = np.concatenate([s.letters for s, _ in pending])
-        known = np.concatenate([model.allowed[s.script].any(axis=1) & (s.letters > 0) for s, _ in pending])
+        shift = np.cumsum([0, *(len(p[1]) for p in pending)])
+        firsts = np.concatenate([[0], *(p[0][1:] + o for p, o in zip(pending, shift, strict=False))])
+        letters, known, scores = (np.concatenate([p[i] for p in pending]) for i in (1, 2, 3))
+        pending.clear()
         labels = viterbi(scores, firsts)
         n_docs = len(firsts) - 1
         doc = np.repeat(np.arange(n_docs), np.diff(firsts))
@@ -195,12 +194,12 @@ def label_batch(model: Model, column: pa.Array) -> list[tuple[str, float, list]]
             best = int(votes[d].argmax()) if votes[d].any() else model.best_prior
             spans = [(int(run[i] - firsts[d]), int(stop[i] - firsts[d]), model.langs[labels[run[i]]]) for i in range(by[d], by[d + 1])]
             out.append((model.langs[best], float(votes[d, best] / total[d]), spans))
-        pending.clear()
 
     cells = 0
     for step in steps(column, BYTES):
         s = scan(step)
-        pending.append((s, model.word_scores(s)))
+        known = model.allowed[s.script].any(axis=1) & (s.letters > 0)
+        pending.append((s.firsts, s.letters.astype(np.int32), known, model.word_scores(s)))
         cells += len(s.doc) * n_lang
         if cells >= CELLS:
             flush()

@@ -8,6 +8,7 @@ class used by the operators treats all bytes from 0x80 on alike.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -74,8 +75,18 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: idle Python workers would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[Step]:
-    """Cuts a column into runs of whole documents of about ``most`` bytes."""
+    """Cuts a column into runs of whole documents of about ``most`` bytes. After a large one memory is released."""
     n = len(column)
     if n == 0:
         return
@@ -87,6 +98,8 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[Step]:
         low, high = int(offsets[at]), int(offsets[to])
         yield Step(at, to - at, data[low:high], offsets[at : to + 1] - low)
         at = to
+    if offsets[n] - offsets[0] > 2 * STEP_BYTES:
+        release()
 
 
 def words(step: Step, inside: np.ndarray) -> Words:
