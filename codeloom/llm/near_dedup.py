@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, pick, with_row_key
+from .common import checkpoint, components, pick, settle, with_row_key
 from .textscan import LOWER, NOT_SPACE, Step, keys, mix, steps, windows, word_hashes, words
 
 #: Chance that a pair at exactly the threshold shares no band.
@@ -267,9 +267,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     again = told.join(middle, ["band", "hash"]).filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     again = checkpoint(again.join(star, ["a", "b"], "left_anti"))
     links = checkpoint(links.unionByName(confirmed(promising(again, heads, percent, perms, bits, least), near, percent)))
+    settle(docs.sparkSession)
     cross = prefix_pairs(near, components(links), percent).join(star, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     more = confirmed(promising(checkpoint(cross), heads, percent, perms, bits, least), near, percent)
-    groups = components(links.unionByName(more))
+    links = checkpoint(links.unionByName(more))
+    settle(docs.sparkSession)
+    groups = components(links)
 
     classes = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
