@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, pick
 
-#: Labelled URLs that the trees are fitted on: those with the smallest hashes, so the sample doesn't depend on partitions.
+#: Labelled URLs that the trees are fitted on at most, drawn by their hash, so that the sample doesn't depend on partitions.
 SAMPLE = 50_000
 ROUNDS, DEPTH, BINS, RATE = 40, 3, 32, 0.2
 
@@ -161,7 +161,10 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocked = [r for v, r in rules if v == "block"]
     labelled = judged.filter("rule is not null").select("url", F.col("rule").isin(blocked).cast("int").alias("y"))
-    rows = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    # tasks send their share of the sample, not as much as the whole of it
+    n = labelled.count()
+    part = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
+    rows = labelled.filter(part).distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
     model = train([r["url"] for r in rows], np.array([r["y"] for r in rows], float))
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
