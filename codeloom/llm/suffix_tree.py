@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -12,14 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick, with_row_key
-from .textscan import LOWER, NOT_SPACE, Step, steps, word_hashes, words
+from .common import checkpoint, pick, settle, with_row_key
+from .textscan import LOWER, NOT_SPACE, Step, mix, steps, word_hashes, words
 
 #: The token that ends every text; its hash stands for no word.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Smallest shares of all tokens: of a context, of a next symbol that a context tells apart, of a word that is sent to the
-#: tasks with its count. No more than 1 / share of each can exist, which bounds everything that is broadcast.
-CONTEXT, NEXT, SENT = 1e-4, 1e-5, 1e-6
+#: Least occurrences of a context and of a next word that it tells apart, at every size of the corpus.
+LEAST_CONTEXT, LEAST_NEXT = 10, 2
+#: Share of all tokens of a word whose count is sent to the tasks, and states and entries sent to them, the most frequent
+#: ones first. The others are joined: neither bound changes a result.
+SENT, HEAD = 1e-6, 1_000_000
+#: 64-bit words of the filters of live grams that are sent to the tasks. They only spare rows that joins would drop.
+FILTER = 1 << 20
 DEPTH, DISCOUNT = 3, 0.5
 
 
@@ -41,19 +45,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree(NamedTuple):
-    """Nodes are contexts, 0 the empty one. Words that matter to the tree have small ids, in the order of their hashes."""
+    """What is sent to the tasks. A context is the hash of its words, an entry that of a context's words and a next one."""
 
     total: int  #: training tokens
     vocabulary: int
     sent: np.ndarray  #: hashes of frequent words, sorted
     counts: np.ndarray
-    ids: np.ndarray  #: hashes with an id, sorted
-    parent: np.ndarray  #: the longest proper suffix kept, by node
-    loglam: np.ndarray  #: log10 of the share that a node leaves to its parent's distribution, scaled to what it doesn't tell apart
-    steps: list  #: per order, sorted keys (node of the shorter context's position in the trie) and the trie node reached
-    kept: np.ndarray  #: per trie node the tree node of its longest kept suffix
-    keys: np.ndarray  #: node * len(ids) + next word, sorted
-    logp: np.ndarray
+    contexts: np.ndarray  #: kept contexts of the head, sorted
+    parent: np.ndarray  #: the empty context, then of each of them the one without its furthest word
+    loglam: np.ndarray  #: log10 of the share that a context leaves to its suffix's distribution, scaled to what it doesn't tell apart
+    keys: np.ndarray  #: entries, sorted
+    gain: np.ndarray  #: log10 of the entry's probability over the next word's base probability
+    tail: np.ndarray  #: filter of the kept contexts that are not in the head; empty if there are none
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
@@ -67,161 +70,161 @@ def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-def trie_walk(ids: np.ndarray, first: np.ndarray, layers: list, depth: int) -> list[np.ndarray]:
-    """For each token and each order 1..depth the trie node of the preceding words, read backwards, or -1.
-
-    ``ids`` are word ids (-1: none), ``first`` the offset of each token in its text. Layer k maps (node of order k-1) *
-    n_ids + id of the word one further back to a node.
-    """
-    n_ids, out, node = layers[0], [], np.zeros(len(ids), np.int64)
-    for k in range(1, depth + 1):
-        back = np.full(len(ids), -1)
-        back[k:] = ids[:-k] if k < len(ids) else ids[:0]
-        back[first < k] = -1
-        keys, to = layers[k]
-        live = (node >= 0) & (back >= 0)
-        nxt = np.full(len(ids), -1)
-        got = find(keys, node[live] * n_ids + back[live])
-        nxt[live] = np.where(got >= 0, to[np.maximum(got, 0)] if len(to) else -1, -1)
-        node = nxt
-        out.append(node)
+def live_bits(rows: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the lowest bits of hashes, of fixed size: it passes all hashes of the column, and some others."""
+    low = rows.select((F.col(column).bitwiseAND(F.lit(64 * FILTER - 1))).alias("x"))
+    found = low.groupBy(F.shiftright("x", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER, np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _count_next(sent):
-    """Rows (key, n): how often a context of the current order, as trie node, is followed by a word with an id."""
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)
+    return (bits[at] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    return (x << np.uint64(17)) | (x >> np.uint64(47))
+
+
+def grams(value: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For tokens with k words before them in their text: places, hashes of these words, of the words after the first of
+    them with the token, and of all. Words are added to a hash in a way that columns can undo: turned(context) ^ word."""
+    if len(value) <= k:
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, none, none
+    own, short = np.flatnonzero(doc[:-k] == doc[k:]), value
+    for i in range(1, k):
+        short = turned(short[:-1]) ^ value[i:]
+    c = short[own]
+    return own + k, c, short[own + 1], turned(c) ^ value[own + k]
+
+
+def _count_grams(sent):
+    """Rows (g, c, n): an entry, its context, how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, layers, depth = sent.value
+        k, contexts, shorter = sent.value
         for batch in batches:
             parts = []
             for step in steps(batch.column(0)):
                 value, firsts = tokens(step)
-                own = find(ids, value)
-                first = np.arange(len(value)) - np.repeat(firsts[:-1], np.diff(firsts))
-                node = trie_walk(own, first, layers, depth)[-1]
-                live = (node >= 0) & (own >= 0)
-                parts.append(node[live] * len(ids) + own[live])
+                _, c, s, g = grams(value, np.repeat(np.arange(step.n), np.diff(firsts)), k)
+                live = passes(contexts, c) & passes(shorter, s)
+                parts.append((g[live], c[live]))
             if parts:
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                g, at, n = np.unique(g, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (g, c[at])), pa.array(n.astype(np.int64))], names=["g", "c", "n"])
 
     return run
 
 
-def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> Tree:
-    """The tree from counts over all training texts (one column, text).
+def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int) -> tuple[DataFrame, DataFrame]:
+    """Kept contexts (c, parent, nc, size, loglam) and their entries (g, c, gain), as tables, from counts over all training
+    texts (one column, text); ``words`` has their words (w, n).
 
-    Order by order: contexts that make up CONTEXT of all tokens are candidates, the words that follow them are counted in
-    one pass, and a context stays if its next-word distribution diverges from that of its longest kept suffix by more
-    than its parameters cost (likelihood ratio against their number times the logarithm of its count).
+    Order by order: words after contexts of LEAST_CONTEXT occurrences are counted, and a context stays if its next-word
+    distribution diverges from that of its longest kept suffix by more than its parameters cost (likelihood ratio against
+    their number times the logarithm of its count). An entry's words but the furthest are an entry of the order below,
+    which has the probability that the suffix gives; the words of a context are an entry there too, which has its count.
     """
-    spark = training.sparkSession
-    often = counts >= max(2.0, NEXT * total)
-    ids, id_counts = sent[often], counts[often].astype(float)
-    n_ids, end = len(ids), int(find(ids, np.array([END]))[0])
-    base = (id_counts + 0.1) / (total + 0.1 * (vocabulary + 1))
-    # trie of candidate contexts: node 0 is empty; order, count, node without the furthest-back word, last word added, suffix chain
-    node_count, node_words, kept_of, node_entries = [float(total)], [()], [0], [None]
-    parent, loglam, entries = [-1], [0.0], [{}]
-    layers: list = [max(n_ids, 1)]
-    frontier_words = np.flatnonzero((id_counts >= max(10.0, CONTEXT * total)) & (np.arange(n_ids) != end))
-    frontier = [((int(w),), float(id_counts[w])) for w in frontier_words]
-    index = {(): 0}
-
-    def prob(node: int, w: int) -> float:
-        scale = 1.0
-        while node > 0:
-            if w in entries[node]:
-                return scale * entries[node][w]
-            scale *= 10 ** loglam[node]
-            node = parent[node]
-        return scale * base[w]
-
-    for depth in range(1, DEPTH + 1):
-        if not frontier:
+    share = (F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1))
+    below = words.filter(F.col("n") >= LEAST_NEXT).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).alias("b"))
+    contexts, entries = [], []
+    for k in range(1, DEPTH + 1):
+        kept, below = _order(training, below, k)
+        contexts.append(kept)
+        entries.append(below.filter("c is not null").select("g", "c", (F.log10("p") - F.col("b")).alias("gain")))
+        settle(training.sparkSession)
+    return reduce(DataFrame.unionByName, contexts), reduce(DataFrame.unionByName, entries)
+
+
+def _order(training: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Kept contexts of k words, and the entries (g, s, n, p, b, c) after all of k words, c being null if it isn't kept."""
+    often = below.filter(F.col("n") >= LEAST_CONTEXT)
+    shared = training.sparkSession.sparkContext.broadcast((k, live_bits(often, "g"), live_bits(below, "g")))
+    rows = training.mapInArrow(_count_grams(shared), "g long, c long, n long").groupBy("g", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_NEXT)
+    rows = rows.join(often.select(F.col("g").alias("c"), F.col("n").alias("nc"), F.col("s").alias("parent")), "c")
+    turn = lambda x: F.shiftleft(x, 17).bitwiseOR(F.shiftrightunsigned(x, 47))
+    rows = rows.withColumn("s", turn("parent").bitwiseXOR(turn("c")).bitwiseXOR(F.col("g")))
+    rows = checkpoint(rows.join(below.select(F.col("g").alias("s"), F.col("p").alias("q"), "b"), "s"))
+    p = F.col("n") / F.col("nc")
+    sums = rows.groupBy("c").agg(F.first("parent").alias("parent"), F.first("nc").alias("nc"), F.count(F.lit(1)).alias("size"), F.sum(p).alias("p"), F.sum("q").alias("q"), F.sum(p * F.log(p / F.col("q"))).alias("far"))
+    rest_p, rest_q = (F.greatest(F.lit(1e-12), 1 - F.col(x)) for x in "pq")
+    gain = 2 * F.col("nc") * (F.col("far") + rest_p * F.log(rest_p / rest_q))
+    left = F.greatest(F.lit(1e-12), 1 - F.col("p") + DISCOUNT * F.col("size") / F.col("nc"))
+    kept = checkpoint(sums.filter(gain > (F.col("size") + 1) * F.log("nc")).select("c", "parent", "nc", "size", F.log10(left / rest_q).alias("loglam")))
+    smooth = (F.col("n") - DISCOUNT) / F.col("nc")
+    marked = rows.join(kept.select("c", F.lit(True).alias("kept")), "c", "left")
+    below = checkpoint(marked.select("g", "s", "n", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p"), "b", F.when(F.col("kept"), F.col("c")).alias("c")))
+    shared.unpersist()
+    return kept, below
+
+
+def send(contexts: DataFrame, entries: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, DataFrame, DataFrame]:
+    """The tree with the most frequent contexts, as many as HEAD allows with their entries, and tables of the others."""
+    least, room = 1 << 62, HEAD
+    by = contexts.groupBy(F.floor(F.log2("nc")).alias("e")).agg(F.sum(F.col("size") + 1).alias("n")).orderBy(F.desc("e")).collect()
+    for r in by:
+        room -= r["n"]
+        if room < 0:
             break
-        keys, to = [], []
-        for path, n in frontier:  # path: words from the nearest back
-            index[path] = len(node_count)
-            keys.append(index[path[:-1]] * n_ids + path[-1])
-            to.append(index[path])
-            node_count.append(n)
-            node_words.append(path)
-            kept_of.append(kept_of[index[path[:-1]]])
-            node_entries.append(None)
-        order = np.argsort(np.array(keys, np.int64))
-        layers.append((np.array(keys, np.int64)[order], np.array(to, np.int64)[order]))
-        shared = spark.sparkContext.broadcast((ids, layers, depth))
-        rows = training.mapInArrow(_count_next(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        rows = rows.filter(F.col("n") >= max(2.0, NEXT * total)).toPandas().sort_values("key")
-        node_of, word_of = rows["key"].to_numpy() // n_ids, rows["key"].to_numpy() % n_ids
-        frontier = []
-        cuts = np.flatnonzero(np.diff(node_of)) + 1
-        for mine in np.split(np.arange(len(rows)), cuts) if len(rows) else []:
-            trie = int(node_of[mine[0]])
-            n = node_count[trie]
-            ws, ns = word_of[mine].tolist(), rows["n"].to_numpy()[mine].astype(float)
-            above = kept_of[trie]
-            q = np.array([prob(above, w) for w in ws])
-            p = ns / n
-            rest_p, rest_q = max(1e-12, 1 - p.sum()), max(1e-12, 1 - q.sum())
-            gain = 2 * n * (float((p * np.log(p / q)).sum()) + rest_p * math.log(rest_p / rest_q))
-            if gain > (len(ws) + 1) * math.log(n):
-                tree = len(parent)
-                parent.append(above)
-                smooth = (ns - DISCOUNT) / n
-                entries.append(dict(zip(ws, smooth.tolist(), strict=True)))
-                loglam.append(math.log10(max(1e-12, 1 - smooth.sum()) / rest_q))
-                kept_of[trie] = tree
-            path = node_words[trie]
-            node_entries[trie] = dict(zip(ws, ns.tolist(), strict=True))
-        # contexts of the next order: a frequent pair or triple, read backwards, that ends in a context of this order
-        if depth < DEPTH:
-            for path, at in list(index.items()):
-                found = node_entries[at] if len(path) == depth else None
-                for w, n in (found or {}).items():
-                    if n >= max(10.0, CONTEXT * total) and w != end:
-                        longer = (w, *path)  # the words path then w, nearest first
-                        if longer[:-1] in index:
-                            frontier.append((longer, n))
-            frontier = [f for f in frontier if f[0][:-1] in index]
-    while len(layers) <= DEPTH:
-        layers.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    flat = sorted((node * max(n_ids, 1) + w, math.log10(p)) for node, e in enumerate(entries) for w, p in e.items())
-    table = np.array([k for k, _ in flat], np.int64), np.array([v for _, v in flat], float)
-    return Tree(total, vocabulary, sent, counts, ids, np.array(parent), np.array(loglam), layers, np.array(kept_of), *table)
+        least = 1 << r["e"]
+    rest = contexts.filter(F.col("nc") < least)
+    head = contexts.filter(F.col("nc") >= least)
+    own = head.select("c", "parent", "loglam").toArrow()
+    c = own["c"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(c)
+    told = entries.join(head.select("c"), "c", "left_semi").select("g", "gain").toArrow()
+    g = told["g"].to_numpy().astype(np.int64).view(np.uint64)
+    by_g = np.argsort(g)
+    tail = live_bits(rest, "c") if room < 0 else np.zeros(0, np.uint64)
+    parent = np.append(np.uint64(0), own["parent"].to_numpy().astype(np.int64).view(np.uint64)[order])
+    tree = Tree(total, vocabulary, sent, counts, c[order], parent, own["loglam"].to_numpy()[order].astype(float), g[by_g], told["gain"].to_numpy()[by_g].astype(float), tail)
+    return tree, rest, entries.join(rest.select("c"), "c", "left_semi")
+
+
+def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> Tree:
+    """The tree of texts (one column, text) all of whose words are sent."""
+    words = training.sparkSession.createDataFrame(pd.DataFrame({"w": sent.view(np.int64), "n": counts.astype(np.int64)}), "w long, n long")
+    return send(*states(training, words, total, vocabulary), total, vocabulary, sent, counts)[0]
+
+
+def lookups(value: np.ndarray, doc: np.ndarray, tree: Tree):
+    """Per order 1..DEPTH: places of tokens that have such a context, its hash, its position in the tree, the entry's hash
+    and position; and which tokens may have a context that is not in the tree."""
+    out, open_ = [], np.zeros(len(value), bool)
+    for k in range(1, DEPTH + 1):
+        at, c, _, g = grams(value, doc, k)
+        node = find(tree.contexts, c)
+        key = np.full(len(at), -1)
+        key[node >= 0] = find(tree.keys, g[node >= 0])
+        out.append((at, c, node, g, key))
+        if len(tree.tail):
+            open_[at[passes(tree.tail, c) & (node < 0)]] = True
+    return out, open_
 
 
 def score_step(step: Step, tree: Tree):
     """Per text: tokens, known ones, sums of base and tree log-probabilities without the base part of words that were not
-    sent; and for those words (text, hash, number) rows."""
+    sent; and for those words (text, hash, number) rows. Tokens that may have a context outside the tree count as in the
+    empty one; ``_tail`` has the rest."""
     value, firsts = tokens(step)
     doc = np.repeat(np.arange(step.n), np.diff(firsts))
-    own = find(tree.ids, value)
-    layers = trie_walk(own, np.arange(len(value)) - firsts[doc], tree.steps, DEPTH)
-    trie = np.zeros(len(value), np.int64)
-    for layer in layers:
-        trie = np.where(layer >= 0, layer, trie)
     at = find(tree.sent, value)
     sent = at >= 0
     base = np.where(sent, tree.base(tree.counts[np.maximum(at, 0)]) if len(tree.sent) else 0.0, 0.0)
-    score = np.zeros(len(value))
-    node = tree.kept[trie]
-    open_ = np.flatnonzero(node > 0)
-    score[node <= 0] = base[node <= 0]
-    now = node[open_]
-    while len(open_):
-        got = find(tree.keys, now * max(len(tree.ids), 1) + own[open_])
-        got[own[open_] < 0] = -1
-        hit = got >= 0
-        score[open_[hit]] += tree.logp[got[hit]]
-        open_, now = open_[~hit], now[~hit]
-        score[open_] += tree.loglam[now]
-        now = tree.parent[now]
-        done = now <= 0
-        score[open_[done]] += base[open_[done]]
-        open_, now = open_[~done], now[~done]
+    score = base.copy()
+    found, done = lookups(value, doc, tree)
+    for places, _, node, _, key in reversed(found):
+        live = (node >= 0) & ~done[places]
+        hit = live & (key >= 0)
+        score[places[hit]] += tree.gain[key[hit]]
+        done[places[hit]] = True
+        passed = live & (key < 0)
+        score[places[passed]] += tree.loglam[node[passed]]
     sums = [np.bincount(doc, x, step.n) for x in (base, score)]
     known = np.bincount(doc, sent, step.n).astype(np.int64)
     rest = np.flatnonzero(~sent)
@@ -232,6 +235,47 @@ def score_step(step: Step, tree: Tree):
     return np.diff(firsts), known, *sums, doc[order][head], value[order][head], np.diff(np.append(head, len(order)))
 
 
+def _tail(sent):
+    """Rows of the tokens that may have a context outside the tree: per order hashes of context and entry, which match
+    nothing where the tree has the context, and what the tree has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value
+        for batch in batches:
+            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            for step in steps(batch.column(1)):
+                value, firsts = tokens(step)
+                doc = np.repeat(np.arange(step.n), np.diff(firsts))
+                found, open_ = lookups(value, doc, tree)
+                columns = {"__key": keys[step.first + doc[open_]]}
+                for k, (places, c, node, g, key) in enumerate(found, 1):
+                    # no such context, or one of the tree: spread over the hashes, so that no key is common
+                    ask = [mix(np.arange(len(value), dtype=np.uint64) + np.uint64(k) + value) for _ in "cg"]
+                    have = [np.full(len(value), np.nan) for _ in "lg"]
+                    miss = (node < 0) & passes(tree.tail, c)
+                    ask[0][places[miss]], ask[1][places[miss]] = c[miss], g[miss]
+                    have[0][places[node >= 0]] = tree.loglam[node[node >= 0]]
+                    have[1][places[key >= 0]] = tree.gain[key[key >= 0]]
+                    columns |= {f"c{k}": ask[0][open_].view(np.int64), f"g{k}": ask[1][open_].view(np.int64)}
+                    columns |= {f"{x}{k}": pa.array(v[open_], from_pandas=True) for x, v in zip(("lam", "gain"), have, strict=True)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def tail_scores(docs: DataFrame, shared, contexts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per key what such tokens add to the base score, with the contexts and entries looked up by joins."""
+    fields = "".join(f", c{k} long, g{k} long, lam{k} double, gain{k} double" for k in range(1, DEPTH + 1))
+    rows = docs.mapInArrow(_tail(shared), "__key long" + fields)
+    add = F.lit(0.0)
+    for k in range(1, DEPTH + 1):
+        rows = rows.join(contexts.select(F.col("c").alias(f"c{k}"), F.col("loglam").alias(f"l{k}")), f"c{k}", "left")
+        rows = rows.join(entries.select(F.col("g").alias(f"g{k}"), F.col("gain").alias(f"e{k}")), f"g{k}", "left")
+        # an entry ends the search, a context without it passes on to the shorter ones, no context changes nothing
+        add = F.coalesce(F.col(f"gain{k}"), F.col(f"e{k}"), F.coalesce(F.col(f"lam{k}"), F.col(f"l{k}"), F.lit(0.0)) + add)
+    return rows.groupBy("__key").agg(F.sum(add).alias("__tail"))
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +300,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     that probabilities still sum to 1. Each token is scored in the state of its longest kept suffix.
 
     Counts cover all training texts. Frequent words are sent to the tasks; all others are joined to the full counts by
-    their hash, once per document and word. Null texts are empty and have the end alone; without training rows N and V
+    their hash, once per document and word, and so are contexts and entries beyond the HEAD most frequent. Null texts are empty and have the end alone; without training rows N and V
     are 0. Repeated rows are scored alike.
     """
     spark = docs.sparkSession
@@ -269,8 +313,10 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     frequent: pd.DataFrame = counts.filter(F.col("n") >= max(1.0, SENT * total)).toPandas()
     hashes = frequent["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    tree = grow(training, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
-    rows = docs.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(spark.sparkContext.broadcast(tree)), "__key long, w long, m long, n_tokens long, n_known long, base double, score double, __id long")
+    kept = states(training, counts, total, vocabulary)
+    tree, contexts, entries = send(*kept, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
+    shared = spark.sparkContext.broadcast(tree)
+    rows = docs.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(shared), "__key long, w long, m long, n_tokens long, n_known long, base double, score double, __id long")
     rows = rows.join(counts.filter(F.col("n") < max(1.0, SENT * total)).withColumnRenamed("n", "c"), "w", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = F.when(F.col("m") > 0, F.col("m") * F.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))).otherwise(0.0)
@@ -283,6 +329,9 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         F.sum(F.col("base") + rest).alias("base_score"),
         F.sum(F.col("score") + rest).alias("score"),
     )
+    if len(tree.tail):
+        more = tail_scores(docs.select("__key", "text"), shared, contexts, entries)
+        sums = sums.join(more, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__tail", F.lit(0.0)))
     # rows alike share a key: their sums are divided again
     each = sums.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
     whole = [F.expr(f"{n} div __rows").alias(n) for n in ("n_tokens", "n_known")]

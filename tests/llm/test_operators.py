@@ -259,6 +259,23 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     assert np.isfinite(whole).all() and end < 0
 
 
+def test_suffix_tree_keeps_contexts_of_small_share(spark, monkeypatch):
+    """A sharp context of 20 occurrences among 300,000 tokens is a state, whether sent to the tasks or joined."""
+    import random
+
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("abcdefghij") for _ in range(999)) for _ in range(300)]
+    for i in range(20):
+        lines[i] += " seldom sharp"
+    df = spark.createDataFrame([*enumerate(lines, 1), (0, "seldom sharp")], "doc_id long, text string")
+    score = lambda: {r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_tree.score_texts(df, lambda i: i == 0).collect()}
+    sent = score()
+    assert sent[0][1] > sent[0][0] + 3  # sharp after seldom: nearly 1, not 20 in 300,000
+    monkeypatch.setattr(suffix_tree, "HEAD", 1)
+    joined = score()
+    assert all(joined[i] == pytest.approx(sent[i]) for i in sent)
+
+
 # ---- lines
 
 def test_lines(docs, texts):
