@@ -27,22 +27,31 @@ def kmers(text: Column, k: int = K) -> Column:
 def fingerprints(texts: DataFrame, by: list[str], k: int = K, slots: int = SLOTS) -> DataFrame:
     """Adds to rows of keys ``by`` (the first of which rows are dealt out by) and text the array ``print``.
 
-    Every k-mer is numbered among its like in text order, and k-mer and number are hashed together. The hash picks a slot
-    and one of its two halves, in which the least hash stays: two minimal numbered k-mers a slot. Their hashes, in the
-    order in which they stand in the text, make the slot's value; slots without a k-mer are null.
+    Every k-mer is numbered among its like in text order, and k-mer and number are hashed together. A slot takes the two
+    least of all numbered k-mers of the text under an order of its own, that of hash XOR slot (in the highest bits). Their
+    hashes, in the order in which they stand in the text, make the slot's value. The hash's highest bits deal k-mers to
+    buckets, of which two each can be least in any slot; a slot finds them in its own bucket or else in the nearest ones.
     """
     single = texts.select(*by, F.posexplode(kmers(F.col("text"), k)).alias("at", "x"))
     like = W.partitionBy(*by, "x").orderBy("at")
     numbered = single.select(*by, "at", F.xxhash64("x", F.row_number().over(like)).alias("e"))
     # 40 bits of the hash, then the place: the least value is the least hash, and it brings its place along
     low = F.shiftleft(F.col("e").bitwiseAND(F.lit((1 << 40) - 1)), _PLACE).bitwiseOR(F.least(F.col("at"), F.lit((1 << _PLACE) - 1)).cast("long"))
-    parts = numbered.select(*by, F.pmod(F.shiftright("e", 41), F.lit(slots)).cast("int").alias("slot"), F.shiftright("e", 40).bitwiseAND(F.lit(1)).alias("half"), low.alias("low"))
-    ends = parts.groupBy(*by, "slot").agg(F.min(F.when(F.col("half") == 0, F.col("low"))).alias("a"), F.min(F.when(F.col("half") == 1, F.col("low"))).alias("b"))
-    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << _PLACE) - 1))
-    swap = (place("b") < place("a")) | (place("b") == place("a")) & (F.col("b") < F.col("a"))
-    a, b = F.shiftrightunsigned("a", _PLACE), F.shiftrightunsigned("b", _PLACE)
-    value = F.when(swap, F.xxhash64(b, a)).otherwise(F.xxhash64(a, b))
-    return ends.select(*by, "slot", value.alias("v")).groupBy(*by).agg(*[F.max(F.when(F.col("slot") == s, F.col("v"))).alias(f"s{s}") for s in range(slots)]).select(*by, F.array(*[f"s{s}" for s in range(slots)]).alias("print"))
+    dealt = numbered.select(*by, low.alias("low")).groupBy(*by).agg(F.sort_array(F.collect_list("low")).alias("all"))
+    top = 40 + _PLACE - (slots - 1).bit_length()  # the bits from here on are the bucket
+    least = F.filter("all", lambda x, i: (i < 2) | (F.shiftright(x, top) != F.shiftright(F.get("all", i - 2), top)))
+    place = lambda c: c.bitwiseAND(F.lit((1 << _PLACE) - 1))
+    rest = lambda c: F.shiftrightunsigned(c, _PLACE)
+
+    def value(two: Column) -> Column:
+        a, b = F.get(two, 0), F.get(two, 1)
+        swap = (place(b) < place(a)) | (place(b) == place(a)) & (b < a)
+        return F.when(swap, F.xxhash64(rest(b), rest(a))).otherwise(F.xxhash64(rest(a), rest(b)))
+
+    # arrays are bound by one-element transforms, as above
+    masks = F.array(*[F.lit(s << top) for s in range(slots)])
+    each = lambda own, mask: F.get(F.transform(F.array(F.sort_array(F.transform(own, lambda x: x.bitwiseXOR(mask)))), value), 0)
+    return dealt.select(*by, F.get(F.transform(F.array(least), lambda own: F.transform(masks, lambda mask: each(own, mask))), 0).alias("print"))
 
 
 def likeness(a: Column, b: Column) -> Column:

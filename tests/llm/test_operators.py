@@ -130,6 +130,18 @@ def test_fingerprints_follow_order(spark):
     assert near[0] < 0.8  # the same shingles but for the seam, in another order
 
 
+@pytest.mark.parametrize("n", [10, 20, 40, 80])
+def test_fingerprints_of_short_texts_follow_order(spark, n):
+    """Halves swapped: the two least k-mers of a slot keep their order in about half of the slots, at every length."""
+    rows = []
+    for d in range(20):
+        w = [f"d{d}w{i}" for i in range(n)]
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(w[n // 2 :] + w[: n // 2]))]
+    near = order_minhash.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 2 = 0")
+    found = near.agg(F.avg("near_next").alias("near"), F.max(F.size(F.filter(F.split("fingerprint", "[.]"), lambda x: x == "-"))).alias("none")).first()
+    assert found["near"] < 0.58 and found["none"] == 0
+
+
 def test_neighbours_over_many_stretches(spark):
     rows = [(i * 997 % 10007 * 1000, f"t{i}") for i in range(6000)]
     df = spark.createDataFrame(rows, "__id long, text string")
