@@ -21,8 +21,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
 
 #: Weak parts: identifiers in capitals and digits, long mixed tokens, and places to connect to.
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{12,40}(?![A-Za-z0-9])")
-WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{12,}+(?![A-Za-z0-9])")
+WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,11}://[A-Za-z0-9._~:@%-]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){2,8}[a-z]{2,12}:[0-9]{2,5}(?![0-9])")
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: Order of kinds that start at the same place.
