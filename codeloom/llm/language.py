@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -10,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick
+from .common import checkpoint, map_rows, pick
 from .textscan import LOWER, NOT_SPACE, Step, mix, steps, words
 
 #: Hashed places of letter trigrams; the model has this many counts per language, whatever the corpus.
 PLACES = 1 << 16
+#: Languages that a model may have: their tables are sent to every task, PLACES numbers of 4 bytes for each.
+MOST_LANGS = 1_000
 #: Nats that a change of language between neighbouring words costs.
 SWITCH = 8.0
 #: A language is written in the scripts that make up this share of its training letters.
@@ -22,13 +26,60 @@ SCRIPT_SHARE = 0.01
 #: Word scores (words times languages) that one Viterbi pass holds, and bytes of text that are scored at once.
 CELLS, BYTES = 3_000_000, 1 << 19
 
-# Scripts by the first byte of their UTF-8 letters (0: no letter). 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian,
-# 5 Hebrew, 6 Arabic, 7 South and Southeast Asian, 8 Georgian and Ethiopic, 9 Han and kana, 10 Hangul, 11 others.
-SCRIPT = np.zeros(256, np.uint8)
-for _low, _high, _script in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD6, 4), (0xD7, 0xD7, 5), (0xD8, 0xDF, 6), (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF4, 11)):
-    SCRIPT[_low : _high + 1] = _script
-#: What counts as part of a trigram: letters; everything else is one border symbol.
-LETTER = (SCRIPT > 0) | ((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
+# Code point ranges of scripts. Letters outside of them are of script 15, "others".
+RANGES = (
+    (0x0041, 0x024F, 1), (0x0250, 0x02FF, 1), (0x1D00, 0x1DBF, 1), (0x1E00, 0x1EFF, 1), (0x2C60, 0x2C7F, 1), (0xA720, 0xA7FF, 1), (0xAB30, 0xAB6F, 1), (0xFB00, 0xFB06, 1), (0xFF21, 0xFF5A, 1),  # Latin
+    (0x0370, 0x03FF, 2), (0x1F00, 0x1FFF, 2),  # Greek
+    (0x0400, 0x052F, 3), (0x1C80, 0x1C8F, 3), (0xA640, 0xA69F, 3),  # Cyrillic
+    (0x0530, 0x058F, 4), (0xFB13, 0xFB17, 4),  # Armenian
+    (0x0590, 0x05FF, 5), (0xFB1D, 0xFB4F, 5),  # Hebrew
+    (0x0600, 0x06FF, 6), (0x0750, 0x077F, 6), (0x0870, 0x08FF, 6), (0xFB50, 0xFDFF, 6), (0xFE70, 0xFEFF, 6),  # Arabic
+    (0x0700, 0x074F, 7), (0x0780, 0x086F, 7),  # Syriac, Thaana, N'Ko, Samaritan, Mandaic
+    (0x0900, 0x0DFF, 8),  # scripts of India and Sri Lanka
+    (0x0E00, 0x109F, 9), (0x1780, 0x17FF, 9),  # Thai, Lao, Tibetan, Myanmar, Khmer
+    (0x10A0, 0x10FF, 10), (0x1C90, 0x1CBF, 10), (0x2D00, 0x2D2F, 10),  # Georgian
+    (0x1200, 0x139F, 11), (0x2D80, 0x2DDF, 11), (0xAB00, 0xAB2F, 11),  # Ethiopic
+    (0x3040, 0x30FF, 12), (0x31F0, 0x31FF, 12), (0xFF66, 0xFF9F, 12),  # kana
+    (0x2E80, 0x2FDF, 13), (0x3005, 0x3007, 13), (0x3400, 0x9FFF, 13), (0xF900, 0xFAFF, 13), (0x20000, 0x3FFFF, 13),  # Han
+    (0x1100, 0x11FF, 14), (0x3130, 0x318F, 14), (0xA960, 0xA97F, 14), (0xAC00, 0xD7FF, 14), (0xFFA0, 0xFFDC, 14),  # Hangul
+)
+#: Marks join the letters they stand by in trigrams, but are not letters.
+MARK = 16
+SCRIPTS = 17
+
+
+@cache
+def kinds() -> np.ndarray:
+    """The script of each code point that is a letter (general categories L), MARK for marks (M), 0 for all others."""
+    general = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
+    of = np.frombuffer(general.encode(), np.uint8)
+    script = np.full(len(of), 15, np.uint8)
+    for low, high, k in RANGES:
+        script[low : high + 1] = k
+    return np.where(of == ord("L"), script, np.where(of == ord("M"), MARK, 0)).astype(np.uint8)
+
+
+def kinds_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of UTF-8 text the kind of its code point, and whether it is the first byte of a letter."""
+    table = kinds()
+    kind = table[data]  # right for ASCII
+    first = (kind > 0) & (kind < MARK)
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        return kind, first
+    lead, size = data[at].astype(np.uint32), len(data)
+    code = np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07))
+    length = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    for i in range(1, 4):
+        more = length > i
+        code[more] = code[more] << 6 | data[np.minimum(at[more] + i, size - 1)] & 0x3F
+    own = table[np.minimum(code, len(table) - 1)]
+    kind[data >= 0x80], first[data >= 0x80] = 0, False
+    kind[at], first[at] = own, (own > 0) & (own < MARK)
+    for i in range(1, 4):
+        more = length > i
+        kind[np.minimum(at[more] + i, size - 1)] = own[more]
+    return kind, first
 
 
 class Scan(NamedTuple):
@@ -52,10 +103,10 @@ def scan(step: Step) -> Scan:
     segments = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) + np.repeat(found.starts - segments, lengths)
     body = data[at]
-    script = SCRIPT[body]
-    by_word = np.maximum.reduceat(script, segments)
-    letters = np.add.reduceat((script > 0).astype(np.int64), segments)
-    symbol = np.where(LETTER[body], body, 0).astype(np.uint32)
+    kind, first = (x[at] for x in kinds_of(step.data))
+    by_word = np.maximum.reduceat(np.where(kind < MARK, kind, 0), segments)
+    letters = np.add.reduceat(first.astype(np.int64), segments)
+    symbol = np.where(kind > 0, body, 0).astype(np.uint32)
     before, after = np.zeros_like(symbol), np.zeros_like(symbol)
     before[1:], after[:-1] = symbol[:-1], symbol[1:]
     before[segments], after[segments + lengths - 1] = 0, 0
@@ -125,12 +176,12 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> n
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """Trigram and script counts by language over every labelled row (lang, text), summed by tasks and then over tasks.
-    Nulls in either are left out; without any labelled text there is no model."""
+    Nulls in either are left out; without any labelled text there is no model. Over MOST_LANGS languages are an error."""
     labelled = pick(labelled, lang_col, text_col).toDF("lang", "text").filter("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        width = PLACES + 16 + 1
+        width = PLACES + SCRIPTS + 1
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
             names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -143,22 +194,25 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
                     mine = of_word == k
                     real = np.repeat(mine & (s.letters > 0), s.counts)
                     sums[k][:PLACES] += np.bincount(s.places[real], minlength=PLACES)
-                    sums[k][PLACES : PLACES + 16] += np.bincount(s.script[mine], s.letters[mine], 16).astype(np.int64)
+                    sums[k][PLACES : PLACES + SCRIPTS] += np.bincount(s.script[mine], s.letters[mine], SCRIPTS).astype(np.int64)
                     sums[k][-1] += int((lang == k).sum())
         for name, total in counts.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "place", "n"])
 
     summed = labelled.mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    summed = checkpoint(summed)
+    if (n := summed.select("lang").distinct().count()) > MOST_LANGS:
+        raise ValueError(f"{n} languages, over {MOST_LANGS}: lang_col does not hold language codes, or the models do not fit a task")
     rows = summed.toPandas()
     if rows.empty:
         return None
     langs = sorted(rows["lang"].unique())
-    table = np.zeros((len(langs), PLACES + 17))
+    table = np.zeros((len(langs), PLACES + SCRIPTS + 1))
     table[np.searchsorted(langs, rows["lang"].to_numpy().astype(str)), rows["place"]] = rows["n"]
     grams = table[:, :PLACES] + 0.5
     logp = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    script = table[:, PLACES : PLACES + 16]
+    script = table[:, PLACES : PLACES + SCRIPTS]
     allowed = (script / np.maximum(1, script.sum(axis=1, keepdims=True)) >= SCRIPT_SHARE).T
     allowed[0] = False
     return Model(langs, np.ascontiguousarray(logp), allowed, int(table[:, -1].argmax()))
@@ -213,7 +267,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     The script of a word narrows the languages it can be in, letter trigrams score the rest, and the best path over the
     words, with a penalty per change, labels spans. lang_pred is the language of most letters and score its share of all
-    letters. ``und`` with score 0 stands for null texts, texts without a letter, and any text when there is no model;
+    letters. A letter is a code point of the general categories L. ``und`` with score 0 stands for null texts, texts without
+    a letter, and any text when there is no model;
     letters in scripts never seen in training count against the score, and a text of nothing else gets the commonest
     language with score 0. spans are (first word, end word, language).
     """
