@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -145,11 +148,39 @@ def contamination(docs: dict, items: dict, n: int = 10) -> dict:
     return out
 
 
-def edited(docs: dict) -> dict:
+def fingerprint(text: str, k: int = 3, slots: int = 32) -> list[str]:
+    """Per slot the hash of the two least numbered k-mers, in text order; the slot's order is that of hash XOR slot."""
+    symbols = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]{1,12}", text)]
+    seen, found = Counter(), []
+    for i in range(max(0, len(symbols) - k) + 1):
+        h = 42
+        for x in symbols[i : i + k]:
+            h = xxhash.xxh64_intdigest(x, h)
+        gram = (h - 2**64 if h >= 2**63 else h) >> 31
+        e = xxhash.xxh64_intdigest(struct.pack("<i", seen[gram]), xxhash.xxh64_intdigest(struct.pack("<q", gram), 42)) & (2**32 - 1)
+        seen[gram] += 1
+        found.append((e, i))
+    out = []
+    for s in range(slots):
+        two = sorted((e ^ s << 27, i) for e, i in found)[:2]
+        h = 42
+        for e, _ in sorted(two, key=lambda x: x[1]):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", e), h)
+        out.append(f"{h:x}")
+    return out
+
+
+def fingerprints(docs: dict) -> dict:
+    """(n_chars, sha of the edited text, print, edited print, near_edited, near_next)"""
     ids = sorted(docs)
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    own = {d: fingerprint(docs[d] or "") for d in ids}
     out = {}
     for i, d in enumerate(ids):
-        t, nxt = docs[d] or "", docs[ids[(i + 1) % len(ids)]] or ""
+        after = ids[(i + 1) % len(ids)]
+        t, nxt = docs[d] or "", docs[after] or ""
         cut = len(t) // 4
-        out[d] = (len(t), sha(t[: len(t) - cut] + nxt[:cut]))
+        edited = t[: len(t) - cut] + nxt[:cut]
+        new = fingerprint(edited)
+        out[d] = (len(t), sha(edited), ".".join(own[d]), ".".join(new), like(own[d], new), like(own[d], own[after]))
     return out

@@ -114,20 +114,41 @@ def test_levels_double():
 
 def test_fingerprints(docs, texts):
     rows = {r["doc_id"]: r for r in order_minhash.edit_fingerprints(docs).collect()}
-    same({i: (r["n_chars"], r["edited_sha256"]) for i, r in rows.items()}, brute.edited(texts))
+    same({i: tuple(r[1:]) for i, r in rows.items()}, brute.fingerprints(texts))
     assert rows[0]["fingerprint"] == rows[90]["fingerprint"] and rows[150]["fingerprint"] == rows[151]["fingerprint"]
     assert rows[150]["near_next"] == 1.0 and rows[146]["near_next"] == 1.0  # equal and empty texts
-    ids = sorted(texts)
-    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
-        x, y = rows[a]["fingerprint"].split("."), rows[b]["fingerprint"].split(".")
-        some = [(p, q) for p, q in zip(x, y, strict=True) if p != "-" or q != "-"]
-        want = sum(p == q for p, q in some) / len(some) if some else 1.0
-        assert rows[a]["near_next"] == pytest.approx(want)
-        assert 0 <= rows[a]["near_edited"] <= 1
     long = [r["near_edited"] for i, r in rows.items() if r["n_chars"] > 400 and i < 130]
     assert sum(long) / len(long) > 0.2
 
 
+@pytest.mark.parametrize("ids", [[-(2**62) - 5, 2**62 + 7, 0], [-5 * 10**18, 5 * 10**18, 3], [-(2**63), 2**63 - 1], [*range(300), 2**63 - 1], [7]])
+def test_fingerprints_of_any_ids(spark, ids):
+    """Ids over the whole range, an outlier, a single one: the next document is always the next."""
+    texts = {i: f"alpha beta {i} gamma delta epsilon {i % 7} zeta" for i in ids}
+    got = order_minhash.edit_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    same({r["doc_id"]: tuple(r[1:]) for r in got.collect()}, brute.fingerprints(texts))
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    """Null ids come last; rows alike follow each other, and only the last of them meets another text."""
+    rows = [(None, f"null text number {i}") for i in range(40)] + [(5, "repeated words here")] * 4 + [(9, "last id of all")]
+    got = order_minhash.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 45 and sum(r["doc_id"] is None for r in got) == 40
+    own = brute.sha("repeated words here"[:15] + "repe")
+    assert sorted(r["edited_sha256"] == own for r in got if r["doc_id"] == 5) == [False, True, True, True]
+    assert sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 5) == 3
+    assert [r["edited_sha256"] for r in got if r["doc_id"] == 9][0] == brute.sha("last id of " + "nul")
+
+
+def test_places_beyond_23_bits_keep_their_order(spark):
+    """Two k-mers far behind in a text swap: their slots change. (A text of so many words is beyond a small test: places are
+    checked where they are made.)"""
+    assert (order_minhash.PLACE, order_minhash.HASH) == (31, 32)
+    text = " ".join(f"w{i}" for i in range(3000))
+    packed = spark.createDataFrame([(text,)], "text string").select(order_minhash.kmers(F.col("text")).alias("k")).first()["k"]
+    assert sorted(x & (2**31 - 1) for x in packed) == list(range(2998))
+
+
 def test_fingerprints_follow_order(spark):
     words = [f"w{i}" for i in range(200)]
     moved = words[100:] + words[:100]
@@ -144,16 +165,14 @@ def test_fingerprints_of_short_texts_follow_order(spark, n):
         w = [f"d{d}w{i}" for i in range(n)]
         rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(w[n // 2 :] + w[: n // 2]))]
     near = order_minhash.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id % 2 = 0")
-    found = near.agg(F.avg("near_next").alias("near"), F.max(F.size(F.filter(F.split("fingerprint", "[.]"), lambda x: x == "-"))).alias("none")).first()
-    assert found["near"] < 0.58 and found["none"] == 0
+    assert near.agg(F.avg("near_next").alias("near")).first()["near"] < 0.58
 
 
-def test_neighbours_over_many_stretches(spark):
-    rows = [(i * 997 % 10007 * 1000, f"t{i}") for i in range(6000)]
-    df = spark.createDataFrame(rows, "__id long, text string")
-    got = {r["__id"]: r["next"] for r in order_minhash.neighbours(df, 7).collect()}
+def test_successors_over_many_ranges(spark):
+    rows = [(False, i * 997 % 10007 * 1000, i, 0) for i in range(6000)] + [(True, 0, i, 1) for i in range(500)]
+    got = {tuple(r)[:4]: tuple(r["prev"]) for r in order_minhash.successors(spark.createDataFrame(rows, "none boolean, id long, h1 long, h2 long")).collect()}
     ordered = sorted(rows)
-    assert got == {a[0]: b[1] for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    assert got == dict(zip(ordered, ordered[-1:] + ordered[:-1], strict=True))
 
 
 # ---- language
@@ -169,6 +188,27 @@ def test_language_on_held_out_texts(docs, texts):
     assert got[154][0] in ("en", "de", "fr") and got[154][1] < 0.6
 
 
+def test_letters(spark, docs):
+    """Symbols, digits and punctuation of any script are no letters; letters of rare blocks are."""
+    none = ["😀", "×", "÷ ×", "。", "٣٤", "،", "\u0301", "123 --", "🇩🇪 ☃", "①②"]
+    some = ["µ", "ª", "Ⰰ", "Ａｂｃ", "ｱｲｳ", "ﻼ", "𝒜", "ק", "ក", "Ꭰ", "×a"]
+    df = spark.createDataFrame(list(enumerate(none + some)), "doc_id long, text string")
+    got = by_id(language.identify(df, language.train(docs)), "lang_pred", "score")
+    assert {x for i, x in got.items() if i < len(none)} == {("und", 0.0)}
+    assert all(x[0] in ("en", "de", "fr") for i, x in got.items() if i >= len(none))
+
+
+def test_letters_are_those_of_python():
+    import random
+
+    import numpy as np
+
+    text = "".join(map(chr, random.Random(1).sample([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], 20_000)))
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, first = language.kinds_of(data)
+    assert first[(data & 0xC0) != 0x80].tolist() == [c.isalpha() for c in text] and not first[(data & 0xC0) == 0x80].any()
+
+
 def test_language_spans_of_mixed_text(spark, docs, texts):
     model = language.train(docs)
     mixed = " ".join([*(["der die und nicht werden"] * 8), *(["the of and that would there"] * 8)])
