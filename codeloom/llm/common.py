@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,46 +39,80 @@ def ascii_lower(column):
 
 def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__key") -> DataFrame:
     """Adds a bigint that tells rows apart: the id itself where ids are unique and not null, which one cheap pass over the
-    id column decides; else a hash of id and text, so that only rows alike in both share a key (and get equal results)."""
+    id column decides; else a number that only rows alike in id and text share (and get equal results by). Numbers are given
+    to groups by id and 128 bits of hashes of the text, in a written table, and joined back."""
     ids = df.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("set"))
     again = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
     counted = ids.first()
     if counted["n"] == counted["set"] and not again.take(1):
         # not null by type, or inner joins would filter by it and not read the same exchange as outer ones
         return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    return df.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = {"__i": F.col(id_col), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    groups = checkpoint(df.select(*[c.alias(f"{n}_") for n, c in own.items()]).distinct().withColumn(key, F.monotonically_increasing_id()))
+    same = F.col("__i").eqNullSafe(F.col("__i_")) & (F.col("__h1") == F.col("__h1_")) & (F.col("__h2") == F.col("__h2_"))
+    return df.withColumns(own).join(groups, same).drop(*own, *[f"{n}_" for n in own])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder that the cluster names in ``spark.checkpoint.dir``, which all executors
-    share. Only a session without one, as in tests, gets a folder of its own."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder for checkpoints that the cluster names in ``spark.checkpoint.dir``, which all executors share. Only a
+    local session without one, as in tests, gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with files in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Stored(NamedTuple):
+    """Rows in a folder of their own beside the checkpoints, as Parquet: far smaller there than checkpoints are."""
+
+    rows: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        """Removes the folder through the file system that Spark reads it by. Nothing may read the rows afterwards."""
+        spark = self.rows.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str = "rows") -> Stored:
+    """Writes the rows, which cuts the lineage, and reads them again; the folder's name is new each time."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
+
+
 def settle(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle and checkpoint files of rounds that are over. It does so when the driver's garbage is
-    collected, and a driver that only starts small jobs has little garbage and would keep the files for long."""
+    """Lets Spark remove the shuffle files of rounds that are over, and their checkpoint files where the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints. It does so when the driver's garbage is collected, and a driver that
+    only starts small jobs has little garbage and would keep the files for long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``links`` has two bigint columns; the result has a row (node, root) for each node in a link, root being the smallest
     node of its component. Every step is two shuffles of at most as many rows as there are links, and a node with many
-    neighbours is reduced by partial aggregation, never collected. Rounds stop when nothing changes; their number grows
-    with the logarithm of the longest path.
+    neighbours is reduced by partial aggregation, never collected. Rounds go on until nothing changes; their number grows
+    with the logarithm of the longest path. No links give no rows.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = checkpoint(edges), None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

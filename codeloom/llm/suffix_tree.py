@@ -12,19 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick, settle, with_row_key
-from .textscan import LOWER, NOT_SPACE, Step, mix, steps, word_hashes, words
+from .common import Stored, checkpoint, pick, settle, stored, with_row_key
+from .textscan import LOWER, NOT_SPACE, Step, steps, word_hashes, words
 
 #: The token that ends every text; its hash stands for no word.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-#: Least occurrences of a context and of a next word that it tells apart, at every size of the corpus.
-LEAST_CONTEXT, LEAST_NEXT = 10, 2
-#: Share of all tokens of a word whose count is sent to the tasks, and states and entries sent to them, the most frequent
-#: ones first. The others are joined: neither bound changes a result.
-SENT, HEAD = 1e-6, 1_000_000
+#: Defaults of score_texts: least occurrences of a context and of a next word that it tells apart, at every size of the
+#: corpus, and words of the longest context.
+LEAST_CONTEXT, LEAST_NEXT, DEPTH = 10, 2, 3
+#: Share of all tokens of a word whose count is sent to the tasks, and contexts and entries (12 bytes each) sent to them, the
+#: most frequent ones first. The others are joined: no such bound changes a result.
+SENT, HEAD_CONTEXTS, HEAD_ENTRIES = 1e-6, 1_000_000, 4_000_000
 #: 64-bit words of the filters of live grams that are sent to the tasks. They only spare rows that joins would drop.
 FILTER = 1 << 20
-DEPTH, DISCOUNT = 3, 0.5
+DISCOUNT = 0.5
+#: Marks hashes of contexts, since the words of a context may be those of an entry.
+CONTEXT = np.uint64(0x5C5C5C5C5C5C5C5C)
 
 
 def tokens(step: Step) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +50,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tree(NamedTuple):
     """What is sent to the tasks. A context is the hash of its words, an entry that of a context's words and a next one."""
 
+    depth: int
     total: int  #: training tokens
     vocabulary: int
     sent: np.ndarray  #: hashes of frequent words, sorted
     counts: np.ndarray
     contexts: np.ndarray  #: kept contexts of the head, sorted
-    parent: np.ndarray  #: the empty context, then of each of them the one without its furthest word
     loglam: np.ndarray  #: log10 of the share that a context leaves to its suffix's distribution, scaled to what it doesn't tell apart
-    keys: np.ndarray  #: entries, sorted
+    keys: np.ndarray  #: entries of the head, sorted
     gain: np.ndarray  #: log10 of the entry's probability over the next word's base probability
-    tail: np.ndarray  #: filter of the kept contexts that are not in the head; empty if there are none
+    other_contexts: np.ndarray  #: filters of the contexts and entries that are not in the head; empty if there are none
+    other_entries: np.ndarray
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
@@ -80,6 +84,8 @@ def live_bits(rows: DataFrame, column: str) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(bits):
+        return np.zeros(len(hashes), bool)
     at = (hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)
     return (bits[at] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
 
@@ -121,111 +127,150 @@ def _count_grams(sent):
     return run
 
 
-def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int) -> tuple[DataFrame, DataFrame]:
-    """Kept contexts (c, parent, nc, size, loglam) and their entries (g, c, gain), as tables, from counts over all training
-    texts (one column, text); ``words`` has their words (w, n).
+class States(NamedTuple):
+    """Written tables of kept contexts (c, nc, size, loglam) and their entries (g, n, gain), one of each per order."""
 
-    Order by order: words after contexts of LEAST_CONTEXT occurrences are counted, and a context stays if its next-word
+    contexts: list[Stored]
+    entries: list[Stored]
+
+    def all(self, name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.rows for t in getattr(self, name)])
+
+
+def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, depth: int = DEPTH) -> States:
+    """Contexts and entries from counts over all training texts (one column, text); ``words`` has their words (w, n).
+
+    Order by order: words after contexts of ``least_context`` occurrences are counted, and a context stays if its next-word
     distribution diverges from that of its longest kept suffix by more than its parameters cost (likelihood ratio against
     their number times the logarithm of its count). An entry's words but the furthest are an entry of the order below,
     which has the probability that the suffix gives; the words of a context are an entry there too, which has its count.
     """
     share = (F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1))
-    below = words.filter(F.col("n") >= LEAST_NEXT).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).alias("b"))
-    contexts, entries = [], []
-    for k in range(1, DEPTH + 1):
-        kept, below = _order(training, below, k)
-        contexts.append(kept)
-        entries.append(below.filter("c is not null").select("g", "c", (F.log10("p") - F.col("b")).alias("gain")))
+    below = stored(words.filter(F.col("n") >= least_next).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).alias("b")), "words")
+    out = States([], [])
+    for k in range(1, depth + 1):
+        before, (kept, below) = below, _order(training, below.rows, k, least_context, least_next)
+        before.remove()
+        out.contexts.append(kept)
+        told = below.rows.join(kept.rows.select("c"), "c", "left_semi")
+        out.entries.append(stored(told.select("g", "n", (F.log10("p") - F.col("b")).alias("gain")), "entries"))
         settle(training.sparkSession)
-    return reduce(DataFrame.unionByName, contexts), reduce(DataFrame.unionByName, entries)
+    below.remove()
+    return out
 
 
-def _order(training: DataFrame, below: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Kept contexts of k words, and the entries (g, s, n, p, b, c) after all of k words, c being null if it isn't kept."""
-    often = below.filter(F.col("n") >= LEAST_CONTEXT)
-    shared = training.sparkSession.sparkContext.broadcast((k, live_bits(often, "g"), live_bits(below, "g")))
-    rows = training.mapInArrow(_count_grams(shared), "g long, c long, n long").groupBy("g", "c").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_NEXT)
-    rows = rows.join(often.select(F.col("g").alias("c"), F.col("n").alias("nc"), F.col("s").alias("parent")), "c")
+def _order(training: DataFrame, below: DataFrame, k: int, least_context: int, least_next: int) -> tuple[Stored, Stored]:
+    """Kept contexts of k words, and (g, s, c, n, p, b) of all entries after contexts of k words, kept or not. Every step is
+    written and its shuffle files released before the next."""
+    spark = training.sparkSession
+    often = below.filter(F.col("n") >= least_context)
+    shared = spark.sparkContext.broadcast((k, live_bits(often, "g"), live_bits(below, "g")))
+    rows = training.mapInArrow(_count_grams(shared), "g long, c long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_next)
+    counted = stored(rows, "grams")
+    shared.destroy()
+    settle(spark)
     turn = lambda x: F.shiftleft(x, 17).bitwiseOR(F.shiftrightunsigned(x, 47))
-    rows = rows.withColumn("s", turn("parent").bitwiseXOR(turn("c")).bitwiseXOR(F.col("g")))
-    rows = checkpoint(rows.join(below.select(F.col("g").alias("s"), F.col("p").alias("q"), "b"), "s"))
+    rows = counted.rows.join(often.select(F.col("g").alias("c"), F.col("n").alias("nc"), F.col("s").alias("parent")), "c")
+    rows = rows.select("c", "g", "n", "nc", turn("parent").bitwiseXOR(turn("c")).bitwiseXOR(F.col("g")).alias("s"))
+    known = stored(rows.join(below.select(F.col("g").alias("s"), F.col("p").alias("q"), "b"), "s"), "grams")
+    counted.remove()
     p = F.col("n") / F.col("nc")
-    sums = rows.groupBy("c").agg(F.first("parent").alias("parent"), F.first("nc").alias("nc"), F.count(F.lit(1)).alias("size"), F.sum(p).alias("p"), F.sum("q").alias("q"), F.sum(p * F.log(p / F.col("q"))).alias("far"))
+    sums = known.rows.groupBy("c").agg(F.first("nc").alias("nc"), F.count(F.lit(1)).alias("size"), F.sum(p).alias("p"), F.sum("q").alias("q"), F.sum(p * F.log(p / F.col("q"))).alias("far"))
     rest_p, rest_q = (F.greatest(F.lit(1e-12), 1 - F.col(x)) for x in "pq")
     gain = 2 * F.col("nc") * (F.col("far") + rest_p * F.log(rest_p / rest_q))
     left = F.greatest(F.lit(1e-12), 1 - F.col("p") + DISCOUNT * F.col("size") / F.col("nc"))
-    kept = checkpoint(sums.filter(gain > (F.col("size") + 1) * F.log("nc")).select("c", "parent", "nc", "size", F.log10(left / rest_q).alias("loglam")))
+    kept = stored(sums.filter(gain > (F.col("size") + 1) * F.log("nc")).select("c", "nc", "size", F.log10(left / rest_q).alias("loglam")), "contexts")
+    marked = known.rows.join(kept.rows.select("c", F.lit(True).alias("kept")), "c", "left")
     smooth = (F.col("n") - DISCOUNT) / F.col("nc")
-    marked = rows.join(kept.select("c", F.lit(True).alias("kept")), "c", "left")
-    below = checkpoint(marked.select("g", "s", "n", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p"), "b", F.when(F.col("kept"), F.col("c")).alias("c")))
-    shared.unpersist()
-    return kept, below
+    after = stored(marked.select("g", "s", "c", "n", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p"), "b"), "grams")
+    known.remove()
+    settle(spark)
+    return kept, after
 
 
-def send(contexts: DataFrame, entries: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, DataFrame, DataFrame]:
-    """The tree with the most frequent contexts, as many as HEAD allows with their entries, and tables of the others."""
-    least, room = 1 << 62, HEAD
-    by = contexts.groupBy(F.floor(F.log2("nc")).alias("e")).agg(F.sum(F.col("size") + 1).alias("n")).orderBy(F.desc("e")).collect()
-    for r in by:
+def _least(rows: DataFrame, count: str, room: int) -> int:
+    """The least count, a power of two, such that at most ``room`` rows have as much."""
+    least = 1 << 62
+    for r in rows.groupBy(F.floor(F.log2(count)).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("e")).collect():
         room -= r["n"]
         if room < 0:
-            break
+            return least
         least = 1 << r["e"]
-    rest = contexts.filter(F.col("nc") < least)
-    head = contexts.filter(F.col("nc") >= least)
-    own = head.select("c", "parent", "loglam").toArrow()
-    c = own["c"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(c)
-    told = entries.join(head.select("c"), "c", "left_semi").select("g", "gain").toArrow()
-    g = told["g"].to_numpy().astype(np.int64).view(np.uint64)
-    by_g = np.argsort(g)
-    tail = live_bits(rest, "c") if room < 0 else np.zeros(0, np.uint64)
-    parent = np.append(np.uint64(0), own["parent"].to_numpy().astype(np.int64).view(np.uint64)[order])
-    tree = Tree(total, vocabulary, sent, counts, c[order], parent, own["loglam"].to_numpy()[order].astype(float), g[by_g], told["gain"].to_numpy()[by_g].astype(float), tail)
-    return tree, rest, entries.join(rest.select("c"), "c", "left_semi")
-
-
-def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> Tree:
+    return 0
+
+
+def _table(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select(key, F.col(value).cast("float")).toArrow()
+    hashes = found[key].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found[value].to_numpy().astype(np.float32)[order]
+
+
+def send(found: States, depth: int, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, DataFrame]:
+    """The tree with the most frequent contexts and entries, and a table (h, v) of the others' values, contexts marked."""
+    parts, others, filters = [], [], []
+    for rows, key, count, value, room, mark in ((found.all("contexts"), "c", "nc", "loglam", HEAD_CONTEXTS, int(CONTEXT)), (found.all("entries"), "g", "n", "gain", HEAD_ENTRIES, 0)):
+        least = _least(rows, count, room)
+        parts += _table(rows.filter(F.col(count) >= least), key, value)
+        rest = rows.filter(F.col(count) < least)
+        others.append(rest.select(F.col(key).bitwiseXOR(F.lit(mark)).alias("h"), F.col(value).cast("float").alias("v")))
+        filters.append(live_bits(rest, key) if least else np.zeros(0, np.uint64))
+    return Tree(depth, total, vocabulary, sent, counts, *parts, *filters), others[0].unionByName(others[1])
+
+
+def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray, **limits) -> Tree:
     """The tree of texts (one column, text) all of whose words are sent."""
     words = training.sparkSession.createDataFrame(pd.DataFrame({"w": sent.view(np.int64), "n": counts.astype(np.int64)}), "w long, n long")
-    return send(*states(training, words, total, vocabulary), total, vocabulary, sent, counts)[0]
+    return send(states(training, words, total, vocabulary, **limits), limits.get("depth", DEPTH), total, vocabulary, sent, counts)[0]
+
+
+class Searches(NamedTuple):
+    """How far tokens get with the head of the tree. Each search goes from the longest context to the shortest: an entry ends
+    it with its gain, a context without the entry adds its share. ``known`` is what is added before anything outside of the
+    head is asked for; ask i (two an order: the entry, then the context) adds ``then`` when the search goes on past it."""
+
+    known: np.ndarray
+    asked: np.ndarray  #: tokens x asks, bool
+    hashes: np.ndarray  #: tokens x asks
+    then: np.ndarray  #: tokens x asks
 
 
-def lookups(value: np.ndarray, doc: np.ndarray, tree: Tree):
-    """Per order 1..DEPTH: places of tokens that have such a context, its hash, its position in the tree, the entry's hash
-    and position; and which tokens may have a context that is not in the tree."""
-    out, open_ = [], np.zeros(len(value), bool)
-    for k in range(1, DEPTH + 1):
+def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
+    n, outside = len(value), len(tree.other_contexts) + len(tree.other_entries) > 0
+    asks = 2 * tree.depth if outside else 0
+    asked, hashes, adds = np.zeros((n, asks), bool), np.zeros((n, asks), np.uint64), np.zeros((n, asks + 1))
+    live, last = np.ones(n, bool), np.zeros(n, np.int64)
+    for k in range(tree.depth, 0, -1):
         at, c, _, g = grams(value, doc, k)
+        on = live[at]
+        at, c, g = at[on], c[on], g[on]
         node = find(tree.contexts, c)
-        key = np.full(len(at), -1)
-        key[node >= 0] = find(tree.keys, g[node >= 0])
-        out.append((at, c, node, g, key))
-        if len(tree.tail):
-            open_[at[passes(tree.tail, c) & (node < 0)]] = True
-    return out, open_
+        # entries stand under kept contexts only
+        may = (node >= 0) | passes(tree.other_contexts, c)
+        at, c, g, node = at[may], c[may], g[may], node[may]
+        key = find(tree.keys, g)
+        hit = key >= 0
+        adds[at[hit], last[at[hit]]] += tree.gain[key[hit]]
+        live[at[hit]] = False
+        for ask, (mine, h, mark, some) in enumerate(((~hit, g, np.uint64(0), tree.other_entries), (~hit & (node < 0), c, CONTEXT, tree.other_contexts))):
+            if outside:
+                j = 2 * (tree.depth - k) + ask
+                open_ = mine & passes(some, h)
+                asked[at[open_], j], hashes[at[open_], j], last[at[open_]] = True, h[open_] ^ mark, j + 1
+        passed = ~hit & (node >= 0)
+        adds[at[passed], last[at[passed]]] += tree.loglam[node[passed]]
+    return Searches(adds[:, 0], asked, hashes, adds[:, 1:])
 
 
 def score_step(step: Step, tree: Tree):
     """Per text: tokens, known ones, sums of base and tree log-probabilities without the base part of words that were not
-    sent; and for those words (text, hash, number) rows. Tokens that may have a context outside the tree count as in the
-    empty one; ``_tail`` has the rest."""
+    sent and without what is asked for; and for those words (text, hash, number) rows."""
     value, firsts = tokens(step)
     doc = np.repeat(np.arange(step.n), np.diff(firsts))
     at = find(tree.sent, value)
     sent = at >= 0
     base = np.where(sent, tree.base(tree.counts[np.maximum(at, 0)]) if len(tree.sent) else 0.0, 0.0)
-    score = base.copy()
-    found, done = lookups(value, doc, tree)
-    for places, _, node, _, key in reversed(found):
-        live = (node >= 0) & ~done[places]
-        hit = live & (key >= 0)
-        score[places[hit]] += tree.gain[key[hit]]
-        done[places[hit]] = True
-        passed = live & (key < 0)
-        score[places[passed]] += tree.loglam[node[passed]]
-    sums = [np.bincount(doc, x, step.n) for x in (base, score)]
+    sums = [np.bincount(doc, x, step.n) for x in (base, base + search(value, doc, tree).known)]
     known = np.bincount(doc, sent, step.n).astype(np.int64)
     rest = np.flatnonzero(~sent)
     order = rest[np.lexsort((value[rest], doc[rest]))]
@@ -235,9 +280,12 @@ def score_step(step: Step, tree: Tree):
     return np.diff(firsts), known, *sums, doc[order][head], value[order][head], np.diff(np.append(head, len(order)))
 
 
-def _tail(sent):
-    """Rows of the tokens that may have a context outside the tree: per order hashes of context and entry, which match
-    nothing where the tree has the context, and what the tree has."""
+ASKS = "__key long, h array<long>, entry int, then array<float>"
+
+
+def _asks(sent):
+    """Rows of the tokens that ask for something outside of the head: hashes in the order of the search, which of them are
+    entries (bit by bit), and what is added past each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
@@ -246,34 +294,38 @@ def _tail(sent):
             for step in steps(batch.column(1)):
                 value, firsts = tokens(step)
                 doc = np.repeat(np.arange(step.n), np.diff(firsts))
-                found, open_ = lookups(value, doc, tree)
-                columns = {"__key": keys[step.first + doc[open_]]}
-                for k, (places, c, node, g, key) in enumerate(found, 1):
-                    # no such context, or one of the tree: spread over the hashes, so that no key is common
-                    ask = [mix(np.arange(len(value), dtype=np.uint64) + np.uint64(k) + value) for _ in "cg"]
-                    have = [np.full(len(value), np.nan) for _ in "lg"]
-                    miss = (node < 0) & passes(tree.tail, c)
-                    ask[0][places[miss]], ask[1][places[miss]] = c[miss], g[miss]
-                    have[0][places[node >= 0]] = tree.loglam[node[node >= 0]]
-                    have[1][places[key >= 0]] = tree.gain[key[key >= 0]]
-                    columns |= {f"c{k}": ask[0][open_].view(np.int64), f"g{k}": ask[1][open_].view(np.int64)}
-                    columns |= {f"{x}{k}": pa.array(v[open_], from_pandas=True) for x, v in zip(("lam", "gain"), have, strict=True)}
-                yield pa.RecordBatch.from_pydict(columns)
+                found = search(value, doc, tree)
+                some = found.asked.any(axis=1)
+                asked = found.asked[some]
+                number = np.cumsum(asked, axis=1) - 1
+                entry = (asked[:, 0::2].astype(np.int32) << number[:, 0::2].clip(0).astype(np.int32)).sum(axis=1).astype(np.int32)
+                cuts = pa.array(np.append(0, np.cumsum(asked.sum(axis=1))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.hashes[some][asked].view(np.int64), found.then[some][asked].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[step.first + doc[some]]), lists[0], pa.array(entry), lists[1]], names=["__key", "h", "entry", "then"])
 
     return run
 
 
-def tail_scores(docs: DataFrame, shared, contexts: DataFrame, entries: DataFrame) -> DataFrame:
-    """Per key what such tokens add to the base score, with the contexts and entries looked up by joins."""
-    fields = "".join(f", c{k} long, g{k} long, lam{k} double, gain{k} double" for k in range(1, DEPTH + 1))
-    rows = docs.mapInArrow(_tail(shared), "__key long" + fields)
-    add = F.lit(0.0)
-    for k in range(1, DEPTH + 1):
-        rows = rows.join(contexts.select(F.col("c").alias(f"c{k}"), F.col("loglam").alias(f"l{k}")), f"c{k}", "left")
-        rows = rows.join(entries.select(F.col("g").alias(f"g{k}"), F.col("gain").alias(f"e{k}")), f"g{k}", "left")
-        # an entry ends the search, a context without it passes on to the shorter ones, no context changes nothing
-        add = F.coalesce(F.col(f"gain{k}"), F.col(f"e{k}"), F.coalesce(F.col(f"lam{k}"), F.col(f"l{k}"), F.lit(0.0)) + add)
-    return rows.groupBy("__key").agg(F.sum(add).alias("__tail"))
+def asked_scores(docs: DataFrame, shared, others: DataFrame, depth: int) -> DataFrame:
+    """Per key what is asked for outside of the head adds to the score.
+
+    Each round joins the first ask of every search that is still open, most of which end there, and writes what is left.
+    Contexts and entries outside of the head are the rarer ones, so that no hash is common.
+    """
+    rows, done = docs.mapInArrow(_asks(shared), ASKS), []
+    for _ in range(2 * depth):
+        asked = rows.withColumn("__h", F.get("h", F.lit(0))).join(others.withColumnRenamed("h", "__h"), "__h", "left")
+        is_entry, past = F.col("entry").bitwiseAND(F.lit(1)) == 1, F.get("then", F.lit(0)).cast("double")
+        value = F.when(is_entry, F.coalesce(F.col("v").cast("double"), past)).otherwise(F.coalesce(F.col("v").cast("double"), F.lit(0.0)) + past)
+        on = (F.size("h") > 1) & ~(is_entry & F.col("v").isNotNull())
+        tail = lambda c: F.when(on, F.slice(c, 2, 2 * depth)).alias(c)
+        turn = stored(asked.select("__key", value.alias("value"), tail("h"), F.shiftright("entry", 1).alias("entry"), tail("then")), "asks")
+        done.append(turn.rows.select("__key", "value"))
+        rows = turn.rows.filter(F.col("h").isNotNull()).select("__key", "h", "entry", "then")
+        if rows.isEmpty():
+            break
+        settle(docs.sparkSession)
+    return reduce(DataFrame.unionByName, done).groupBy("__key").agg(F.sum("value").alias("__asked"))
 
 
 def _score(sent):
@@ -291,7 +343,7 @@ def _score(sent):
     return run
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, depth: int = DEPTH) -> DataFrame:
     """Per document (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are words between ASCII white space, A-Z lower-cased, then one end. Rows where ``held_out`` (a column of the
@@ -299,22 +351,24 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     gives the words it tells apart their discounted frequency and leaves the rest to its longest kept suffix, scaled so
     that probabilities still sum to 1. Each token is scored in the state of its longest kept suffix.
 
-    Counts cover all training texts. Frequent words are sent to the tasks; all others are joined to the full counts by
-    their hash, once per document and word, and so are contexts and entries beyond the HEAD most frequent. Null texts are empty and have the end alone; without training rows N and V
-    are 0. Repeated rows are scored alike.
+    Contexts of up to ``depth`` words with ``least_context`` occurrences are tested, and tell words apart that follow
+    ``least_next`` times: numbers that don't depend on the size of the corpus; with 1 and 1 every context and every next
+    word is counted. Counts cover all training texts. Frequent words, contexts and entries are sent to the tasks; all
+    others are joined by their hash. Null texts are empty and have the end alone; without training rows N and V are 0.
+    Rows alike in id and text are scored alike; null ids train.
     """
     spark = docs.sparkSession
     docs = pick(docs, id_col, text_col).toDF("__id", "text").withColumn("held_out", F.coalesce(held_out(F.col("__id")), F.lit(False)))
     docs = with_row_key(docs, "__id")
     training = docs.filter("not held_out").select("text")
-    counts = checkpoint(training.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    counts = stored(training.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words").rows
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, vocabulary = int(sums["n"] or 0), int(sums["v"])
     frequent: pd.DataFrame = counts.filter(F.col("n") >= max(1.0, SENT * total)).toPandas()
     hashes = frequent["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    kept = states(training, counts, total, vocabulary)
-    tree, contexts, entries = send(*kept, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
+    found = states(training, counts, total, vocabulary, least_context, least_next, depth)
+    tree, others = send(found, depth, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
     shared = spark.sparkContext.broadcast(tree)
     rows = docs.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(shared), "__key long, w long, m long, n_tokens long, n_known long, base double, score double, __id long")
     rows = rows.join(counts.filter(F.col("n") < max(1.0, SENT * total)).withColumnRenamed("n", "c"), "w", "left")
@@ -329,9 +383,9 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         F.sum(F.col("base") + rest).alias("base_score"),
         F.sum(F.col("score") + rest).alias("score"),
     )
-    if len(tree.tail):
-        more = tail_scores(docs.select("__key", "text"), shared, contexts, entries)
-        sums = sums.join(more, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__tail", F.lit(0.0)))
+    if len(tree.other_contexts) or len(tree.other_entries):
+        more = asked_scores(docs.select("__key", "text"), shared, others, depth)
+        sums = sums.join(more, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__asked", F.lit(0.0)))
     # rows alike share a key: their sums are divided again
     each = sums.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
     whole = [F.expr(f"{n} div __rows").alias(n) for n in ("n_tokens", "n_known")]
