@@ -30,9 +30,8 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", min_chars: int = 10, m
     return lost.groupBy("__key").agg(F.flatten(F.collect_list("at")).alias("drop"))
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """The documents with all their columns, the text being the lines left, and n_lines and n_dropped beside them; rules as
-    in line_dedup."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """The columns of documents as __c0, __c1, ..., whatever their names, and beside them the text left and line counts."""
     names = docs.columns
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     own, text = f"__c{names.index(id_col)}", f"__c{names.index(text_col)}"
@@ -42,11 +41,18 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.transform(left, lambda i: F.get(F.col("lines"), i))
     new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
-        *[(new if f"__c{i}" == text else F.col(f"__c{i}")).alias(n) for i, n in enumerate(names)],
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    counts = F.size("lines").cast("long").alias("__n"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__gone")
+    return joined.select(*[f"__c{i}" for i in range(len(names))], new.alias("__left"), *counts)
+
+
+def keep_own_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """The documents with their columns, whatever else these are called, the text being the lines left and ``chars_col``, if
+    there is one, its length; rules as in line_dedup. Documents that lose lines and have no word left go; all others stay,
+    those that had no word before among them."""
+    judged = _judged(docs, id_col, text_col, min_chars, min_docs)
+    judged = judged.filter((F.col("__gone") == 0) | (F.length(F.btrim("__left", F.lit(SPACES))) > 0))
+    new = {text_col: F.when(F.col("__gone") > 0, F.col("__left")).otherwise(F.col(f"__c{docs.columns.index(text_col)}")), chars_col: F.char_length("__left").cast("long")}
+    return judged.select(*[new.get(n, F.col(f"__c{i}")).alias(n) for i, n in enumerate(docs.columns)])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -57,4 +63,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id that holds them, where repeats stay too. Null and empty texts are one empty line. Rows that repeat an id
     are documents of their own which tie for smallest; null ids come after all others. An empty table gives no rows.
     """
-    return drop_shared_lines(pick(docs, id_col, text_col), id_col, text_col, min_chars, min_docs)
+    judged = _judged(pick(docs, id_col, text_col), id_col, text_col, min_chars, min_docs)
+    return judged.select(F.col("__c0").alias(id_col), F.col("__left").alias(text_col), F.col("__n").alias("n_lines"), F.col("__gone").alias("n_dropped"))
