@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, with_row_key
+from .common import checkpoint, map_rows, pick, with_row_key
 from .textscan import LOWER, WORD_CHAR, Step, pair, steps, word_hashes, words
 
-#: Words of benchmark text that one broadcast holds; more are searched block by block.
-BLOCK_WORDS = 4_000_000
+#: Bytes of benchmark text that one broadcast holds, or a single item if that is longer; more are searched block by block.
+BLOCK_BYTES = 4_000_000
+#: Bytes of training text, in whole documents, that one suffix array covers.
+SHARD = 8 << 20
 MATCH = "array<struct<at:int,words:int,item:string>>"
 SCHEMA = f"__key long, __id long, n_words long, hits array<int>, items array<string>, matches {MATCH}"
 
 
+class Windows(NamedTuple):
+    """The distinct windows of one length."""
+
+    size: int
+    keys: np.ndarray  #: words of each
+    low: np.ndarray  #: of each the first and the end position in starts
+    high: np.ndarray
+    starts: np.ndarray
+    of_head: np.ndarray  #: the windows of head h are those from of_head[h] to of_head[h + 1]
+
+
 class Tests:
     """A block of benchmark items, as word hashes with the items' borders.
 
@@ -26,7 +41,7 @@ class Tests:
     """
 
     def __init__(self, ids: list, texts: list, window: int):
-        self.ids = [str(x) for x in ids]
+        self.ids = [None if x is None else str(x) for x in ids]
         column = pa.array([t or "" for t in texts], pa.large_string())
         hashes, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for step in steps(column):
@@ -44,16 +59,20 @@ class Tests:
         self.window = window
         self.head = int(min(3, self.sizes.min())) if len(self.sizes) else 1
         self.heads = np.unique(_span(self.words, self.starts, self.head))
-        # each distinct window once, with the items that have it
+        # each distinct window once, by its head: its words, and where in ``starts`` the places are at which it stands
         self.by_size = []
         for n in np.unique(self.sizes):
-            mine = self.sizes == n
-            keys = _rows(self.words, self.starts[mine], int(n))
-            order = np.lexsort(keys.T[::-1])
-            keys, starts = keys[order], self.starts[mine][order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-            self.by_size.append((int(n), keys[new], np.append(np.flatnonzero(new), len(keys)), starts))
+            mine = self.starts[self.sizes == n]
+            rows = _rows(self.words, mine, int(n))
+            order = np.lexsort(rows.T[::-1])
+            rows, starts = rows[order], mine[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            low = np.flatnonzero(new)
+            high = np.append(low[1:], len(rows))
+            head = np.searchsorted(self.heads, _span(self.words, starts[low], self.head))
+            by = np.argsort(head, kind="stable")
+            self.by_size.append(Windows(int(n), rows[low[by]], low[by], high[by], starts, np.searchsorted(head[by], np.arange(len(self.heads) + 1))))
 
 
 def _span(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -119,23 +138,27 @@ def scan(step: Step, tests: Tests):
         at = at[at + tests.head <= ends[:n]]
         spans = _span(hashes, at, tests.head)
         place = np.minimum(np.searchsorted(tests.heads, spans), len(tests.heads) - 1)
-        at = at[tests.heads[place] == spans]
+        live = tests.heads[place] == spans
+        at, seen_heads = at[live], np.unique(place[live])
         if len(at):
             order, columns = suffix_array(hashes, ends[at], at, tests.window)
             at, columns = at[order], [c[order] for c in columns]
-            for size, keys, first, starts in tests.by_size:
-                low = np.searchsorted(columns[0], keys[:, 0], "left")
-                high = np.searchsorted(columns[0], keys[:, 0], "right")
+            for w in tests.by_size:
+                # of the benchmark only windows whose head this shard has: what is searched does not grow with the rest
+                n_of = w.of_head[seen_heads + 1] - w.of_head[seen_heads]
+                asked = np.arange(int(n_of.sum())) + np.repeat(w.of_head[seen_heads] - (np.cumsum(n_of) - n_of), n_of)
+                low = np.searchsorted(columns[0], w.keys[asked, 0], "left")
+                high = np.searchsorted(columns[0], w.keys[asked, 0], "right")
                 seen: dict[int, np.ndarray] = {}
-                for k in np.flatnonzero(high > low):
-                    a, b = _search(columns, size, keys[k], int(low[k]), int(high[k]))
+                for k, x, y in zip(asked.tolist(), low.tolist(), high.tolist(), strict=True):
+                    a, b = _search(columns, w.size, w.keys[k], x, y)
                     if a == b:
                         continue
                     where = at[a:b]
                     np.add.at(hit, where, 1)
-                    np.add.at(hit, where + size, -1)
-                    seen |= dict.fromkeys(where.tolist(), starts[first[k] : first[k + 1]])
-                matches += [(q, n, int(tests.item[t])) for q, n, t in extended(seen, size, found.doc)]
+                    np.add.at(hit, where + w.size, -1)
+                    seen |= dict.fromkeys(where.tolist(), w.starts[w.low[k] : w.high[k]])
+                matches += [(q, n, int(tests.item[t])) for q, n, t in extended(seen, w.size, found.doc)]
     return found, np.flatnonzero(np.cumsum(hit)[:-1] > 0), sorted(matches)
 
 
@@ -144,7 +167,7 @@ def _scanner(tests: Tests):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch.column("text")):
+            for step in steps(batch.column("text"), SHARD):
                 found, where, matches = scan(step, tests)
                 by = np.searchsorted(where, found.firsts)
                 own = (where - found.firsts[found.doc[where]]).astype(np.int32)
@@ -153,7 +176,8 @@ def _scanner(tests: Tests):
                 listed: list[list] = [[] for _ in range(step.n)]
                 for q, n, item in matches:
                     d = int(found.doc[q])
-                    named[d].add(tests.ids[item])
+                    if tests.ids[item] is not None:
+                        named[d].add(tests.ids[item])
                     listed[d].append({"at": q - int(found.firsts[d]), "words": n, "item": tests.ids[item]})
                 part = batch.slice(step.first, step.n)
                 yield pa.RecordBatch.from_arrays(
@@ -164,74 +188,107 @@ def _scanner(tests: Tests):
     return run
 
 
-def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Tests]:
-    """The benchmark in blocks of a bounded number of words, streamed to the driver partition by partition."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """The benchmark in (ids, texts) of a bounded size, streamed to the driver partition by partition; one at least."""
     ids, texts, size = [], [], 0
     for row in items.toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
-        size += len(row["text"] or "") // 2 + 1
-        if size >= block_words:
-            yield Tests(ids, texts, window)
+        size += len((row["text"] or "").encode())
+        if size >= block_bytes:
+            yield ids, texts
             ids, texts, size = [], [], 0
-    yield Tests(ids, texts, window)
+    if ids:
+        yield ids, texts
+
+
+def _in_blocks(benchmark: DataFrame, item_col: str, block_bytes: int) -> tuple[tuple[list, list], Iterator]:
+    """The first block, and an iterator over all blocks if there are more, else None."""
+    blocks = _blocks(pick(benchmark, item_col, "text").toDF("item_id", "text"), block_bytes)
+    first = next(blocks, ([], []))
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
+def _matches(docs: DataFrame, sent) -> DataFrame:
+    def run(batches):
+        yield from _scanner(sent.value)(batches)
+
+    return docs.select("__key", "__id", "text").mapInArrow(run, SCHEMA)
+
+
+def _once(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row of each key, and how many each has if some have more than one."""
+    rows = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
+    return (keyed.dropDuplicates(["__key"]), rows) if rows.filter("__rows > 1").take(1) else (keyed, None)
+
 
+def _block_by_block(docs: DataFrame, blocks: Iterator, window: int) -> DataFrame:
+    """The hits of rows (__key, __id, text) with all blocks, a row for each key. A block is sent, searched, its hits written,
+    and the block dropped by tasks and driver before the next one is read."""
+    spark, parts = docs.sparkSession, []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(Tests(*block, window))
+        found = _matches(docs, sent)
+        parts.append(checkpoint(found if not parts else found.filter(F.size("hits") > 0)))
+        sent.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)  # noqa: E731  as much as a text has, a few blocks each
+    return every.groupBy("__key").agg(F.max("__id").alias("__id"), F.max("n_words").alias("n_words"), joined("hits"), joined("items"), joined("matches"))
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document (id, n_words, n_hit, items array<string>, contaminated, matches, longest).
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. A window is ``window``
     consecutive words of an item, or the whole of a shorter item that has words. Each task sorts the suffixes of its
-    shard of the training text, looks every test window up by binary search and marks all suffixes in the range found, so
-    no document moves. Only suffixes whose first words start some window take part; the others cannot match. matches
-    are the longest verbatim matches, (at, words, item) with the place counted in words, and longest is the longest of
-    them (0 for none). Null texts have no words; an empty benchmark hits nothing. A benchmark over
-    ``block_words`` words is searched in blocks whose results are merged by document, so the broadcast stays bounded.
+    shard of the training text, looks test windows up by binary search and marks all suffixes in the range found, so
+    no document moves. Only suffixes whose first words start some window take part, and only windows that start so; the
+    others cannot match. matches are the longest verbatim matches, (at, words, item) with the place counted in words, and
+    longest is the longest of them (0 for none). Null texts have no words; an empty benchmark hits nothing. An item without
+    id hits like others, but is not listed in items; items that share an id are one in items. Rows alike in id and text get
+    equal results. A benchmark over ``block_bytes`` is searched in blocks whose results are merged by document; driver and
+    tasks hold one of them at a time.
     """
-    spark = docs.sparkSession
     docs = pick(docs, id_col, text_col).toDF("__id", "text").withColumn("__id", F.col("__id").cast("long"))
-    items = pick(benchmark, item_col, "text").toDF("item_id", "text")
-    parts = []
-    blocks = list(_blocks(items, window, block_words))
-    docs = with_row_key(docs, "__id") if len(blocks) > 1 else docs.withColumn("__key", F.lit(0).cast("long"))
-    for tests in blocks:
-        sent = spark.sparkContext.broadcast(tests)
-        parts.append(docs.select("__key", "__id", "text").mapInArrow(_deferred(sent), SCHEMA))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("__key", "__id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("__n"))
-        found = found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    first, blocks = _in_blocks(benchmark, item_col, block_bytes)
+    if blocks is None:
+        found = _matches(docs.withColumn("__key", F.lit(0).cast("long")), docs.sparkSession.sparkContext.broadcast(Tests(*first, window)))
+    else:
+        keyed = with_row_key(docs, "__id")
+        each, rows = _once(keyed)
+        found = _block_by_block(each, blocks, window)
+        if rows is not None:
+            found = found.join(rows, "__key").withColumn("__rows", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
     return found.select(F.col("__id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest"))
 
 
-def _deferred(sent):
-    def run(batches):
-        yield from _scanner(sent.value)(batches)
-
-    return run
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drops every document that holds a window of a benchmark item; columns and all other rows stay as they are.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Drops every document that holds a window of a benchmark item; columns and all other rows stay as they are, whatever
+    the columns are called. Null texts and empty tables hold nothing; rules as in benchmark_hits.
 
-    The decision is made where the document is read, so nothing is shuffled or joined.
+    The decision is made where the document is read, so nothing is shuffled or joined, if the benchmark is one block;
+    documents hit in any of more blocks are left out by their key.
     """
-    spark = docs.sparkSession
-    items = pick(benchmark, "item_id", "text")
-    blocks = [spark.sparkContext.broadcast(t) for t in _blocks(items, window, BLOCK_WORDS)]
+    first, blocks = _in_blocks(benchmark, item_col, block_bytes)
     at = docs.columns.index(text_col)
+    if blocks is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Tests(*first, window))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = np.zeros(batch.num_rows, bool)
-            for sent in blocks:
-                for step in steps(batch.column(at)):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
+                for step in steps(batch.column(at), SHARD):
                     found, where, _ = scan(step, sent.value)
                     bad[step.first + found.doc[where]] = True
-            yield batch.filter(pa.array(~bad))
-
-    return map_rows(docs, run)
-
-
+                yield batch.filter(pa.array(~bad))
+
+        return map_rows(docs, run)
+    names = docs.columns
+    inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    own = {"__id": F.col(f"__c{names.index(id_col)}").cast("long"), "text": F.col(f"__c{at}")}
+    keyed = with_row_key(inner.withColumns(own), "__id")
+    hit = _block_by_block(_once(keyed)[0], blocks, window).filter(F.size("hits") > 0).select("__key")
+    return keyed.join(hit, "__key", "left_anti").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)
