@@ -110,6 +110,50 @@ def unigram(docs: dict) -> dict:
     return {d: (held[d], len(w), sum(counts[x] > 0 for x in w), total, sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in w)) for d, w in toks.items()}
 
 
+def suffix_tree(docs: dict, least_context: int, least_next: int, depth: int, held=lambda d: zlib.crc32(str(d).encode()) % 10 == 0):
+    """A function (history, token) to log10 probabilities, from contexts that are dictionaries; None is the end of a text."""
+    toks = [[*words(lower(t)), None] for d, t in docs.items() if not held(d)]
+    counts = [Counter(tuple(w[i : i + k]) for w in toks for i in range(len(w) - k + 1)) for k in range(1, depth + 2)]
+    total, kinds = counts[0].total(), len(counts[0])
+    share = lambda w: (counts[0][(w,)] + 0.1) / (total + 0.1 * (kinds + 1))
+    level = {g: share(g[0]) for g, n in counts[0].items() if n >= least_next}
+    tree = {}
+    for k in range(1, depth + 1):
+        after, new = defaultdict(dict), {}
+        for g, n in counts[k].items():
+            if n >= least_next and g[:-1] in level and counts[k - 1][g[:-1]] >= least_context and g[1:] in level:
+                after[g[:-1]][g[-1]] = n
+        for c, nexts in after.items():
+            nc = counts[k - 1][c]
+            q = {w: level[(*c[1:], w)] for w in nexts}
+            rest_p, rest_q = max(1e-12, 1 - sum(nexts.values()) / nc), max(1e-12, 1 - sum(q.values()))
+            far = sum(n / nc * math.log(n / nc / q[w]) for w, n in nexts.items()) + rest_p * math.log(rest_p / rest_q)
+            keep = 2 * nc * far > (len(nexts) + 1) * math.log(nc)
+            new |= {(*c, w): (n - 0.5) / nc if keep else q[w] for w, n in nexts.items()}
+            if keep:
+                left = max(1e-12, 1 - sum(nexts.values()) / nc + 0.5 * len(nexts) / nc)
+                tree[c] = ({w: (n - 0.5) / nc for w, n in nexts.items()}, math.log10(left / rest_q))
+        level = new
+
+    def logp(history: tuple, w) -> float:
+        passed = 0.0
+        for k in range(min(depth, len(history)), 0, -1):
+            if (c := history[-k:]) in tree:
+                told, loglam = tree[c]
+                if w in told:
+                    return passed + math.log10(told[w])
+                passed += loglam
+        return passed + math.log10(share(w))
+
+    return logp, tree
+
+
+def suffix_scores(docs: dict, *limits, **more) -> dict:
+    logp, _ = suffix_tree(docs, *limits, **more)
+    toks = {d: (*words(lower(t)), None) for d, t in docs.items()}
+    return {d: sum(logp(w[max(0, i - limits[2]) : i], x) for i, x in enumerate(w)) for d, w in toks.items()}
+
+
 def lines(docs: dict) -> dict:
     split = {d: (t or "").split("\n") for d, t in docs.items()}
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
@@ -184,3 +228,96 @@ def fingerprints(docs: dict) -> dict:
         new = fingerprint(edited)
         out[d] = (len(t), sha(edited), ".".join(own[d]), ".".join(new), like(own[d], new), like(own[d], own[after]))
     return out
+
+
+def hash64(*values) -> int:
+    """The engine's 64-bit hash of longs and texts, nulls left out, as a signed number."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if v == 1 and not isinstance(v, Long) else "<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+class Long(int):
+    """An eight-byte number; the plain 1 is the four-byte literal of a second hash."""
+
+
+def uniform(seed: list[int], n: int) -> list[float]:
+    import numpy as np
+
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))).random(n).tolist()
+
+
+def pivots(rows: list[tuple[float, float]], seed: list[int]) -> tuple[list[int], int | None, float]:
+    """Rounds (size, part) one after the other; (roundings, the open one, its part)."""
+    out, hold, q, draw = [0] * len(rows), None, 0.0, uniform(seed, len(rows))
+    shut = lambda x: x <= 1e-9 or x >= 1 - 1e-9
+    for i, (size, p) in enumerate(rows):
+        if size <= 0 or p <= 1e-12:
+            continue
+        if p >= 1 - 1e-12:
+            out[i] = 1
+        elif hold is None:
+            hold, q = i, p
+        else:
+            t = rows[hold][0]
+            to_hold, to_i = min((1 - q) * t, p * size), min(q * t, (1 - p) * size)
+            moved = to_hold if draw[i] * (to_hold + to_i) < to_i else -to_i
+            q, p = q + moved / t, p - moved / size
+            if shut(q):
+                out[hold], hold = round(q), None
+            if shut(p):
+                out[i] = round(p)
+            elif hold is None:
+                hold, q = i, p
+    return out, hold, q
+
+
+def mixed(docs: dict, leaf: int, fan_in: int, weights=(3, 1, 2), share=1.5, most=2.0, seed=20) -> dict:
+    """{id: (source size, target, words taken)} of {id: (text, source)} with distinct ids."""
+    sources = sorted({s for _, s in docs.values()}, key=lambda s: (s is None, s or ""))
+    size = {d: len(words(t)) for d, (t, _) in docs.items()}
+    total = {s: sum(size[d] for d in docs if docs[d][1] == s) for s in sources}
+    open_, left, target = [s for s in sources if total[s]], share * sum(size.values()), dict.fromkeys(sources, 0.0)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    while over := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > most * total[s]]:
+        target |= {s: most * total[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    out = {}
+    for rank, s in enumerate(sources):
+        own = [d for d in docs if docs[d][1] == s]
+        rate, n = target[s] / total[s] if total[s] else 0.0, -(-len(own) // leaf)
+        whole = math.floor(rate + 1e-12)
+        of = defaultdict(list)
+        for d in own:
+            t = docs[d][0] or ""
+            h1, h2 = hash64(t), hash64(1, t)
+            of[hash64(Long(d), s, Long(size[d]), Long(h1), Long(h2)) % n].append((-size[d], d, h1, h2))
+        extra, rest = dict.fromkeys(own, 0), []
+        for k in sorted(of):
+            rows = sorted(of[k])
+            rounding, hold, q = pivots([(size[d], rate - whole) for _, d, *_ in rows], [seed, rank, k, 0])
+            extra |= {d: r for (_, d, *_), r in zip(rows, rounding, strict=True)}
+            if hold is not None:
+                rest.append((k, rows[hold][1], q, k))
+        deepest, level = len(own) // leaf + 1, 0
+        while rest:
+            level += 1
+            last = deepest <= 1
+            if not last:
+                rest, deepest = [(k, d, q, node // fan_in) for k, d, q, node in rest], -(-deepest // fan_in)
+            up = []
+            for node in sorted({r[3] for r in rest}):
+                rows = [r for r in rest if r[3] == node]
+                rounding, hold, q = pivots([(size[d], p) for _, d, p, _ in rows], [seed, rank, node, level])
+                extra |= {d: r for (_, d, _, _), r in zip(rows, rounding, strict=True)}
+                if hold is not None and last:
+                    extra[rows[hold][1]] = int(uniform([seed, rank, node, level, 1], 1)[0] < q)
+                elif hold is not None:
+                    up.append((rows[hold][0], rows[hold][1], q, node))
+            rest = up
+        out |= {d: (total[s], target[s], (whole + extra[d]) * size[d]) for d in own}
+    return out

@@ -273,13 +273,17 @@ def test_signature_estimate(spark):
 
 # ---- language model
 
-def test_suffix_tree(docs, texts):
-    rows = {r["doc_id"]: r for r in suffix_tree.score_texts(docs, lambda i: queries.remainder(i, 10) == 0).collect()}
+@pytest.mark.parametrize("limits", [(10, 2, 3), (1, 1, 2), (3, 2, 4)])
+def test_suffix_tree(docs, texts, limits):
+    """Base scores, and scores under the default limits, with every context and next word counted, and with longer contexts."""
+    found = suffix_tree.score_texts(docs, lambda i: queries.remainder(i, 10) == 0, least_context=limits[0], least_next=limits[1], depth=limits[2])
+    rows = {r["doc_id"]: r for r in found.collect()}
+    scores = brute.suffix_scores(texts, *limits)
     for i, (held, n, known, total, base) in brute.unigram(texts).items():
         r = rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
         assert r["base_score"] == pytest.approx(base, abs=1e-6)
-        assert r["score"] <= 0
+        assert r["score"] == pytest.approx(scores[i], rel=1e-5, abs=1e-4), i
 
 
 def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
@@ -288,6 +292,8 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     import numpy as np
     import pyarrow as pa
 
+    from codeloom.llm.textscan import steps
+
     rng = random.Random(2)
     follow = {"a": "b", "b": "c", "c": "a"}
     lines = []
@@ -304,21 +310,23 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     order = np.argsort(batch.column(0).to_numpy().view(np.uint64))
     sent, n = batch.column(0).to_numpy().view(np.uint64)[order], batch.column(1).to_numpy().astype(float)[order]
     tree = suffix_tree.grow(df.select("text"), int(n.sum()), len(n), sent, n)
-    assert len(tree.parent) > 1
-    # after each context, the probabilities of all known words, the end and one unknown word sum to 1
-    column = pa.array([f"{c} {x}".strip() for c in ("a", "b", "c", "a b") for x in ("", "a", "b", "c", "zz")])
-    from codeloom.llm.textscan import steps
+    assert len(tree.contexts) >= 3
+
+    def probability(context, word):
+        """Of a word, or of the end, after a context."""
+        at = len(context.split())
+        value, _ = suffix_tree.tokens(next(steps(pa.array([f"{context} {word or ''}"]))))
+        known = suffix_tree.search(value, np.zeros(len(value), int), tree).known[at]
+        place = suffix_tree.find(tree.sent, value[at : at + 1])[0]
+        return 10 ** (known + tree.base(np.array([tree.counts[place] if place >= 0 else 0.0]))[0])
 
-    step = next(steps(column))
-    _, _, _, whole, doc, word, m = suffix_tree.score_step(step, tree)
-    whole = whole.copy()
-    np.add.at(whole, doc, tree.base(np.zeros(len(doc))) * m)
-    end = suffix_tree.score_step(next(steps(pa.array([""]))), tree)[3][0]
-    assert np.isfinite(whole).all() and end < 0
+    for context in ("", "a", "b", "c", "a b", "b b", "c a b", "a a a", "zz", "zz a"):
+        # all known words, the end, and one word that training doesn't have
+        assert sum(probability(context, w) for w in ("a", "b", "c", None, "unknown")) == pytest.approx(1, abs=1e-5), context
 
 
-def test_suffix_tree_keeps_contexts_of_small_share(spark, monkeypatch):
-    """A sharp context of 20 occurrences among 300,000 tokens is a state, whether sent to the tasks or joined."""
+def test_suffix_tree_keeps_contexts_of_small_share(spark):
+    """A sharp context of 20 occurrences among 300,000 tokens is a state."""
     import random
 
     rng = random.Random(3)
@@ -326,12 +334,19 @@ def test_suffix_tree_keeps_contexts_of_small_share(spark, monkeypatch):
     for i in range(20):
         lines[i] += " seldom sharp"
     df = spark.createDataFrame([*enumerate(lines, 1), (0, "seldom sharp")], "doc_id long, text string")
-    score = lambda: {r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_tree.score_texts(df, lambda i: i == 0).collect()}
-    sent = score()
-    assert sent[0][1] > sent[0][0] + 3  # sharp after seldom: nearly 1, not 20 in 300,000
-    monkeypatch.setattr(suffix_tree, "HEAD", 1)
-    joined = score()
-    assert all(joined[i] == pytest.approx(sent[i]) for i in sent)
+    row = suffix_tree.score_texts(df, lambda i: i == 0).filter("doc_id = 0").first()
+    assert row["score"] > row["base_score"] + 3  # sharp after seldom: nearly 1, not 20 in 300,000
+
+
+@pytest.mark.parametrize(("contexts", "entries", "bits"), [(1, 1, 1 << 20), (40, 200, 1 << 20), (0, 10**9, 1 << 20), (10**9, 0, 1 << 20), (30, 100, 2)])
+def test_suffix_tree_outside_of_the_head(docs, texts, monkeypatch, contexts, entries, bits):
+    """Scores don't depend on what is sent to the tasks and what is joined, nor on filters that pass what they should not."""
+    monkeypatch.setattr(suffix_tree, "HEAD_CONTEXTS", contexts)
+    monkeypatch.setattr(suffix_tree, "HEAD_ENTRIES", entries)
+    monkeypatch.setattr(suffix_tree, "FILTER", bits)
+    got = by_id(suffix_tree.score_texts(docs, lambda i: queries.remainder(i, 10) == 0, least_context=3), "score")
+    want = brute.suffix_scores(texts, 3, 2, 3)
+    assert got.keys() == want.keys() and all(got[i][0] == pytest.approx(want[i], rel=1e-5, abs=1e-4) for i in want)
 
 
 # ---- lines
@@ -367,6 +382,63 @@ def test_mixing(docs, texts):
         assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
 
 
+def test_mixing_equals_a_plain_version(spark, docs, texts):
+    """Leaf by leaf the same draws, one row at a time."""
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    got = by_id(mixing.mix(docs), "source_size", "target", "taken")
+    want = brute.mixed({i: (texts[i], sources[i]) for i in texts}, mixing.LEAF, mixing.FAN_IN)
+    assert got.keys() == want.keys()
+    for i, (size, target, taken) in want.items():
+        assert got[i][0] == size and got[i][1] == pytest.approx(target) and got[i][2] == taken, i
+
+
+def test_mixing_of_rows_alike(spark, monkeypatch):
+    """A third of all rows is one row with null id: no leaf holds them apart, and each stays within twice its size."""
+    monkeypatch.setattr(mixing, "LEAF", 20)
+    rows = [(None, "a b c", "s")] * 3000 + [(i, "w " * (i % 9), f"s{i % 2}" if i % 3 else "s") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(df)
+    assert got.count() == 9000 and got.filter("taken > 2 * size or size = 0 and copies > 2").count() == 0
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("x")).collect():
+        assert abs(r["t"] - r["x"]) <= 8, r
+    leaves = mixing.rounded(mixing._columns(df, "doc_id", "text", "source"), (3, 1, 2), 1.5, 2.0, 20)
+    assert leaves.filter("doc_id is null").count() == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_drawn_keeps_columns_and_leaves_out_texts_without_words(spark):
+    df = spark.createDataFrame([(i, t, "s", 7, "mine") for i, t in enumerate(["a b", "", None, " \n", "c d e f"] * 30)], "doc_id long, text string, source string, n int, COPY string")
+    out = mixing.drawn(df, share=1.9, copy_col="_copy")
+    assert out.columns == [*df.columns, "_copy"] and {r["text"] for r in out.collect()} == {"a b", "c d e f"}
+    assert mixing.drawn(df.drop("COPY"), share=1.9).filter("copy > 2").count() == 0
+
+
+def test_more_sources_than_a_driver_solves_for_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    rows = [(i, "a b", f"s{i}") for i in range(4)]
+    assert mixing.mix(spark.createDataFrame(rows[:3], "doc_id long, text string, source string")).count() == 3
+    with pytest.raises(ValueError, match="over 3 sources"):
+        mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_water_fill_of_many_sources():
+    """Linear but for one sort, and equal to filling in rounds."""
+    import random
+
+    rng = random.Random(4)
+    sizes, weights = [rng.choice((0, 1, 10, 1000)) * rng.random() for _ in range(300)], [rng.choice((1, 2, 3)) for _ in range(300)]
+    open_, left, want = [i for i in range(300) if sizes[i] > 0], 1.5 * sum(sizes), [0.0] * 300
+    while over := [i for i in open_ if left * weights[i] / sum(weights[k] for k in open_) > 2 * sizes[i]]:
+        for i in over:
+            want[i] = 2 * sizes[i]
+            left -= want[i]
+        open_ = [i for i in open_ if i not in over]
+    for i in open_:
+        want[i] = left * weights[i] / sum(weights[k] for k in open_)
+    assert mixing.water_fill(sizes, weights, 1.5, 2.0) == pytest.approx(want)
+    assert sum(mixing.water_fill([1.0] * 200_000, [3, 1, 2] * 66_666 + [3, 1], 1.5, 2.0)) == pytest.approx(300_000)
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10], [3, 1, 2], 1.5, 2.0) == [20.0, pytest.approx(25 / 3), pytest.approx(50 / 3)]
     assert mixing.water_fill([0, 5], [1, 1], 1.5, 2.0) == [0.0, 7.5]
@@ -415,10 +487,40 @@ def test_contamination(spark, docs, texts, window):
     assert kept == {i for i, v in want.items() if not v[4]}
 
 
-def test_contamination_in_blocks(spark, docs, texts):
+@pytest.mark.parametrize("block_bytes", [1, 60, 400])
+def test_contamination_in_blocks(spark, docs, texts, monkeypatch, block_bytes):
+    """Results are those of one block, and one block is alive at a time."""
+    import gc
+    import weakref
+
+    alive, most = weakref.WeakSet(), []
+
+    whole = decontaminate.Tests
+
+    def counted(*args):
+        made = whole(*args)
+        alive.add(made)
+        gc.collect()
+        most.append(len(alive))
+        return made
+
+    monkeypatch.setattr(decontaminate, "Tests", counted)
     table, plain = items(spark, texts)
-    found = decontaminate.benchmark_hits(docs, table, 10, block_words=20)
-    same({r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in found.collect()}, {i: v[:3] for i, v in brute.contamination(texts, plain).items()})
+    want = brute.contamination(texts, plain)
+    found = decontaminate.benchmark_hits(docs, table, 10, block_bytes=block_bytes)
+    same({r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in found.collect()}, {i: v[:3] for i, v in want.items()})
+    assert len(most) > 1 and max(most) <= 2  # the one before may wait for the collector
+    kept = decontaminate.decontaminate(docs, table, 10, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
+
+
+def test_items_without_id(spark):
+    """They hit, but are not listed; an id that repeats is one item."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "doc_id long, text string")
+    for size in (1, 10_000):
+        table = spark.createDataFrame([(None, "a b"), (5, "e"), (5, "d"), (None, None)], "item_id long, text string")
+        got = by_id(decontaminate.benchmark_hits(docs, table, block_bytes=size), "n_hit", "items", "contaminated")
+        assert got == {1: (2, [], True), 2: (2, ["5"], True), 3: (0, [], False)}
 
 
 def test_longest_verbatim_matches(spark):
@@ -454,7 +556,7 @@ def run_all(df, spark):
         "one": near_dedup.keep_one(df),
         "tree": suffix_tree.score_texts(df, lambda i: queries.remainder(i, 10) == 0),
         "lines": line_dedup.line_dedup(df),
-        "cut": line_dedup.drop_shared_lines(df),
+        "cut": line_dedup.keep_own_lines(df),
         "mix": mixing.mix(df),
         "drawn": mixing.drawn(df),
         "hits": decontaminate.benchmark_hits(df, bench),
@@ -465,7 +567,7 @@ def run_all(df, spark):
 def test_odd_rows(spark, odd):
     n = odd.count()
     got = {k: v.collect() for k, v in run_all(odd, spark).items()}
-    for name in ("secrets", "substrings", "fingerprints", "language", "near", "tree", "lines", "cut", "mix", "hits"):
+    for name in ("secrets", "substrings", "fingerprints", "language", "near", "tree", "lines", "mix", "hits"):
         assert len(got[name]) == n, name
     removed = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got["substrings"])
     assert removed == [(0, 0, 0), (0, 50, 50), (1, 6, 0), (1, 50, 50), (1, 50, 50), (2, 0, 0), (3, 1, 0), (4, 100, 100)]
@@ -476,7 +578,7 @@ def test_odd_rows(spark, odd):
     assert lines == [(0, 1, 0), (0, 1, 1), (1, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 2, 2)]
     assert all(r["taken"] <= 2 * r["size"] for r in got["mix"])
     assert {r["n_words"] for r in got["hits"] if r["contaminated"]} == {50, 100}
-    assert {tuple(sorted(v.columns)) for k, v in run_all(odd, spark).items() if k in ("identified", "one", "clean")} == {tuple(sorted(odd.columns))}
+    assert {tuple(sorted(v.columns)) for k, v in run_all(odd, spark).items() if k in ("identified", "one", "clean", "cut")} == {tuple(sorted(odd.columns))}
 
 
 def test_empty_tables(spark, none):
