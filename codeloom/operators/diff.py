@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +12,15 @@ from pyspark.sql import functions as F
 
 HUNK = "struct<old_start:int,old_lines:int,new_start:int,new_lines:int,lines:array<struct<type:string,content:string,old_line:int,new_line:int>>>"
 FILE = f"struct<old_path:string,new_path:string,status:string,binary:boolean,hunks:array<{HUNK}>>"
-_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.ASCII)
-_PATHS = re.compile(r'diff --git (\S+|"(?:[^"\\]|\\.)*") (\S+|"(?:[^"\\]|\\.)*")$')
+
+# The words of the format.
+BORDER = "diff --git "
+RANGE = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.ASCII)
+PATH = r'(\S+|"(?:[^"\\]|\\.)*")'
+PATHS = re.compile(f"{BORDER}{PATH} {PATH}$")
+NOTE = re.compile(r"(?P<added>new file mode)|(?P<deleted>deleted file mode)|(?P<binary>Binary files |GIT binary patch$)|rename from (?P<renamed_old>.*)|rename to (?P<renamed_new>.*)|--- (?P<old>.*)|\+\+\+ (?P<new>.*)", re.DOTALL)
+#: First characters of lines in a hunk: what they are, and whether the old and the new side have them.
+KINDS = {" ": ("context", 1, 1), "": ("context", 1, 1), "-": ("del", 1, 0), "+": ("add", 0, 1)}
 
 
 def clean_path(raw: str) -> str | None:
@@ -22,71 +30,59 @@ def clean_path(raw: str) -> str | None:
         return None
     if len(raw) >= 2 and raw[0] == raw[-1] == '"':
         raw = re.sub(r'\\(["\\])', r"\1", raw[1:-1])
-    return raw[2:] if raw[:2] in ("a/", "b/") else raw
+    return raw.removeprefix(raw[:2]) if raw[:2] in ("a/", "b/") else raw
+
 
+def _blocks(lines: list[str], starts: list[int]) -> list[list[str]]:
+    return [lines[a:b] for a, b in pairwise([*starts, len(lines)])]
 
-class _Open:
-    """The hunk being read: how many lines of either side are still to come, and their next numbers."""
 
-    def __init__(self, header: re.Match):
-        old, n_old, new, n_new = header.groups()
-        self.old, self.new = int(old), int(new)
-        self.left_old, self.left_new = (1 if n is None else int(n) for n in (n_old, n_new))
-        self.record = {"old_start": self.old, "old_lines": self.left_old, "new_start": self.new, "new_lines": self.left_new, "lines": []}
+def _hunk(block: list[str]) -> tuple[dict, list[str]]:
+    """The hunk at the head of a block, and the lines that are not of it.
 
-    def take(self, line: str) -> bool:
-        """Adds a line if one is due. The counts decide, not the prefixes of what follows: a removed ``-- x`` reads as ``--- x``."""
-        if self.left_old <= 0 and self.left_new <= 0:
-            return False
-        kind = {"+": "add", "-": "del", " ": "context", "": "context"}.get(line[:1])
-        if kind is None:
-            return False
-        on_old, on_new = kind != "add", kind != "del"
-        self.record["lines"].append({"type": kind, "content": line[1:], "old_line": self.old if on_old else None, "new_line": self.new if on_new else None})
-        self.old, self.left_old = self.old + on_old, self.left_old - on_old
-        self.new, self.left_new = self.new + on_new, self.left_new - on_new
-        return True
+    Each side has a prefix sum of the lines before it. A line is the hunk's as long as the sum of either side is short of
+    the header's count, and its number is the side's start plus the sum: ``--- x`` is a removed line where one is due.
+    """
+    first, *body = block
+    old, n_old, new, n_new = (1 if n is None else int(n) for n in RANGE.match(first).groups())
+    kinds = [KINDS.get(line[:1], (None, 0, 0)) for line in body]
+    sums = zip(accumulate((k[1] for k in kinds), initial=0), accumulate((k[2] for k in kinds), initial=0), strict=True)
+    lines, other = [], []
+    for text, (kind, on_old, on_new), (i, j) in zip(body, kinds, sums, strict=False):
+        if kind and (i < n_old or j < n_new):
+            lines.append({"type": kind, "content": text[1:], "old_line": old + i if on_old else None, "new_line": new + j if on_new else None})
+        else:
+            other.append(text)
+    return {"old_start": old, "old_lines": n_old, "new_start": new, "new_lines": n_new, "lines": lines}, other
+
+
+def _file(block: list[str]) -> dict:
+    """A file from the lines between two borders; what is outside of hunks says what became of it."""
+    named = PATHS.match(block[0])
+    heads = [i for i, line in enumerate(block) if RANGE.match(line)]
+    read = [_hunk(b) for b in _blocks(block, heads)]
+    outside = block[1 : heads[0]] if heads else block[1:]
+    paths = dict(zip(("old", "new"), (clean_path(x) for x in named.groups()) if named else (None, None), strict=True))
+    status, binary = "modified", False
+    for m in filter(None, map(NOTE.match, [*outside, *(x for _, other in read for x in other)])):
+        word, _, side = m.lastgroup.partition("_")
+        binary |= word == "binary"
+        if word in ("added", "deleted", "renamed"):
+            status = word
+        if (side or word) in paths:
+            paths[side or word] = clean_path(m[m.lastgroup])
+    gone = {"added": "old", "deleted": "new"}.get(status)
+    old, new = (None if side == gone else path for side, path in paths.items())
+    return {"old_path": old, "new_path": new, "status": status, "binary": binary, "hunks": [hunk for hunk, _ in read]}
 
 
 def parse(text: str | None) -> list[dict]:
-    """The files of a unified diff, with hunks and numbered lines. Null and text without headers have none."""
-    files: list[dict] = []
-    hunk: _Open | None = None
-    for line in re.split(r"\r?\n", text or ""):
-        if line.startswith("diff --git "):
-            named = _PATHS.match(line)
-            old, new = (clean_path(named[1]), clean_path(named[2])) if named else (None, None)
-            files.append({"old_path": old, "new_path": new, "status": "modified", "binary": False, "hunks": []})
-            hunk = None
-        elif not files or hunk and hunk.take(line) or line.startswith("\\"):
-            continue
-        elif header := _HUNK.match(line):
-            hunk = _Open(header)
-            files[-1]["hunks"].append(hunk.record)
-        else:
-            _file_header(files[-1], line)
-    for f in files:
-        if f["status"] == "added":
-            f["old_path"] = None
-        elif f["status"] == "deleted":
-            f["new_path"] = None
-    return files
-
-
-def _file_header(file: dict, line: str) -> None:
-    if line.startswith("new file mode"):
-        file["status"] = "added"
-    elif line.startswith("deleted file mode"):
-        file["status"] = "deleted"
-    elif line.startswith(("rename from ", "rename to ")):
-        _, side, path = line.split(" ", 2)
-        file["status"], file["old_path" if side == "from" else "new_path"] = "renamed", clean_path(path)
-    elif line.startswith("Binary files ") or line == "GIT binary patch":
-        file["binary"] = True
-    elif line.startswith("--- "):
-        file["old_path"] = clean_path(line[4:])
-    elif line.startswith("+++ "):
-        file["new_path"] = clean_path(line[4:])
+    """The files of a unified diff, with hunks and numbered lines. Null and text without borders have none.
+
+    Lines cannot be told from borders and headers of hunks by accident, since lines of a hunk start with a mark or are
+    empty; so a text is cut at borders, files are cut at headers, and each piece is read by itself."""
+    lines = re.split(r"\r?\n", text or "")
+    return [_file(b) for b in _blocks(lines, [i for i, line in enumerate(lines) if line.startswith(BORDER)])]
 
 
 def diff_files(changes: DataFrame, diff_col: str = "diff", keys: tuple[str, ...] = ("review_id",)) -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes the rows to the folder in ``spark.checkpoint.dir`` and reads them from there from then on; a lost executor
-    takes nothing along. A session without the setting, as in tests, gets a temporary folder."""
+    takes nothing along. A local session without the setting, as in tests, gets a temporary folder; on a cluster that is an
+    error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rounds-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rounds-"))
     return df.checkpoint(eager=True)

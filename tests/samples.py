@@ -1,135 +1,163 @@
-"""A small repository and change used by several tests."""
+"""A small repository of a harbour's programs, and a change to one more file of it, used by several tests."""
 
 from __future__ import annotations
 
 FILES = {
-    "src/shape.ts": """export function scale(v: number): number {
-  return Math.floor(v * 10) / 10;
-}
+    "app/clock.ts": """const PER_HOUR = 60;
 
-export class Point {
-  constructor(readonly x: number) {}
+/** Minutes since midnight. */
+export function minutes(time: string): number {
+  const [h, m] = time.split(':').map(Number);
+  return h * PER_HOUR + m;
+}
 
-  move(by: Point): Point {
-    return new Point(scale(this.x + by.x));
+export class Span {
+  constructor(public from: number, public to: number) {}
+  get length() { return this.to - this.from; }
+  static of(a: string, b: string) {
+    return new Span(minutes(a), minutes(b));
+  }
+  overlaps(other: Span): boolean {
+    return !this.empty() && other.contains(this.from);
   }
+  contains(t: number): boolean {
+    return t >= this.from && t < this.to;
+  }
+  private empty() { return this.length <= 0; }
 }
 """,
-    "src/node.ts": """export abstract class Node<T> {
-  check(): void {
-    if (!this.ready()) throw new Error(`not ${this.name()} ready`);
+    "app/vessel.ts": """import type { Span } from './clock';
+
+export interface Timetabled { slots: Span[] }
+
+export abstract class Vessel {
+  protected berth?: string;
+  abstract capacity(): number;
+  moor(where: string): this {
+    this.berth = where;
+    this.note(`moored at ${where} with ${this.capacity()} seats`);
+    return this;
   }
-  abstract ready(): boolean;
-  name() { return 'node'; }
+  protected note(text: string) { console.info(text); }
 }
 """,
-    "src/math/index.ts": "export const total = (xs: number[]) => xs.reduce((a, b) => a + b, 0);\n",
-    "src/tree.ts": """import { Point, scale as sc } from './shape.js';
-import * as math from './math';
-import { Node } from './node';
-import vendor from 'vendor';
-
-export interface Leaf extends Named, Sized<number> {
-  size: number;
-}
-export type Pair = [Leaf, Leaf];
-export enum Side { Left, Right }
+    "app/ferries/ferry.ts": """import * as clock from '../clock.js';
+import { Vessel, type Timetabled } from '../vessel';
+import axios from 'axios';
 
-export class Tree extends Node<Leaf> implements Named {
-  private leaves: Leaf[] = [];
-  static limit = 3;
-  onAdd = (leaf: Leaf): void => { this.check(); };
+export type Deck = 'car' | 'foot';
+export enum Class { Day, Night }
 
-  add(leaf: Leaf) {
-    this.check();
-    this.leaves.push(leaf);
-  }
+export class Ferry extends Vessel implements Timetabled {
+  slots: clock.Span[] = [];
+  static fleet = 0;
+  constructor(readonly name: string, private decks: Deck[]) { super(); }
 
-  weight(): Point {
-    return new Point(sc(math.total(this.leaves.map((l) => l.size))));
+  capacity() {
+    return this.decks.length * seatsPer('car');
   }
 
-  ready() {
-    return vendor.isFull(this.leaves);
-  }
+  depart = async (pier: string) => {
+    this.moor(pier);
+    await axios.post('/departures', { at: clock.minutes('10:00') });
+  };
 }
-""",
-    "src/index.ts": "export * from './tree.js';\nexport { scale as rounded } from './shape.js';\nexport * as shapes from './shape';\n",
-    "src/view.tsx": """import { Tree, rounded } from './index';
 
-export default function View() {
-  const tree = new Tree();
-  return <Panel title="it's" value={rounded(tree.weight().x)}>don't <b>{count()}</b></Panel>;
+function seatsPer(deck: Deck): number {
+  return deck === 'car' ? 40 : 200;
 }
+""",
+    "app/ferries/index.ts": "export { Ferry as default, Class } from './ferry';\nexport * from '../clock';\nexport * as vessels from '../vessel';\n",
+    "ui/board.tsx": """import Ferry, { minutes as toMinutes, Tide } from '../app/ferries';
+import './board.css';
+
+const Row = ({ ferry }: { ferry: Ferry }) => <li title="don't sail">{ferry.name}</li>;
 
-function Panel(props: { value: number }) {
-  return <span>{props.value}</span>;
+export default function Board(props: { ferries: Ferry[] }) {
+  const first = new Ferry('Ada', []);
+  first.depart('north');
+  return <ul data-at={toMinutes('09:30')}>it's {props.ferries.map((f) => <Row ferry={f} />)} <Row.Empty /></ul>;
 }
 """,
-    "lib/old.js": """const { scale, move: shift } = require('../src/shape');
-const os = require('os');
+    "tools/load.cjs": """const fs = require('fs');
+const { minutes, Span: Slot } = require('../app/clock');
 
-function show(x) {
-  return scale(x).toFixed(1);
-}
+const read = (path) => fs.readFileSync(path, 'utf8');
 
-exports.print = function () {
-  return show(os.EOL.length);
-};
+function load(path) {
+  return read(path).split('\\n').map((l) => minutes(l));
+}
 
-module.exports.show = show;
+module.exports = { load, slot: Slot };
+exports.main = () => load(process.argv[2]);
 """,
-    "node_modules/vendor/index.js": "module.exports = {};\n",
-    "NOTES.md": "# no code\n",
+    "dist/board.js": "var b = 1;\n",
+    "docs/harbour.md": "# Harbour\n",
 }
 
-HEAD = """export interface Entry {
-  cost: number;
-  count: number;
+PATH = "app/booking.ts"
+
+HEAD = """import { minutes } from './clock';
+
+type Sailing = { leaves: number; pier: string; seats: number };
+
+const sailings = new Map<string, Sailing[]>();
+
+export function nextFrom(pier: string, after: string): number {
+  const today = sailings.get(pier) ?? [];
+  const boat = today.find((s) => s.leaves > minutes(after));
+  return boat.leaves;
 }
 
-export function sum(list: Entry[]): number {
-  let out = 0;
-  for (let i = 0; i <= list.length; i++) {
-    out += list[i].cost * list[i].count;
+export async function book(pier: string, seats: number) {
+  for (const s of sailings.get(pier) ?? []) {
+    if (s.seats < seats) continue;
+    reserve(s, seats);
+    return true;
   }
-  return out;
+  return false;
 }
 
-export function less(out: number, part: number): number {
-  return out - out * part;
+async function reserve(s: Sailing, seats: number) {
+  s.seats -= seats;
+  await fetch(`/reserve/${s.pier}`, { method: 'POST' });
 }
 """
 
-DIFF = """diff --git a/src/bill.ts b/src/bill.ts
-index 1..2 100644
---- a/src/bill.ts
-+++ b/src/bill.ts
-@@ -6,7 +6,7 @@ export interface Entry {
- export function sum(list: Entry[]): number {
-   let out = 0;
--  for (let i = 0; i < list.length; i++) {
-+  for (let i = 0; i <= list.length; i++) {
-     out += list[i].cost * list[i].count;
+BEFORE = HEAD.replace("return boat.leaves;", "return boat ? boat.leaves : -1;").replace("    if (s.seats < seats) continue;\n    reserve(s, seats);\n    return true;\n", "    if (s.seats >= seats) return reserve(s, seats);\n")
+
+DIFF = """diff --git a/dist/board.js b/dist/board.js
+index 51..52 100644
+--- a/dist/board.js
++++ b/dist/board.js
+@@ -1 +1,2 @@
+ var b = 1;
++var c = 2;
+diff --git a/app/booking.ts b/app/booking.ts
+index 77..78 100644
+--- a/app/booking.ts
++++ b/app/booking.ts
+@@ -8,4 +8,4 @@ export function nextFrom(pier: string, after: string): number {
+   const today = sailings.get(pier) ?? [];
+   const boat = today.find((s) => s.leaves > minutes(after));
+-  return boat ? boat.leaves : -1;
++  return boat.leaves;
+ }
+@@ -13,6 +13,8 @@ export function nextFrom(pier: string, after: string): number {
+ export async function book(pier: string, seats: number) {
+   for (const s of sailings.get(pier) ?? []) {
+-    if (s.seats >= seats) return reserve(s, seats);
++    if (s.seats < seats) continue;
++    reserve(s, seats);
++    return true;
    }
-   return out;
-@@ -14,3 +14,3 @@ export function sum(list: Entry[]): number {
- export function less(out: number, part: number): number {
--  return out - (out * part) / 100;
-+  return out - out * part;
+   return false;
  }
-diff --git a/yarn.lock b/yarn.lock
-index 3..4 100644
---- a/yarn.lock
-+++ b/yarn.lock
-@@ -1 +1 @@
--a@1
-+a@2
 """
 
 
 def comment(**changes) -> dict:
     return {
-        "file": "src/bill.ts", "line": 8, "category": "bug", "severity": "high", "claim": "The loop runs one past the end, so list[i] is undefined and .cost throws.",
-        "evidence": "for (let i = 0; i <= list.length; i++) {", "suggested_fix": "Use `i < list.length`.", "confidence": 0.95,
+        "file": PATH, "line": 16, "category": "error-handling", "severity": "medium", "claim": "reserve() is not awaited, a failed booking still counts as made.",
+        "evidence": "reserve(s, seats);", "suggested_fix": None, "confidence": 0.6,
     } | changes

@@ -13,7 +13,7 @@ from codeloom.operators import comments, context, diff, model_calls
 from codeloom.plans import review
 from codeloom.sources import settings, trees
 
-from .samples import DIFF, HEAD, comment
+from .samples import DIFF, HEAD, PATH, comment
 
 KEYS = review.KEYS
 
@@ -44,9 +44,12 @@ def test_rendering(spark):
     got = spark.createDataFrame([("p<", "x\r\ny\n"), ("q", "")], "p string, c string").select(text.render_file(F.col("p"), F.col("c")).alias("r")).collect()
     assert got[0]["r"] == '<file path="p&lt;" ref="head">\n1| x\n2| y\n</file>' and got[1]["r"] == '<file path="q" ref="head">\n\n</file>'
     files = diff.diff_files(spark.createDataFrame([(1, DIFF)], "review_id int, diff string"))
-    shown = files.filter("file_seq = 0").select(text.render_diff(F.col("new_path"), F.col("status"), F.col("hunks")).alias("r")).first()["r"].split("\n")
-    assert shown[0] == '<diff path="src/bill.ts" status="modified">' and shown[1] == "@@ -6,7 +6,7 @@"
-    assert "    R8 +  for (let i = 0; i <= list.length; i++) {" in shown and "       -  for (let i = 0; i < list.length; i++) {" in shown and shown[-1] == "</diff>"
+    shown = files.filter("file_seq = 1").select(text.render_diff(F.col("new_path"), F.col("status"), F.col("hunks")).alias("r")).first()["r"].split("\n")
+    assert [shown[0], shown[1], shown[6], shown[-1]] == [f'<diff path="{PATH}" status="modified">', "@@ -8,4 +8,4 @@", "   R11  }", "</diff>"] and shown[7] == "@@ -13,6 +13,8 @@"
+    assert [x for x in shown if x[:2] != "@@" and x[7:8] in ("+", "-")] == [
+        "       -  return boat ? boat.leaves : -1;", "   R10 +  return boat.leaves;", "       -    if (s.seats >= seats) return reserve(s, seats);",
+        "   R15 +    if (s.seats < seats) continue;", "   R16 +    reserve(s, seats);", "   R17 +    return true;",
+    ]
 
 
 def test_bodies(spark):
@@ -131,42 +134,50 @@ def test_totals(spark):
 def run(spark, found, cap=10, strategy="S0", **changes):
     rows = [{"title": "t", "body": "b", "diff": DIFF} | changes]
     df = spark.createDataFrame([(1, "c", 7, r["title"], r["body"], r["diff"]) for r in rows], "repo_id int, sha string, review_id int, title string, body string, diff string")
-    files = trees.memory(spark, {"src/bill.ts": HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c"))
+    files = trees.memory(spark, {PATH: HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c"))
     return review.run_reviews(df, files, replace(settings.PRESETS[strategy], max_comments=cap), lambda: model_calls.FakeProvider(lambda request, n: {"comments": found}))
 
 
 def test_decisions(spark):
+    """What becomes of each finding of a review, most severe first; the cap is two."""
+    guard = {"line": 10, "category": "bug", "evidence": "return boat.leaves;", "claim": "After the last sailing find() has no result and the property access throws."}
     found = [
-        comment(severity="medium", line=15, claim="The part is no longer divided by 100.", evidence="return out - out * part;", confidence=0.7),
-        comment(),
-        comment(claim="One past the end, so list[i] is undefined and .cost throws.", confidence=0.6),
-        comment(line=3, evidence="count: number;"),
-        comment(file="src/other.ts"),
-        comment(line=9, evidence="list[i].price"),
-        comment(file="yarn.lock", line=1, evidence="a@2"),
+        (comment(), "over_cap", None, 3, None),
+        (comment(**guard, severity="critical"), "selected", None, 1, None),
+        (comment(**guard | {"line": 9, "claim": "the property access throws after the last sailing: find() has no result", "evidence": "const boat = today.find("}), "duplicate", None, None, 1),
+        (comment(line=15, severity="high", claim="Seats are compared before they are locked.", evidence="if (s.seats < seats) continue;"), "selected", None, 2, None),
+        (comment(line=23, evidence="s.seats -= seats;"), "invalid", "line_not_in_diff", None, None),
+        (comment(file="dist/board.js", line=2, evidence="var c = 2;"), "invalid", "file_not_in_diff", None, None),
+        (comment(file="app/clock.ts"), "invalid", "file_not_in_diff", None, None),
+        (comment(evidence="await reserve(s, seats);"), "invalid", "evidence_not_found", None, None),
     ]
-    got = run(spark, found, cap=1)
-    rows = [(r["index"], r["status"], r["reject_reason"], r["rank"], r["duplicate_of"]) for r in got.candidates.orderBy("index").collect()]
-    assert rows == [
-        (0, "over_cap", None, 2, None), (1, "selected", None, 1, None), (2, "duplicate", None, None, 1), (3, "invalid", "line_not_in_diff", None, None),
-        (4, "invalid", "file_not_in_diff", None, None), (5, "invalid", "evidence_not_found", None, None), (6, "invalid", "file_not_in_diff", None, None),
-    ]
+    got = run(spark, [c for c, *_ in found], cap=2)
+    rows = {r["index"]: (r["status"], r["reject_reason"], r["rank"], r["duplicate_of"]) for r in got.candidates.collect()}
+    assert rows == {i: tuple(want) for i, (_, *want) in enumerate(found)}
     post = review.posts(got, "Bot").first()
-    assert [(c["path"], c["line"], c["side"]) for c in post["comments"]] == [("src/bill.ts", 8, "RIGHT")] and post["body"].startswith("Bot left 1 comment.")
-    assert {r["status"]: r["n"] for r in comments.status_counts(got.candidates, ["review_id"]).collect()} == {"selected": 1, "over_cap": 1, "duplicate": 1, "invalid": 4}
+    assert [(c["path"], c["line"], c["side"]) for c in post["comments"]] == [(PATH, 10, "RIGHT"), (PATH, 15, "RIGHT")] and post["body"].startswith("Bot left 2 comments.")
+    assert {r["status"]: r["n"] for r in comments.status_counts(got.candidates, ["review_id"]).collect()} == {"selected": 2, "over_cap": 1, "duplicate": 1, "invalid": 4}
+
+
+# what is asked of a comment, in the order in which reasons are given
+FINE = [
+    {}, {"line": 8, "evidence": "sailings.get(pier)"}, {"line": 11, "evidence": "return boat.leaves;"}, {"line": 20, "evidence": "return false;"},  # lines of context, evidence anywhere in the file's change
+    {"evidence": "if (s.seats >= seats) return"}, {"evidence": "s.seats -= seats;"},  # a removed line, a line of the new file outside of the change
+    {"evidence": "   R16 +    reserve(s, seats);"}, {"evidence": "`reserve(s, seats);`"}, {"evidence": "```\nreserve(s,\n   seats);\n```"}, {"file": f"./{PATH}"}, {"file": f"a/{PATH}"}, {"confidence": 0.0}, {"confidence": 1.0},
+]
+POOR = [
+    ("file_not_in_diff", {"file": "app/vessel.ts"}), ("file_not_in_diff", {"file": "dist/board.js", "line": 2}), ("line_not_in_diff", {"line": 12}), ("line_not_in_diff", {"line": 0}), ("line_not_in_diff", {"line": 21}),
+    ("evidence_not_found", {"evidence": "reserve(s, seat);"}), ("evidence_not_found", {"evidence": "\t"}), ("confidence_out_of_range", {"confidence": 1.01}), ("confidence_out_of_range", {"confidence": -0.5}), ("empty_claim", {"claim": "\n"}),
+]
 
 
 def test_reasons(spark):
-    rows = [
-        (comment(), None), (comment(line=7, evidence="let out = 0;"), None), (comment(evidence="     R8 +  for (let i = 0; i <= list.length; i++) {"), None), (comment(line=15, evidence="return out - (out * part) / 100;"), None),
-        (comment(evidence="```ts\nfor (let i = 0;\n  i <= list.length; i++) {\n```"), None), (comment(file="./src/bill.ts"), None), (comment(file="b/src/bill.ts"), None), (comment(line=2), "line_not_in_diff"),
-        (comment(evidence="list.each("), "evidence_not_found"), (comment(evidence=" "), "evidence_not_found"), (comment(confidence=1.5), "confidence_out_of_range"), (comment(claim="  "), "empty_claim"), (comment(claim=" ", confidence=-1.0), "empty_claim"),
-    ]
+    rows = [(None, c) for c in FINE] + POOR
     lines = diff.diff_lines(context.is_reviewable(diff.diff_files(spark.createDataFrame([(1, DIFF)], "review_id int, diff string"))))
-    heads = spark.createDataFrame([(1, "src/bill.ts", HEAD)], "review_id int, path string, content string")
-    df = spark.createDataFrame([(1, i, *[c[k.split()[0]] for k in comments.COMMENT.split(", ")]) for i, (c, _) in enumerate(rows)], f"review_id int, index int, {comments.COMMENT}")
+    heads = spark.createDataFrame([(1, PATH, HEAD)], "review_id int, path string, content string")
+    df = spark.createDataFrame([(1, i, *[comment(**c)[k.split()[0]] for k in comments.COMMENT.split(", ")]) for i, (_, c) in enumerate(rows)], f"review_id int, index int, {comments.COMMENT}")
     got = {r["index"]: r["reject_reason"] for r in comments.validate(df, lines, heads, ["review_id"]).collect()}
-    assert got == {i: want for i, (_, want) in enumerate(rows)}
+    assert got == {i: want for i, (want, _) in enumerate(rows)}
 
 
 def duplicates(spark, rows):
@@ -175,13 +186,25 @@ def duplicates(spark, rows):
 
 
 def test_duplicates(spark):
-    rows = [comment(severity="low", claim="off by one in loop bound"), comment(line=9, claim="loop bound off by one"), comment(line=20, claim="off by one in loop bound"), comment(file="x.ts", claim="off by one in loop bound")]
-    assert list(duplicates(spark, rows)[1].values()) and duplicates(spark, rows)[1] == {0: 1, 1: None, 2: None, 3: None}
-    assert duplicates(spark, [comment(claim="a b c"), comment(claim="x y z")])[1] == {0: None, 1: 0}
-    assert duplicates(spark, [comment(claim="", category="bug"), comment(claim="!", category="testing", line=9)])[1] == {0: None, 1: 0}
-    # places sort as people read them, not by bytes
-    df, _ = duplicates(spark, [comment(file="src/B.ts"), comment(file="src/a.ts")])
-    assert [r["index"] for r in comments.find_duplicates(df, ["k"]).orderBy("position").collect()] == [1, 0]
+    """Of comments on one file at most three lines apart, one is enough if half of their words agree, or on one line if their
+    category does; the more severe one stays, then the more confident, then the earlier."""
+    wave = comment(line=30, claim="tide table is read twice")
+    cases = [
+        ([wave, wave | {"line": 33, "severity": "high", "claim": "twice is the tide table read"}], {0: 1, 1: None}),
+        ([wave, wave | {"line": 34}], {0: None, 1: None}),
+        ([wave, wave | {"file": "app/tide.ts"}], {0: None, 1: None}),
+        ([wave, wave | {"claim": "unused variable"}], {0: None, 1: 0}),
+        ([wave, wave | {"claim": "unused variable", "category": "performance"}], {0: None, 1: None}),
+        ([wave, wave | {"line": 31, "claim": "table twice, unused variable", "category": "performance"}], {0: None, 1: None}),
+        ([wave | {"confidence": 0.2}, wave | {"confidence": 0.9}, wave], {0: 1, 1: None, 2: 1}),
+        ([wave | {"claim": "?"}, wave | {"line": 32, "claim": "", "category": "bug"}], {0: None, 1: 0}),
+    ]
+    for rows, want in cases:
+        assert duplicates(spark, rows)[1] == want, rows
+    # of equals, files come in the order in which people sort names, not that of bytes
+    names = ("Zoo", "quay", "Buoy", "anchor")
+    df, _ = duplicates(spark, [wave | {"file": f"app/{n}.ts"} for n in names])
+    assert [names[r["index"]] for r in comments.find_duplicates(df, ["k"]).orderBy("position").collect()] == ["anchor", "Buoy", "quay", "Zoo"]
 
 
 WORDS = ("loop", "bound", "null", "end", "off")
@@ -229,25 +252,25 @@ def test_budget_takes_whole_pieces(spark, sizes, budget):
 
 def test_base_context(spark):
     files = context.is_reviewable(diff.diff_files(spark.createDataFrame([(1, DIFF)], "review_id int, diff string")))
-    heads = spark.createDataFrame([(1, "src/bill.ts", HEAD)], "review_id int, path string, content string")
+    heads = spark.createDataFrame([(1, PATH, HEAD)], "review_id int, path string, content string")
     pieces = lambda strategy, budget, h=heads: context.base_context(files, h, spark.createDataFrame([(1, strategy, budget)], "review_id int, strategy string, budget int"), ["review_id"])
     roomy = pieces("S1", 100_000).orderBy("seq").collect()
-    assert [(r["kind"], r["path"], r["taken"]) for r in roomy] == [("diff", "src/bill.ts", True), ("file", "src/bill.ts", True)]
-    tight = context.context_stats(pieces("S1", roomy[0]["tokens"]), ["review_id"]).first()
-    assert (tight["files_omitted"], tight["estimated_tokens"]) == (["src/bill.ts"], roomy[0]["tokens"])
-    bare = context.context_stats(pieces("S1", 100_000, heads.limit(0)), ["review_id"]).first()
-    assert (bare["files_included"], bare["files_omitted"]) == ([], ["src/bill.ts"])
+    assert [(r["kind"], r["path"], r["taken"]) for r in roomy] == [("diff", PATH, True), ("file", PATH, True)]
+    for budget, used in ((roomy[0]["tokens"], roomy[0]["tokens"]), (roomy[0]["tokens"] - 1, 0), (roomy[0]["tokens"] + roomy[1]["tokens"], roomy[0]["tokens"] + roomy[1]["tokens"])):
+        s = context.context_stats(pieces("S1", budget), ["review_id"]).first()
+        assert s["estimated_tokens"] == used and (s["files_included"] == [PATH]) == (used > roomy[0]["tokens"])
+    gone = context.context_stats(pieces("S1", 100_000, heads.limit(0)), ["review_id"]).first()
+    assert (gone["files_included"], gone["files_omitted"]) == ([], [PATH])
     assert [r["kind"] for r in pieces("S0", 100_000).collect()] == ["diff"]
 
 
 def test_nothing_reviewable_and_nothing_that_fits(spark):
-    got = run(spark, [comment()], diff=DIFF[DIFF.index("diff --git a/yarn") :])
-    assert got.calls.count() == 0 and got.candidates.count() == 0 and not got.reviews.first()["called"]
-    got = review.run_reviews(
-        spark.createDataFrame([(1, "c", 7, "t", None, DIFF)], "repo_id int, sha string, review_id int, title string, body string, diff string"),
-        trees.memory(spark, {"src/bill.ts": HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c")), replace(settings.PRESETS["S4"], context_token_budget=10),
-    )
-    assert got.reviews.first()["diffs_omitted"] == ["src/bill.ts"] and got.calls.count() == 0
+    got = run(spark, [comment()], diff=DIFF[: DIFF.index(f"diff --git a/{PATH}")])
+    assert not got.reviews.first()["called"] and got.calls.count() == 0 and got.candidates.count() == 0
+    change = spark.createDataFrame([(1, "c", 7, "t", None, DIFF)], "repo_id int, sha string, review_id int, title string, body string, diff string")
+    files = trees.memory(spark, {PATH: HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c"))
+    got = review.run_reviews(change, files, replace(settings.PRESETS["S4"], context_token_budget=10))
+    assert got.calls.count() == 0 and got.reviews.first()["diffs_omitted"] == [PATH]
 
 
 def test_secrets_never_reach_the_model(spark):
@@ -268,7 +291,7 @@ def test_secrets_never_reach_the_model(spark):
 def test_answers_are_kept_and_salted(spark):
     first = run(spark, [comment()])
     df = spark.createDataFrame([(1, "c", 7, "t", "b", DIFF)], "repo_id int, sha string, review_id int, title string, body string, diff string")
-    files = trees.memory(spark, {"src/bill.ts": HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c"))
+    files = trees.memory(spark, {PATH: HEAD}).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("c"))
     again = review.run_reviews(df, files, settings.PRESETS["S0"], answers=first.cache_rows)
     assert again.calls.first()["cached"] and again.calls.first()["attempts"] == 0 and again.selected.count() == 1
     salted = review.run_reviews(df, files, settings.PRESETS["S0"], answers=first.cache_rows, salt="run-2")
@@ -279,8 +302,8 @@ def test_answers_are_kept_and_salted(spark):
 
 def test_graph_strategies(spark):
     s3, s4 = run(spark, [], strategy="S3"), run(spark, [], strategy="S4")
-    assert [r["kind"] for r in s3.sections.orderBy("at").collect()] == ["diff", "symbol", "symbol"]
-    assert s4.reviews.first()["included"] == 2 and s3.reviews.first()["estimated_tokens"] <= 16_000
+    assert [r["kind"] for r in s3.sections.orderBy("at").collect()] == ["diff", "symbol", "symbol", "symbol"]  # both functions that changed, and what one of them calls
+    assert s4.reviews.first()["included"] == 3 and s3.reviews.first()["estimated_tokens"] <= 16_000
     assert s3.index.stats.first()["parsed"] == 1
 
 

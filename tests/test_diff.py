@@ -70,7 +70,7 @@ def test_nothing_to_parse():
 def test_tables(spark):
     changes = spark.createDataFrame([(1, DIFF), (2, TWO), (3, None), (4, "")], "review_id int, diff string")
     files = diff.diff_files(changes)
-    assert {(r["review_id"], r["file_seq"], r["new_path"]) for r in files.collect()} == {(1, 0, "src/bill.ts"), (1, 1, "yarn.lock"), (2, 0, "m.ts")}
+    assert {(r["review_id"], r["file_seq"], r["new_path"]) for r in files.collect()} == {(1, 0, "dist/board.js"), (1, 1, "app/booking.ts"), (2, 0, "m.ts")}
     lines = diff.diff_lines(files)
-    assert {(r["review_id"], r["n"]) for r in lines.groupBy("review_id").agg(F.count("*").alias("n")).collect()} == {(1, 13), (2, 9)}
-    assert {tuple(r) for r in diff.first_added(lines).collect()} == {(1, "src/bill.ts", 8), (2, "m.ts", 2)}
+    assert {(r["review_id"], r["n"]) for r in lines.groupBy("review_id").agg(F.count("*").alias("n")).collect()} == {(1, 16), (2, 9)}
+    assert {tuple(r) for r in diff.first_added(lines).collect()} == {(1, "dist/board.js", 2), (2, "m.ts", 2)}

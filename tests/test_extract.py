@@ -16,27 +16,42 @@ def calls(text, language="typescript"):
     return [(c["kind"], c["callee"], c["from"]) for c in parse_source(text, language)["calls"]]
 
 
-def test_symbols_with_lines_and_signatures():
-    p = parse_source(FILES["src/shape.ts"], "typescript")
-    assert [(s["qualified_name"], s["kind"], s["start_line"], s["end_line"], s["exported"], s["parent"]) for s in p["symbols"]] == [
-        ("<module>", "module", 1, 12, False, None), ("scale", "function", 1, 3, True, 0), ("Point", "class", 5, 11, True, 0), ("Point.constructor", "method", 6, 6, False, 2), ("Point.move", "method", 8, 10, False, 2),
-    ]
-    assert [s["signature"] for s in p["symbols"]] == ["", "function scale(v: number): number", "class Point", "constructor(readonly x: number)", "move(by: Point): Point"]
-    assert [(c["callee"], c["kind"], c["from"], c["line"]) for c in p["calls"]] == [("Math.floor", "call", 1, 2), ("Point", "new", 4, 9), ("scale", "call", 4, 9)]
-
-
-def test_all_kinds_of_declarations():
-    p = parse_source(FILES["src/tree.ts"], "typescript")
-    assert [(s["qualified_name"], s["kind"]) for s in p["symbols"][1:]] == [
-        ("Leaf", "interface"), ("Pair", "type"), ("Side", "enum"), ("Tree", "class"), ("Tree.onAdd", "method"), ("Tree.add", "method"), ("Tree.weight", "method"), ("Tree.ready", "method"),
-    ]
-    assert p["heritage"] == [{"from": 1, "name": "Named", "kind": "extends"}, {"from": 1, "name": "Sized", "kind": "extends"}, {"from": 4, "name": "Node", "kind": "extends"}, {"from": 4, "name": "Named", "kind": "implements"}]
-    assert [(i["local"], i["imported"], i["source"]) for i in p["imports"]] == [("Point", "Point", "./shape.js"), ("sc", "scale", "./shape.js"), ("math", "*", "./math"), ("Node", "Node", "./node"), ("vendor", "default", "vendor")]
+def spans(text, language="typescript"):
+    return {s["qualified_name"]: (s["kind"], s["start_line"], s["end_line"], s["exported"], s["signature"]) for s in parse_source(text, language)["symbols"]}
+
+
+def test_a_module_of_functions_and_a_class():
+    got = spans(FILES["app/clock.ts"])
+    assert got["<module>"] == ("module", 1, 23, False, "") and got["minutes"] == ("function", 4, 7, True, "function minutes(time: string): number")
+    assert got["Span"] == ("class", 9, 22, True, "class Span") and got["PER_HOUR"][:4] == ("variable", 1, 1, False)
+    assert {k: v[4] for k, v in got.items() if v[0] == "method"} == {
+        "Span.constructor": "constructor(public from: number, public to: number)", "Span.length": "get length()", "Span.of": "static of(a: string, b: string)",
+        "Span.overlaps": "overlaps(other: Span): boolean", "Span.contains": "contains(t: number): boolean", "Span.empty": "private empty()",
+    }
+    p = parse_source(FILES["app/clock.ts"], "typescript")
+    assert [p["symbols"][s["parent"]]["name"] for s in p["symbols"][4:]] == ["Span"] * 6
+    # what is called on a parameter is known by its name; the call on a call's result can't be told
+    called = [(p["symbols"][c["from"]]["name"], c["kind"], c["callee"]) for c in p["calls"]]
+    assert called == [("minutes", "call", "time.split"), ("of", "new", "Span"), ("of", "call", "minutes"), ("of", "call", "minutes"), ("overlaps", "call", "this.empty"), ("overlaps", "call", "other.contains")]
+    assert p["skipped_calls"] == 1
+
+
+def test_types_fields_and_heritage():
+    got = spans(FILES["app/ferries/ferry.ts"])
+    assert {k: v[0] for k, v in got.items() if v[0] not in ("method", "module")} == {"Deck": "type", "Class": "enum", "Ferry": "class", "seatsPer": "function"}
+    # a field that holds a function is a method, other fields are none
+    assert [k for k, v in got.items() if v[0] == "method"] == ["Ferry.constructor", "Ferry.capacity", "Ferry.depart"]
+    p = parse_source(FILES["app/ferries/ferry.ts"], "typescript")
+    assert [(p["symbols"][h["from"]]["name"], h["kind"], h["name"]) for h in p["heritage"]] == [("Ferry", "extends", "Vessel"), ("Ferry", "implements", "Timetabled")]
+    assert {(i["local"], i["imported"], i["source"]) for i in p["imports"]} == {("clock", "*", "../clock.js"), ("Vessel", "Vessel", "../vessel"), ("Timetabled", "Timetabled", "../vessel"), ("axios", "default", "axios")}
+    wide = parse_source("interface A extends B, C.D<number> {}\nclass E extends F(G) {}\n", "typescript")["heritage"]
+    assert [h["name"] for h in wide[:2]] == ["B", "C.D"]  # without type arguments
+    assert spans(FILES["app/vessel.ts"])["Vessel.capacity"][:3] == ("method", 7, 7)
 
 
 def test_exports_and_re_exports():
-    p = parse_source(FILES["src/index.ts"], "typescript")
-    assert [tuple(r.values()) for r in p["re_exports"]] == [("*", "*", "./tree.js"), ("rounded", "scale", "./shape.js"), ("shapes", "*", "./shape")]
+    p = parse_source(FILES["app/ferries/index.ts"], "typescript")
+    assert {r["exported"]: (r["imported"], r["source"]) for r in p["re_exports"]} == {"default": ("Ferry", "./ferry"), "Class": ("Class", "./ferry"), "*": ("*", "../clock"), "vessels": ("*", "../vessel")}
     p = parse_source("const a = 1; function b() {}\nexport { a as x, b };\nexport default a;\n", "typescript")
     assert [tuple(r.values()) for r in p["local_exports"]] == [("a", "x"), ("b", "b"), ("a", "default")]
     assert parse_source("export default class {}\n", "typescript")["symbols"][1]["name"] == "default"
@@ -46,18 +61,20 @@ def test_exports_and_re_exports():
 
 
 def test_commonjs():
-    p = parse_source(FILES["lib/old.js"], "javascript")
-    assert [(i["local"], i["imported"], i["source"]) for i in p["imports"]] == [("scale", "scale", "../src/shape"), ("shift", "move", "../src/shape"), ("os", "*", "os")]
-    assert [(s["name"], s["exported"]) for s in p["symbols"]] == [("<module>", False), ("show", False), ("print", True)]
-    assert p["local_exports"] == [{"local": "show", "exported": "show"}]
+    p = parse_source(FILES["tools/load.cjs"], "javascript")
+    assert {i["local"]: (i["imported"], i["source"]) for i in p["imports"]} == {"fs": ("*", "fs"), "minutes": ("minutes", "../app/clock"), "Slot": ("Span", "../app/clock")}
+    assert {s["name"]: s["exported"] for s in p["symbols"][1:]} == {"read": False, "load": False, "main": True}
+    assert {r["exported"]: r["local"] for r in p["local_exports"]} == {"load": "load", "slot": "Slot"}
     p = parse_source("module.exports = { a, b: c, d: e() };\nmodule.exports = main;\n", "javascript")
     assert [tuple(r.values()) for r in p["local_exports"]] == [("a", "a"), ("c", "b"), ("main", "default")]
+    p = parse_source("exports.run = function () { go(); };\nmodule.exports.also = run;\n", "javascript")
+    assert p["symbols"][1]["name"] == "run" and p["local_exports"] == [{"local": "run", "exported": "also"}]
 
 
 def test_jsx():
-    p = parse_source(FILES["src/view.tsx"], "tsx")
-    assert [s["name"] for s in p["symbols"]] == ["<module>", "View", "Panel"]
-    assert [(c["kind"], c["callee"]) for c in p["calls"]] == [("new", "Tree"), ("jsx", "Panel"), ("call", "rounded"), ("call", "tree.weight"), ("call", "count")]
+    p = parse_source(FILES["ui/board.tsx"], "tsx")
+    assert [s["name"] for s in p["symbols"]] == ["<module>", "Row", "Board"]
+    assert [(c["kind"], c["callee"]) for c in p["calls"]] == [("new", "Ferry"), ("call", "first.depart"), ("call", "toMinutes"), ("jsx", "Row"), ("jsx", "Row.Empty")]  # html elements are no calls
     assert calls("const x = <A.B c={<D/>} {...e()}>{f ? <G /> : null}</A.B>; h();", "tsx") == [("jsx", "A.B", 1), ("jsx", "D", 1), ("call", "e", 1), ("jsx", "G", 1), ("call", "h", 0)]
 
 
@@ -103,6 +120,6 @@ def test_columns(spark):
     rows = [(p, c) for p, c in FILES.items()] + [("a.d.ts", "x"), ("n.ts", None)]
     df = spark.createDataFrame(rows, "path string, content string").withColumn("language", language_of(F.col("path")))
     got = {r["path"]: r["language"] for r in df.collect()}
-    assert got["src/view.tsx"] == "tsx" and got["lib/old.js"] == "javascript" and got["a.d.ts"] is None and got["NOTES.md"] is None
+    assert got["ui/board.tsx"] == "tsx" and got["tools/load.cjs"] == "javascript" and got["a.d.ts"] is None and got["docs/harbour.md"] is None
     p = {r["path"]: r["p"] for r in df.select("path", parsed(F.col("content"), F.col("language")).alias("p")).collect()}
-    assert p["n.ts"] is None and p["NOTES.md"] is None and len(p["src/shape.ts"]["symbols"]) == 5
+    assert p["n.ts"] is None and p["docs/harbour.md"] is None and len(p["app/vessel.ts"]["symbols"]) == 6

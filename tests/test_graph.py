@@ -33,33 +33,39 @@ def edges(g):
 
 
 def test_edges(sample):
-    got = edges(sample[0])
-    assert got["src/shape.ts:Point.move"] == ["calls src/shape.ts:Point", "calls src/shape.ts:scale"]
-    assert got["src/tree.ts:Tree.weight"] == ["calls src/math/index.ts:total", "calls src/shape.ts:Point", "calls src/shape.ts:scale"]
-    assert got["src/tree.ts:Tree.add"] == ["calls src/node.ts:Node.check"] and got["src/tree.ts:Tree.onAdd"] == ["calls src/node.ts:Node.check"]
-    assert got["src/node.ts:Node.check"] == ["calls src/node.ts:Node.name", "calls src/node.ts:Node.ready"]
-    assert got["src/tree.ts:Tree"] == ["extends src/node.ts:Node"]
-    assert got["src/view.tsx:View"] == ["calls src/shape.ts:scale", "calls src/tree.ts:Tree", "calls src/view.tsx:Panel"]
-    assert got["lib/old.js:show"] == ["calls src/shape.ts:scale"] and got["lib/old.js:print"] == ["calls lib/old.js:show"]
-    assert got["src/tree.ts:<module>"] == ["imports src/math/index.ts:<module>", "imports src/node.ts:Node", "imports src/shape.ts:Point", "imports src/shape.ts:scale"]
+    assert edges(sample[0]) == {
+        "app/clock.ts:Span.of": ["calls app/clock.ts:Span", "calls app/clock.ts:minutes"],
+        "app/clock.ts:Span.overlaps": ["calls app/clock.ts:Span.empty"],  # not other.contains: other may be anything
+        "app/vessel.ts:<module>": ["imports app/clock.ts:Span"],
+        "app/vessel.ts:Vessel.moor": ["calls app/vessel.ts:Vessel.capacity", "calls app/vessel.ts:Vessel.note"],
+        "app/ferries/ferry.ts:<module>": ["imports app/clock.ts:<module>", "imports app/vessel.ts:Timetabled", "imports app/vessel.ts:Vessel"],
+        "app/ferries/ferry.ts:Ferry": ["extends app/vessel.ts:Vessel", "implements app/vessel.ts:Timetabled"],
+        "app/ferries/ferry.ts:Ferry.capacity": ["calls app/ferries/ferry.ts:seatsPer"],
+        "app/ferries/ferry.ts:Ferry.depart": ["calls app/clock.ts:minutes", "calls app/vessel.ts:Vessel.moor"],  # of a namespace, and inherited
+        "ui/board.tsx:<module>": ["imports app/clock.ts:minutes", "imports app/ferries/ferry.ts:Ferry"],  # through the re-exports between
+        "ui/board.tsx:Board": ["calls app/clock.ts:minutes", "calls app/ferries/ferry.ts:Ferry", "calls ui/board.tsx:Row"],
+        "tools/load.cjs:<module>": ["calls tools/load.cjs:load", "imports app/clock.ts:Span", "imports app/clock.ts:minutes"],
+        "tools/load.cjs:load": ["calls app/clock.ts:minutes", "calls tools/load.cjs:read"],
+        "tools/load.cjs:main": ["calls tools/load.cjs:load"],
+    }
 
 
 def test_stats_and_index(sample):
     g, run = sample
     s = g.stats.first()
-    assert (s["files"], s["imports_total"], s["imports_internal"], s["imports_external"]) == (7, 10, 8, 2)
-    assert s["imports_resolved"] == 7  # one asks for a name that its module does not export
+    assert (s["files"], s["imports_total"], s["imports_external"], s["imports_internal"]) == (6, 11, 2, 9)
+    assert s["imports_resolved"] == 8  # no module has a Tide
     i = run.stats.first()
-    assert (i["files_listed"], i["files_indexed"], i["parsed"], i["from_cache"], i["unreadable"]) == (9, 7, 7, 0, 0)
+    assert (i["files_listed"], i["files_indexed"], i["parsed"], i["from_cache"], i["unreadable"]) == (8, 6, 6, 0, 0)
 
 
 def test_incremental_index(spark, sample):
     cache = sample[1].new_parses
-    changed = FILES | {"src/shape.ts": FILES["src/shape.ts"].replace("10", "100"), "big.ts": "x" * 600_000}
+    changed = FILES | {"app/vessel.ts": FILES["app/vessel.ts"] + "export const knots = 1.852;\n", "big.ts": "x" * 600_000}
     files = trees.memory(spark, changed).withColumn("repo_id", F.lit(1)).withColumn("sha", F.lit("h2")).withColumn("size", F.lit(None).cast("long"))
     run = review.index_files(files, cache)
     i = run.stats.first()
-    assert (i["parsed"], i["from_cache"], i["unreadable"]) == (1, 6, 1) and run.new_parses.count() == 1
+    assert (i["parsed"], i["from_cache"], i["unreadable"]) == (1, 5, 1) and run.new_parses.count() == 1
 
 
 def test_resolution_order_and_odd_specifiers(spark):
@@ -101,25 +107,28 @@ def test_one_inherited_level(spark):
     assert got["k.ts:C.c.f"] == ["calls k.ts:C.c"]
 
 
-CHANGE = """diff --git a/src/tree.ts b/src/tree.ts
---- a/src/tree.ts
-+++ b/src/tree.ts
-@@ -17,4 +17,4 @@
-   add(leaf: Leaf) {
--    this.test();
-+    this.check();
-     this.leaves.push(leaf);
-   }
-@@ -24,4 +24,3 @@
-   }
- 
--  // old note
-   ready() {
-diff --git a/src/index.ts b/src/index.ts
---- a/src/index.ts
-+++ b/src/index.ts
-@@ -0,0 +1 @@
-+export * from './tree.js';
+CHANGE = """diff --git a/app/ferries/ferry.ts b/app/ferries/ferry.ts
+--- a/app/ferries/ferry.ts
++++ b/app/ferries/ferry.ts
+@@ -9,4 +9,3 @@
+   slots: clock.Span[] = [];
+-  // ships that sail
+   static fleet = 0;
+   constructor(readonly name: string, private decks: Deck[]) { super(); }
+@@ -17,5 +16,5 @@
+
+   depart = async (pier: string) => {
+     this.moor(pier);
+-    await axios.post('/departures', { at: 0 });
++    await axios.post('/departures', { at: clock.minutes('10:00') });
+   };
+diff --git a/tools/load.cjs b/tools/load.cjs
+--- a/tools/load.cjs
++++ b/tools/load.cjs
+@@ -9,2 +9,3 @@
+
++module.exports = { load, slot: Slot };
+ exports.main = () => load(process.argv[2]);
 """
 
 
@@ -131,7 +140,8 @@ def changed_of(spark, g, text, review_id=7):
 
 def test_changed_symbols(spark, sample):
     got = {(r["path"], r["qualified_name"]): list(r["lines"]) for r in changed_of(spark, sample[0], CHANGE).collect()}
-    assert got == {("src/tree.ts", "Tree.add"): [18], ("src/tree.ts", "Tree"): [25], ("src/index.ts", "<module>"): [1]}
+    # a removed line counts for the line before it; a line between functions is the module's
+    assert got == {("app/ferries/ferry.ts", "Ferry"): [9], ("app/ferries/ferry.ts", "Ferry.depart"): [19], ("tools/load.cjs", "<module>"): [10]}
 
 
 def test_deletion_at_the_ends_of_a_file(spark):
@@ -159,20 +169,20 @@ def ranked(g, changed, out, back):
 
 def test_candidates(sample):
     g = sample[0]
-    got = [(r["distance"], r["role"], r["qualified_name"], r["relation"]) for r in ranked(g, seed(g, "src/shape.ts", "Point.move", [9]), 1, 0).orderBy("seq").collect()]
-    assert got == [(0, "enclosing", "Point.move", "changed in this diff"), (1, "callee", "scale", "called by Point.move"), (1, "callee", "Point", "called by Point.move")]
-    got = [(r["distance"], r["role"], r["path"], r["qualified_name"]) for r in ranked(g, seed(g, "src/shape.ts", "scale", [2]), 2, 2).orderBy("seq").collect()]
-    assert got == [
-        (0, "enclosing", "src/shape.ts", "scale"), (1, "caller", "lib/old.js", "show"), (1, "caller", "src/shape.ts", "Point.move"), (1, "caller", "src/tree.ts", "Tree.weight"),
-        (1, "caller", "src/view.tsx", "View"), (2, "caller", "lib/old.js", "print"),
-    ]
+    near = ranked(g, seed(g, "app/clock.ts", "Span.of", [13]), 1, 0).orderBy("seq").collect()
+    assert [(r["distance"], r["role"], r["qualified_name"], r["relation"]) for r in near] == [(0, "enclosing", "Span.of", "changed in this diff"), (1, "callee", "minutes", "called by Span.of"), (1, "callee", "Span", "called by Span.of")]
+    far = ranked(g, seed(g, "app/clock.ts", "minutes", [5]), 2, 2).orderBy("seq").collect()
+    assert [(r["distance"], r["role"], r["qualified_name"]) for r in far][0] == (0, "enclosing", "minutes")
+    assert {(r["distance"], r["path"], r["qualified_name"]) for r in far if r["role"] == "caller"} == {
+        (1, "app/clock.ts", "Span.of"), (1, "app/ferries/ferry.ts", "Ferry.depart"), (1, "tools/load.cjs", "load"), (1, "ui/board.tsx", "Board"), (2, "tools/load.cjs", "main"),
+    } and [r["distance"] for r in far] == sorted(r["distance"] for r in far)
 
 
 def test_fan_in_and_base(sample):
     g = sample[0]
-    two = seed(g, "src/tree.ts", "Tree", [13]).unionByName(seed(g, "src/tree.ts", "Tree.add", [18]))
+    two = seed(g, "app/ferries/ferry.ts", "Ferry", [9]).unionByName(seed(g, "app/ferries/ferry.ts", "Ferry.depart", [18]))
     got = {r["qualified_name"]: (r["role"], r["fan_in"], r["related_to"]) for r in ranked(g, two, 2, 0).collect()}
-    assert got["Node"] == ("base", 1, "Tree") and got["Node.check"] == ("callee", 1, "Tree.add")
+    assert got["Vessel"] == ("base", 1, "Ferry") and got["Vessel.moor"] == ("callee", 1, "Ferry.depart") and got["minutes"][0] == "callee"
 
 
 def test_changed_module_follows_calls_on_its_lines(spark):
@@ -200,21 +210,22 @@ def assembled(spark, g, contents, changed, budget, most=2000, out=1, back=0):
 
 def test_sections_shrink_with_the_budget(spark, sample):
     g = sample[0]
-    changed = seed(g, "src/shape.ts", "Point.move", [9])
+    changed = seed(g, "tools/load.cjs", "load", [7])
     roomy = assembled(spark, g, FILES, changed, 10_000).orderBy("seq").collect()
-    assert [(r["qualified_name"], r["mode"]) for r in roomy] == [("Point.move", "full"), ("scale", "full"), ("Point", "full")]
-    assert ' 9|     return new Point(scale(this.x + by.x));' in roomy[0]["text"] and 'relation="called by Point.move"' in roomy[2]["text"]
+    assert [(r["qualified_name"], r["mode"]) for r in roomy] == [("load", "full"), ("minutes", "full"), ("read", "full")]
+    assert "7|   return read(path).split('\\n').map((l) => minutes(l));" in roomy[0]["text"] and 'relation="called by load"' in roomy[1]["text"]
     tight = assembled(spark, g, FILES, changed, roomy[0]["tokens"] + 60)
-    assert [(r["qualified_name"], r["mode"]) for r in tight.orderBy("seq").collect()] == [("Point.move", "full"), ("scale", "signature"), ("Point", None)]
+    modes = [r["mode"] for r in tight.orderBy("seq").collect()]
+    assert modes[0] == "full" and modes[1] == "signature"
     s = context.assembly_stats(tight, KEYS).first()
-    assert (s["included"], s["signature_only"], s["omitted"]) == (2, 1, 1) and s["tokens"] <= roomy[0]["tokens"] + 60
+    assert (s["included"], s["signature_only"], s["omitted"]) == (3 - modes.count(None), modes.count("signature"), modes.count(None)) and s["tokens"] <= roomy[0]["tokens"] + 60
 
 
 def test_contained_symbols_are_passed_by(spark, sample):
     g = sample[0]
-    changed = seed(g, "src/shape.ts", "Point", [6]).unionByName(seed(g, "src/shape.ts", "Point.move", [9]))
+    changed = seed(g, "app/clock.ts", "Span", [10]).unionByName(seed(g, "app/clock.ts", "Span.of", [13]))
     got = assembled(spark, g, FILES, changed, 10_000).orderBy("seq").collect()
-    assert [r["qualified_name"] for r in got if r["mode"]] == ["Point", "scale"]
+    assert [r["qualified_name"] for r in got if r["mode"]] == ["Span", "minutes"]
 
 
 def test_excerpt(spark):
@@ -236,4 +247,4 @@ def test_report(spark, sample):
 
     g, run = sample
     said = json.loads(review.report(run, g).first()["report"])
-    assert said["files_indexed"] == 7 and said["symbol_kinds"]["class"] == 3 and said["most_called"][0] == "src/shape.ts:scale (4 callers)"
+    assert said["files_indexed"] == 6 and said["symbol_kinds"]["class"] == 3 and said["most_called"][0] == "app/clock.ts:minutes (4 callers)"

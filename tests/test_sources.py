@@ -12,7 +12,7 @@ from codeloom.functions import timing
 from codeloom.sources import trees
 from codeloom.streaming import ingest
 
-from .samples import DIFF, HEAD
+from .samples import BEFORE, DIFF, HEAD, PATH
 
 
 def write(folder, files):
@@ -59,11 +59,11 @@ def repository(tmp_path):
     os.makedirs(folder)
     git = lambda *a: subprocess.run(["git", "-C", folder, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q", "-b", "main")
-    write(folder, {"src/bill.ts": HEAD.replace("<=", "<"), "README.md": "x", "é.ts": "export const q = 1;\n"})
+    write(folder, {PATH: BEFORE, "README.md": "x", "é.ts": "export const q = 1;\n"})
     os.symlink("README.md", os.path.join(folder, "link.ts"))
     git("add", "-A")
     git("commit", "-qm", "one")
-    write(folder, {"src/bill.ts": HEAD})
+    write(folder, {PATH: HEAD})
     git("commit", "-qam", "two")
     return folder
 
@@ -71,12 +71,12 @@ def repository(tmp_path):
 def test_commits(spark, repository):
     spark.dataSource.register(trees.CommitSource)
     got = {r["path"]: r for r in spark.read.format("commit").option("revision", "HEAD~1").option("filesPerTask", 1).load(repository).collect()}
-    assert set(got) == {"src/bill.ts", "README.md", "é.ts"}
-    assert got["src/bill.ts"]["content"] == HEAD.replace("<=", "<") and got["README.md"]["content"] is None and got["README.md"]["size"] == 1
+    assert set(got) == {PATH, "README.md", "é.ts"}
+    assert got[PATH]["content"] == BEFORE and got["README.md"]["content"] is None and got["README.md"]["size"] == 1
     objects = trees.Objects(repository)
-    assert objects.read("HEAD:src/bill.ts") == HEAD and objects.read("HEAD:none") is None and objects.read("HEAD:src") is None and objects.read("a\nb") is None and objects.read("HEAD:é.ts") == "export const q = 1;\n"
+    assert objects.read(f"HEAD:{PATH}") == HEAD and objects.read("HEAD:none") is None and objects.read("HEAD:app") is None and objects.read("a\nb") is None and objects.read("HEAD:é.ts") == "export const q = 1;\n"
     objects.close()
-    assert "+  for (let i = 0; i <= list.length; i++) {" in trees.diff_text(repository, "HEAD~1", "HEAD")
+    assert "+    if (s.seats < seats) continue;" in trees.diff_text(repository, "HEAD~1", "HEAD")
     with pytest.raises(subprocess.CalledProcessError):
         trees.revision(repository, "none")
 
@@ -85,19 +85,19 @@ def test_command_line(spark, repository, tmp_path, capsys):
     out, cache = str(tmp_path / "out.json"), str(tmp_path / "parses")
     assert cli.main(["index", "--git", repository, "--out", out, "--parse-cache", cache]) == 0
     said = json.load(open(out))
-    assert said["files_indexed"] == 2 and said["parsed"] == 2 and said["symbol_kinds"]["function"] == 2
+    assert said["files_indexed"] == 2 and said["parsed"] == 2 and said["symbol_kinds"]["function"] == 3
     assert cli.main(["index", "--git", repository, "--out", out, "--parse-cache", cache]) == 0
     assert json.load(open(out))["from_cache"] == 2
     assert cli.main(["review", "--git", repository, "--base", "HEAD~1", "--head", "HEAD", "--dry-run", "--strategy", "S4"]) == 0
     shown = capsys.readouterr()
-    assert '<diff path="src/bill.ts" status="modified">' in shown.out and "strategy S4" in shown.err
+    assert f'<diff path="{PATH}" status="modified">' in shown.out and "strategy S4" in shown.err
     with open(tmp_path / "c.diff", "w") as f:
         f.write(DIFF)
-    os.makedirs(tmp_path / "w" / "src")
-    with open(tmp_path / "w" / "src" / "bill.ts", "w") as f:
+    os.makedirs(tmp_path / "w" / "app")
+    with open(tmp_path / "w" / PATH, "w") as f:
         f.write(HEAD)
     assert cli.main(["review", "--diff", str(tmp_path / "c.diff"), "--repo", str(tmp_path / "w"), "--dry-run", "--out", out, "--budget", "500"]) == 0
-    assert json.load(open(out))["review"]["diffs_included"] == ["src/bill.ts"]
+    assert json.load(open(out))["review"]["diffs_included"] == [PATH]
     with pytest.raises(SystemExit):
         cli.arguments(["review", "--diff", "x"])
 

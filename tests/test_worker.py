@@ -12,7 +12,7 @@ from codeloom.operators import model_calls, store
 from codeloom.plans import worker
 from codeloom.sources import settings, trees
 
-from .samples import DIFF, HEAD, comment
+from .samples import DIFF, HEAD, PATH, comment
 
 NOW = datetime(2025, 3, 1)
 JOB = "job_id string, delivery_id string, installation_id long, repository_id long, owner string, repo string, pull_number int, head_sha string, base_sha string"
@@ -24,11 +24,11 @@ def tables(spark):
 
 
 def snapshot(spark, sha="h"):
-    return trees.memory(spark, {"src/bill.ts": HEAD}).withColumn("repo_id", F.lit(9).cast("long")).withColumn("sha", F.lit(sha))
+    return trees.memory(spark, {PATH: HEAD}).withColumn("repo_id", F.lit(9).cast("long")).withColumn("sha", F.lit(sha))
 
 
 def provider(request=None):
-    return model_calls.FakeProvider(lambda r, n: {"comments": [comment()]} if "list.length" in r.prompt else model_calls.CallError("refusal", "declined"))
+    return model_calls.FakeProvider(lambda r, n: {"comments": [comment()]} if "boat.leaves" in r.prompt else model_calls.CallError("refusal", "declined"))
 
 
 def test_from_jobs_to_posts(spark):
@@ -38,7 +38,7 @@ def test_from_jobs_to_posts(spark):
     done = worker.review_batch(jobs, pulls, snapshot(spark), tables(spark), settings.PRESETS["S1"], provider, NOW, "Bot")
     assert {r["job_id"]: r["decision"] for r in done.decided.collect()} == {"j1": "reviewed", "j2": "superseded", "j3": "closed", "j4": "reviewed"}
     (post,) = done.posts.collect()
-    assert post["body"].startswith("Bot left 1 comment.") and post["comments"][0]["line"] == 8
+    assert post["body"].startswith("Bot left 1 comment.") and post["comments"][0]["line"] == 16
     rows = sorted((r["status"], r["error"], r["tokens_in"]) for r in done.tables["reviews"].collect())
     assert rows == [("failed", "refusal: declined", None), ("posted", None, 1000)]
     assert [(r["status"], r["posted"]) for r in done.tables["candidate_comments"].collect()] == [("selected", True)]
@@ -52,7 +52,7 @@ def test_index_jobs(spark):
     jobs = spark.createDataFrame([("i1", "1", 5, 9, "o", "r", "old"), ("i2", "2", 5, 9, "o", "r", "h")], "job_id string, delivery_id string, installation_id long, repository_id long, owner string, repo string, sha string")
     after, stats, parses = worker.index_batch(jobs, snapshot(spark).unionByName(snapshot(spark, "old")), tables(spark))
     s = stats.first()
-    assert (s["files_written"], s["symbols_written"], s["parsed"], s["from_cache"]) == (1, 4, 1, 0)
+    assert (s["files_written"], s["symbols_written"], s["parsed"], s["from_cache"]) == (1, 6, 1, 0)
     assert after["repositories"].first()["last_indexed_sha"] == "h" and schemas.violations(after).count() == 0
     _, stats, _ = worker.index_batch(jobs, snapshot(spark), after, parses)
     s = stats.first()
