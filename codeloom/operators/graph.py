@@ -14,12 +14,13 @@ ROLE_RANK = {"enclosing": 0, "callee": 1, "base": 1, "caller": 2}
 OUTWARD = ("calls", "extends", "implements")
 
 
-def walk(starts: DataFrame, edges: DataFrame, depth: int, keys: list[str], graph_keys: list[str], outward: bool = True, start_distance: int = 0) -> DataFrame:
+def walk(starts: DataFrame, edges: DataFrame, depth: int, keys: list[str], graph_keys: list[str], outward: bool = True, start_distance: int = 0, last_places: bool = True) -> DataFrame:
     """Breadth-first from each group of start nodes: (keys, node, distance, kind, pos) for nodes other than the starts.
 
     starts has (keys, node, pos); a group's nodes are visited once, at their shortest distance, by the first edge that
     reaches them: earlier frontier nodes first, then earlier edges. A round joins the frontier to the edges, drops what
-    was visited and keeps one row per node. Frontiers are written between rounds, since each is read twice.
+    was visited and keeps one row per node. Frontiers are written between rounds, since each is read twice. Without
+    ``last_places`` the nodes of the last round have no pos, which spares a sort and a write of the largest frontier.
     """
     followed = edges.filter(F.col("kind").isin(*OUTWARD) if outward else F.col("kind") == "calls")
     here, other = ("src", "dst") if outward else ("dst", "src")
@@ -29,6 +30,9 @@ def walk(starts: DataFrame, edges: DataFrame, depth: int, keys: list[str], graph
     for distance in range(start_distance + 1, depth + 1):
         offered = frontier.join(steps, [*graph_keys, "node"]).select(*keys, F.col("next").alias("node"), "kind", F.struct("pos", "seq").alias("at"))
         fresh = offered.groupBy(*keys, "node").agg(F.min("at").alias("at"), F.min_by("kind", "at").alias("kind")).join(seen, [*keys, "node"], "left_anti")
+        if distance == depth and not last_places:
+            rest = fresh.select(*keys, "node", F.lit(distance).alias("distance"), "kind", F.lit(None).cast("long").alias("pos"))
+            return rest if out is None else out.unionByName(rest)
         order = W.partitionBy(*keys).orderBy("at")
         found = checkpoint(fresh.select(*keys, "node", F.lit(distance).alias("distance"), "kind", F.row_number().over(order).cast("long").alias("pos")))
         out = found if out is None else out.unionByName(found)

@@ -145,7 +145,7 @@ def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = items.select((F.col("l_partkey") + 10_000_000).alias("src"), (F.col("l_suppkey") + 20_000_000).alias("dst"), F.lit("extends").alias("kind"))
     edges = bought.unionByName(made).distinct().withColumn("seq", F.xxhash64("src", "dst"))
     starts = orders.select(F.col("o_custkey").alias("seed"), F.col("o_custkey").alias("node"), F.lit(0).cast("long").alias("pos")).distinct()
-    return graph.walk(starts, edges, 2, ["seed"], [])
+    return graph.walk(starts, edges, 2, ["seed"], [], last_places=False)
 
 
 @query(f"WITH {_HOPS} SELECT * FROM walked")
@@ -199,7 +199,7 @@ _SET_C = f"""
 
 @query(f"""
     WITH s AS (SELECT l_orderkey AS review_id, {_C} AS id, l_linenumber * 3 AS a, l_linenumber * 3 + round(l_quantity)::INT AS b FROM lineitem),
-    p AS (SELECT DISTINCT review_id, unnest(range(1, 31)) AS line FROM s),
+    p AS (SELECT review_id, unnest(range(1, max(b) + 1)) AS line FROM s GROUP BY review_id),
     m AS (SELECT p.review_id, p.line, id FROM p LEFT JOIN s ON s.review_id = p.review_id AND line BETWEEN a AND b
         QUALIFY row_number() OVER (PARTITION BY p.review_id, line ORDER BY b - a, id DESC) = 1)
     SELECT review_id, line::INT AS line, id::INT AS id FROM m""")
@@ -207,7 +207,7 @@ def q_innermost_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _set_c(spark, sf_dir)
     start = F.col("line") * 3
     spans = rows.select("review_id", F.col("index").alias("id"), start.alias("start_line"), (start + F.round("l_quantity").cast("int")).alias("end_line"))
-    lines = rows.select("review_id").distinct().withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    lines = spans.groupBy("review_id").agg(F.max("end_line").alias("last")).select("review_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("line"))
     return ranges.innermost(lines, spans, ["review_id"])
 
 
@@ -450,24 +450,36 @@ def q_greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANKED = """
-    r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS rank FROM orders),
-    s AS (SELECT *, CASE WHEN rank <= 3 THEN 'selected' ELSE 'over_cap' END AS status FROM r)"""
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("o_custkey").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")
-    ranked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("rank"))
-    return ranked.withColumn("status", F.when(F.col("rank") <= 3, "selected").otherwise("over_cap"))
+    c AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS bad, least(substr(o_orderpriority, 1, 1)::INT, 4) AS severity, floor(o_totalprice)::BIGINT % 10 AS sure, ['apple', 'Banana', 'cherry', 'Date'][o_orderkey % 4 + 1] AS name FROM orders),
+    r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY severity, sure DESC, lower(name), o_orderkey) AS rank FROM c WHERE NOT bad),
+    s AS (SELECT o_custkey, o_orderkey, rank, CASE WHEN bad THEN 'invalid' WHEN rank <= 3 THEN 'selected' ELSE 'over_cap' END AS status FROM c LEFT JOIN r USING (o_custkey, o_orderkey))"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as comments on lines far apart, some of them invalid; of equals the file decides, as people sort names."""
+    o = table(spark, sf_dir, "orders")
+    severity = F.element_at(F.array(*[F.lit(s) for s in comments.SEVERITIES]), F.least(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(4)))
+    name = F.element_at(F.array(*[F.lit(f"src/{n}.ts") for n in ("apple", "Banana", "cherry", "Date")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    found = o.select(
+        "o_custkey", F.col("o_orderkey").cast("int").alias("index"), name.alias("file"), (F.col("o_orderkey") * 10).cast("int").alias("line"), F.lit("bug").alias("category"), severity.alias("severity"), F.lit("claim").alias("claim"),
+        F.lit("x").alias("evidence"), F.lit(None).cast("string").alias("suggested_fix"), (F.floor("o_totalprice") % 10 / 10).cast("double").alias("confidence"), F.when(F.col("o_orderstatus") == "P", "line_not_in_diff").alias("reject_reason"),
+    )
+    return comments.decide(found, F.lit(3), ["o_custkey"])
 
 
 @query(f"WITH {_RANKED} SELECT o_custkey, o_orderkey, rank::INT AS rank, status FROM s")
 def q_rank_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir)
+    return _decided(spark, sf_dir).select("o_custkey", F.col("index").cast("long").alias("o_orderkey"), "rank", "status")
 
 
 @query(f"WITH {_RANKED} SELECT o_custkey, status, count(*) AS n FROM s GROUP BY ALL")
 def q_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments.status_counts(_ranked(spark, sf_dir), ["o_custkey"])
+    return comments.status_counts(_decided(spark, sf_dir), ["o_custkey"])
+
+
+@query(f"WITH {_RANKED} SELECT o_custkey, o_orderkey, (rank - 1)::INT AS seq FROM s WHERE status = 'selected'")
+def q_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comments.selected(_decided(spark, sf_dir), ["o_custkey"]).select("o_custkey", F.col("index").cast("long").alias("o_orderkey"), "seq")
 
 
 # ---- calls, storage, jobs
@@ -558,10 +570,26 @@ def q_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("l_orderkey").alias("review_id"), index.alias("index"), timing.backoff_ms(F.col("l_linenumber"), F.col("l_discount") * 5, asked).alias("wait_ms"))
 
 
-@query("SELECT event_id, 'key#' || ((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 3 + 1) AS label FROM events")
+@query("""
+    WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+    SELECT event_id, CASE WHEN n < 3 THEN 'key#' || (n + 1) ELSE 'key#' || ((n - 3) % 2 * 2 + 1) END AS label FROM e""")
 def q_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = (F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) - 1) % 3 + 1
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("key#"), turn.cast("string")).alias("label"))
+    """Each user's events ask one pool of three keys in turn; the second is rejected at its first use."""
+    import math
+
+    import pandas as pd
+
+    def asked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pool, labels = pdf.sort_values(["ts", "event_id"]), model_calls.KeyPool("abc", now=lambda: 0.0), []
+        for _ in range(len(pdf)):
+            key = pool.take()
+            labels.append(key.label)
+            if key.label == "key#2":
+                pool.hold(key, math.inf, "rejected")
+        return pdf.assign(label=labels)[["event_id", "label"]]
+
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return events.groupBy("user_id").applyInPandas(asked, "event_id long, label string")
 
 
 @query("""
@@ -597,10 +625,11 @@ _REPOS = """
     f AS (SELECT repo_id, o_orderkey, next, coalesce(n, 0) AS n FROM o LEFT JOIN i ON l_orderkey = o_orderkey)"""
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sources(spark: SparkSession, sf_dir: str, repositories: int = 100, only: int | None = None) -> DataFrame:
     """A source file per order, a hundred repositories: a function that calls one helper per line item and the next file."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    own = orders.select((F.col("o_custkey") % 100).alias("repo_id"), F.col("o_orderkey").alias("k"))
+    own = orders.select((F.col("o_custkey") % repositories).alias("repo_id"), F.col("o_orderkey").alias("k"))
+    own = own if only is None else own.filter(F.col("repo_id") == only)
     own = own.withColumn("next", F.coalesce(F.lead("k").over(W.partitionBy("repo_id").orderBy("k")), F.lit(-1)))
     counts = items.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     files = own.join(counts, "k", "left").fillna(0, ["n"])
@@ -632,3 +661,16 @@ def q_index_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ids.parse_cache_key(F.lit("typescript"), F.col("blob_sha"))
     known = files.filter("cast(regexp_extract(path, '[0-9]+', 0) as long) % 10 <> 0").select(key.alias("key"), _parse(f"array({_MODULE})").alias("parse"))
     return review.index_files(files, known).stats.drop("sha")
+
+
+@query(f"""
+    WITH {_REPOS} SELECT count(*) AS files, sum(n + 2)::BIGINT AS symbols, (sum(n) + count(next))::BIGINT AS edges_calls, count(next) AS edges_imports
+    FROM (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next, coalesce(n, 0) AS n FROM orders LEFT JOIN i ON l_orderkey = o_orderkey WHERE o_custkey % 1000 = 7)""")
+def q_index_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repository by itself, of about 150 files at a tenth of the scale."""
+    from . import review
+
+    run = review.index_files(_sources(spark, sf_dir, 1000, 7))
+    g = link.link(link.checkpoint(run.parses.select(*review.GRAPH, "path", "parse")), review.GRAPH)
+    return g.stats.select("files", "symbols", "edges_calls", "edges_imports")
+
