@@ -23,10 +23,11 @@ LEAST_ASSIGN = 6
 #: Weak parts: identifiers in capitals and digits, long mixed tokens, and places to connect to.
 WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{12,}+(?![A-Za-z0-9])")
 WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,11}://[A-Za-z0-9._~:@%-]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){2,8}[a-z]{2,12}:[0-9]{2,5}(?![0-9])")
+ENDPOINT = re.compile(r"(?<![a-z0-9+])[a-z][a-z0-9+]*+://[A-Za-z0-9._~:@%-]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]++\.){2,}+[a-z0-9-]*:[0-9]{2,5}(?![0-9])")
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
+#: Default of the greatest distance, in code points, between the parts of a credential; None for a whole scope.
 REACH = 400
 
 
@@ -65,11 +66,12 @@ class Intervals:
         return before > 0 and self.ends[before - 1] >= low
 
 
-def linked_spans(text: str, strong: list[tuple[int, str, int]], reach: int = REACH) -> list[tuple[int, str, int]]:
+def linked_spans(text: str, strong: list[tuple[int, str, int]], reach: int | None = REACH) -> list[tuple[int, str, int]]:
     """Weak identifiers, keys and endpoints that complete a credential.
 
     A scope is a run of lines without a blank one. An identifier and a secret (strong ones included) are complementary
-    within one scope at ``reach`` code points or less; an endpoint joins where both stand in its reach. Each candidate is
+    within one scope at ``reach`` code points or less, or anywhere in it if that is None; an endpoint joins where both stand
+    in its reach. Identifiers have 12 letters and digits or more, keys 20 or more, endpoints any length. Each candidate is
     tested by a search in the sorted intervals of the other sort: pairs are not formed.
     """
     taken = Intervals([(s, e - 1) for s, _, e in strong])
@@ -86,7 +88,7 @@ def linked_spans(text: str, strong: list[tuple[int, str, int]], reach: int = REA
     def bounds(s: int, e: int) -> tuple[int, int]:
         at = bisect_left(first, s)
         low, high = breaks[at - 1][1] if at else 0, first[at] if at < len(breaks) else len(text)
-        return max(low, s - reach), min(high, e + reach)
+        return (low, high) if reach is None else (max(low, s - reach), min(high, e + reach))
 
     all_ids, all_keys = Intervals(strong_ids + ids), Intervals(strong_keys + weak)
     out = [(s, "id", e) for s, e in ids if all_keys.meets(*bounds(s, e))]
@@ -100,25 +102,26 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2])))
 
 
-def scan_text(text: str | None) -> tuple[int, int, int, str, str]:
+def scan_text(text: str | None, reach: int | None = REACH) -> tuple[int, int, int, str, str]:
     text = text or ""
     strong = strong_spans(text)
     kinds = [k for _, k, _ in strong]
-    everything = strong + linked_spans(text, strong)
+    everything = strong + linked_spans(text, strong, reach)
     return kinds.count("assign"), kinds.count("access"), kinds.count("hex"), joined(strong), joined(everything)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """Per document (id, n_assign, n_access, n_hex, base, spans): ``base`` lists the spans of the strong patterns as
     kind:start:end, ``spans`` adds the weak parts that are linked. Positions are code points, ends exclusive. Null texts
-    are empty. Rows are independent: repeats get equal results, and no row leaves its task."""
+    are empty. Parts are linked within ``reach`` code points of a scope, or its whole (None). Rows are independent: repeats
+    get equal results, and no row leaves its task."""
     docs = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [scan_text(t) for t in part.column(1).to_pylist()]
+                found = [scan_text(t, reach) for t in part.column(1).to_pylist()]
                 columns = list(zip(*found, strict=True)) if found else [()] * 5
                 types = [pa.int64()] * 3 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_assign", "n_access", "n_hex", "base", "spans"])
