@@ -44,12 +44,15 @@ class Suffixes(NamedTuple):
     stats: dict
 
 
+_LOWERED = str.maketrans(UPPER, LOWER)
+
+
 def _suffixes(url: str) -> tuple[str, str, str]:
     rest = url.partition("://")[2]
     host = rest
     for c in "/?#":
         host = host.partition(c)[0]
-    labels = host.lower().split(".")
+    labels = host.translate(_LOWERED).split(".")
     return host, labels[-1], ".".join(labels[-2:])
 
 
@@ -78,7 +81,7 @@ def features(urls: list[str], suffixes: Suffixes) -> np.ndarray:
         rate2, seen2 = suffixes.stats.get(two, (suffixes.prior, 0.0))
         row[:] = (
             len(url), len(host), len(path), len(segments), host.count("."), digits / n, sum(map(str.isdigit, host)) / max(1, len(host)),
-            -sum(c / n * math.log2(c / n) for c in counts.values()), query.count("=") + query.count("&"), len(query), url.count("-"), host.count("-"),
+            -sum(c / n * math.log2(c / n) for c in counts.values()), sum(map(bool, query.split("&"))), len(query), url.count("-"), host.count("-"),
             max(map(len, segments), default=0), url.startswith("https"), rate1, seen1, rate2, seen2,
         )
     return out
