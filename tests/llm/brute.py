@@ -53,6 +53,30 @@ def base_secrets(text: str | None) -> list[tuple[int, str, int]]:
     return [(s, k, e) for s, _, k, e in sorted(found)]
 
 
+def linked(text: str, strong: list, reach: int | None) -> list[tuple[int, str, int]]:
+    """Weak parts of credentials, each compared with all others."""
+    apart = lambda s, e: all(e <= a or s >= b for a, _, b in strong)
+    word = lambda p, edge: [(m.start(), m.end()) for m in re.finditer(rf"(?<![{edge}]){p}(?![{edge}])", text) if apart(m.start(), m.end())]
+    ids = [x for x in word("[A-Z0-9]{12,}", "A-Za-z0-9") if re.search("[0-9]", text[slice(*x)]) and re.search("[A-Z]", text[slice(*x)])]
+
+    def mixed(t: str) -> bool:
+        bits = -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+        return bits >= 3.5 and all(re.search(c, t) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+
+    keys = [x for x in word("[A-Za-z0-9+/_-]{20,}={0,2}", "A-Za-z0-9+/_=-") if mixed(text[slice(*x)])]
+    places = [(m.start(), m.end()) for m in re.finditer(r"(?<![a-z0-9+])[a-z][a-z0-9+]*://[A-Za-z0-9._~:@%-]+|(?<![A-Za-z0-9.-])([a-z0-9-]+[.]){2,}[a-z0-9-]*:[0-9]{2,5}(?![0-9])", text) if apart(m.start(), m.end())]
+    all_ids = ids + [(s, e) for s, k, e in strong if k == "access"]
+    all_keys = keys + [(s, e) for s, k, e in strong if k != "access"]
+
+    def near(x, y) -> bool:
+        between = text[min(x[1], y[1]) : max(x[0], y[0])]
+        return not re.search(r"\n[\x20\t\r]*\n", between) and (reach is None or max(x[0], y[0]) - min(x[1], y[1]) <= reach)
+
+    out = [(*x, "id") for x in ids if any(near(x, y) for y in all_keys)] + [(*x, "key") for x in keys if any(near(x, y) for y in all_ids)]
+    out += [(*x, "endpoint") for x in places if any(near(x, y) for y in all_ids) and any(near(x, y) for y in all_keys)]
+    return sorted((s, k, e) for s, e, k in out)
+
+
 def substrings(docs: dict, n: int = 35) -> dict:
     at = defaultdict(int)
     split = {d: words(t) for d, t in docs.items()}
@@ -154,7 +178,7 @@ def suffix_scores(docs: dict, *limits, **more) -> dict:
     return {d: sum(logp(w[max(0, i - limits[2]) : i], x) for i, x in enumerate(w)) for d, w in toks.items()}
 
 
-def lines(docs: dict) -> dict:
+def lines_left(docs: dict) -> dict:
     split = {d: (t or "").split("\n") for d, t in docs.items()}
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
@@ -162,11 +186,12 @@ def lines(docs: dict) -> dict:
         for x in own:
             if len(key(x)) >= 10:
                 holders[key(x)].add(d)
-    out = {}
-    for d, own in split.items():
-        kept = [x for x in own if not (len(holders.get(key(x), ())) >= 2 and min(holders[key(x)]) != d)]
-        out[d] = (len(own), len(own) - len(kept), sha("\n".join(kept)))
-    return out
+    gone = lambda d, x: len(holders.get(key(x), ())) >= 2 and min(holders[key(x)]) != d
+    return {d: [x for x in own if not gone(d, x)] for d, own in split.items()}
+
+
+def lines(docs: dict) -> dict:
+    return {d: (n := len((docs[d] or "").split("\n")), n - len(kept), sha("\n".join(kept))) for d, kept in lines_left(docs).items()}
 
 
 def contamination(docs: dict, items: dict, n: int = 10) -> dict:
