@@ -31,18 +31,20 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", min_chars: int = 10, m
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """The columns of documents as __c0, __c1, ..., whatever their names, and beside them the text left and line counts."""
+    """The columns of documents but for the text as __c0, __c1, ..., whatever their names, the text left, whether there was
+    one, and line counts."""
     names = docs.columns
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     own, text = f"__c{names.index(id_col)}", f"__c{names.index(text_col)}"
-    inner = with_row_key(inner.withColumn("text", F.coalesce(text, F.lit(""))), own)
+    # from here on the text is held once; whether it was null is all that is asked of the original
+    inner = with_row_key(inner.withColumns({"__null": F.col(text).isNull(), "text": F.coalesce(text, F.lit(""))}), own)
     lost = shared_lines(inner, own, min_chars, min_docs)
     joined = inner.join(lost, "__key", "left").withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.transform(left, lambda i: F.get(F.col("lines"), i))
     new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     counts = F.size("lines").cast("long").alias("__n"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("__gone")
-    return joined.select(*[f"__c{i}" for i in range(len(names))], new.alias("__left"), *counts)
+    return joined.select(*[f"__c{i}" for i in range(len(names)) if f"__c{i}" != text], "__null", new.alias("__left"), *counts)
 
 
 def keep_own_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -51,8 +53,8 @@ def keep_own_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     those that had no word before among them."""
     judged = _judged(docs, id_col, text_col, min_chars, min_docs)
     judged = judged.filter((F.col("__gone") == 0) | (F.length(F.btrim("__left", F.lit(SPACES))) > 0))
-    new = {text_col: F.when(F.col("__gone") > 0, F.col("__left")).otherwise(F.col(f"__c{docs.columns.index(text_col)}")), chars_col: F.char_length("__left").cast("long")}
-    return judged.select(*[new.get(n, F.col(f"__c{i}")).alias(n) for i, n in enumerate(docs.columns)])
+    new = {text_col: F.when(~F.col("__null"), F.col("__left")), chars_col: F.char_length("__left").cast("long")}
+    return judged.select(*[(new[n] if n in new else F.col(f"__c{i}")).alias(n) for i, n in enumerate(docs.columns)])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
