@@ -93,6 +93,12 @@ def stored(df: DataFrame, name: str = "rows") -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+def once(keyed: DataFrame, key: str = "__key") -> tuple[DataFrame, DataFrame | None]:
+    """One row of each key, and how many each has (__rows) if some have more than one."""
+    rows = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    return (keyed.dropDuplicates([key]), rows) if rows.filter("__rows > 1").take(1) else (keyed, None)
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of rounds that are over, and their checkpoint files where the session sets
     spark.cleaner.referenceTracking.cleanCheckpoints. It does so when the driver's garbage is collected, and a driver that

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, pick, with_row_key
+from .common import checkpoint, map_rows, once, pick, with_row_key
 from .textscan import LOWER, WORD_CHAR, Step, pair, steps, word_hashes, words
 
 #: Bytes of benchmark text that one broadcast holds, or a single item if that is longer; more are searched block by block.
@@ -217,12 +217,6 @@ def _matches(docs: DataFrame, sent) -> DataFrame:
     return docs.select("__key", "__id", "text").mapInArrow(run, SCHEMA)
 
 
-def _once(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """One row of each key, and how many each has if some have more than one."""
-    rows = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
-    return (keyed.dropDuplicates(["__key"]), rows) if rows.filter("__rows > 1").take(1) else (keyed, None)
-
-
 def _block_by_block(docs: DataFrame, blocks: Iterator, window: int) -> DataFrame:
     """The hits of rows (__key, __id, text) with all blocks, a row for each key. A block is sent, searched, its hits written,
     and the block dropped by tasks and driver before the next one is read."""
@@ -258,7 +252,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
         found = _matches(docs.withColumn("__key", F.lit(0).cast("long")), docs.sparkSession.sparkContext.broadcast(Tests(*first, window)))
     else:
         keyed = with_row_key(docs, "__id")
-        each, rows = _once(keyed)
+        each, rows = once(keyed)
         found = _block_by_block(each, blocks, window)
         if rows is not None:
             found = found.join(rows, "__key").withColumn("__rows", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
@@ -290,5 +284,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     inner = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     own = {"__id": F.col(f"__c{names.index(id_col)}").cast("long"), "text": F.col(f"__c{at}")}
     keyed = with_row_key(inner.withColumns(own), "__id")
-    hit = _block_by_block(_once(keyed)[0], blocks, window).filter(F.size("hits") > 0).select("__key")
+    hit = _block_by_block(once(keyed)[0], blocks, window).filter(F.size("hits") > 0).select("__key")
     return keyed.join(hit, "__key", "left_anti").select(*[f"__c{i}" for i in range(len(names))]).toDF(*names)

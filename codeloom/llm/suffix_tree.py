@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, checkpoint, pick, settle, stored, with_row_key
-from .textscan import LOWER, NOT_SPACE, Step, steps, word_hashes, words
+from .common import Stored, once, pick, settle, stored, with_row_key
+from .textscan import LOWER, NOT_SPACE, Step, grouped, mix, steps, word_hashes, words
 
 #: The token that ends every text; its hash stands for no word.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -26,8 +26,8 @@ SENT, HEAD_CONTEXTS, HEAD_ENTRIES = 1e-6, 1_000_000, 4_000_000
 #: 64-bit words of the filters of live grams that are sent to the tasks. They only spare rows that joins would drop.
 FILTER = 1 << 20
 DISCOUNT = 0.5
-#: Marks hashes of contexts, since the words of a context may be those of an entry.
-CONTEXT = np.uint64(0x5C5C5C5C5C5C5C5C)
+#: Marks of hashes of contexts and words in tables that are asked for all: the words of a context may be those of an entry.
+CONTEXT, WORD = np.uint64(0x5C5C5C5C5C5C5C5C), np.uint64(0x3636363636363636)
 
 
 def tokens(step: Step) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +59,7 @@ class Tree(NamedTuple):
     loglam: np.ndarray  #: log10 of the share that a context leaves to its suffix's distribution, scaled to what it doesn't tell apart
     keys: np.ndarray  #: entries of the head, sorted
     gain: np.ndarray  #: log10 of the entry's probability over the next word's base probability
+    near: np.ndarray  #: a filter of the contexts of the head, to spare searches
     other_contexts: np.ndarray  #: filters of the contexts and entries that are not in the head; empty if there are none
     other_entries: np.ndarray
 
@@ -74,12 +75,15 @@ def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-def live_bits(rows: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the lowest bits of hashes, of fixed size: it passes all hashes of the column, and some others."""
-    low = rows.select((F.col(column).bitwiseAND(F.lit(64 * FILTER - 1))).alias("x"))
-    found = low.groupBy(F.shiftright("x", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER, np.uint64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+def live_bits(rows: DataFrame, column: str, *some) -> list[np.ndarray]:
+    """Bitmaps of the lowest bits of hashes, of fixed size, one for each condition: each passes all hashes of the column in
+    rows that meet its condition, and some others."""
+    low = rows.select(F.col(column).bitwiseAND(F.lit(64 * FILTER - 1)).alias("x"), *[c.alias(f"c{i}") for i, c in enumerate(some)])
+    bit = "shiftleft(1L, cast(x & 63 as int))"
+    found = low.groupBy(F.shiftright("x", 6).alias("at")).agg(*[F.expr(f"bit_or(if(c{i}, {bit}, 0L))").alias(f"b{i}") for i in range(len(some))]).toArrow()
+    out = [np.zeros(FILTER, np.uint64) for _ in some]
+    for i, bits in enumerate(out):
+        bits[found["at"].to_numpy()] = found[f"b{i}"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
@@ -121,20 +125,18 @@ def _count_grams(sent):
                 parts.append((g[live], c[live]))
             if parts:
                 g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-                g, at, n = np.unique(g, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (g, c[at])), pa.array(n.astype(np.int64))], names=["g", "c", "n"])
+                order, head = grouped(g)
+                n = np.diff(np.append(head, len(g)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[order[head]].view(np.int64)) for x in (g, c)), pa.array(n)], names=["g", "c", "n"])
 
     return run
 
 
 class States(NamedTuple):
-    """Written tables of kept contexts (c, nc, size, loglam) and their entries (g, n, gain), one of each per order."""
+    """Written tables of kept contexts (c, nc, loglam) and their entries (g, n, gain), one of each per order."""
 
-    contexts: list[Stored]
-    entries: list[Stored]
-
-    def all(self, name: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [t.rows for t in getattr(self, name)])
+    contexts: list[DataFrame]
+    entries: list[DataFrame]
 
 
 def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, depth: int = DEPTH) -> States:
@@ -146,25 +148,22 @@ def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int, l
     which has the probability that the suffix gives; the words of a context are an entry there too, which has its count.
     """
     share = (F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1))
-    below = stored(words.filter(F.col("n") >= least_next).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).alias("b")), "words")
-    out = States([], [])
+    below = stored(words.filter(F.col("n") >= least_next).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).cast("float").alias("b")), "words")
+    out, words_only = States([], []), below
     for k in range(1, depth + 1):
-        before, (kept, below) = below, _order(training, below.rows, k, least_context, least_next)
-        before.remove()
-        out.contexts.append(kept)
-        told = below.rows.join(kept.rows.select("c"), "c", "left_semi")
-        out.entries.append(stored(told.select("g", "n", (F.log10("p") - F.col("b")).alias("gain")), "entries"))
-        settle(training.sparkSession)
-    below.remove()
+        kept, below = _order(training, below.rows, k, least_context, least_next)
+        out.contexts.append(kept.rows)
+        out.entries.append(below.rows.filter("kept").select("g", "n", (F.log10("p") - F.col("b")).alias("gain")))
+    words_only.remove()
     return out
 
 
 def _order(training: DataFrame, below: DataFrame, k: int, least_context: int, least_next: int) -> tuple[Stored, Stored]:
-    """Kept contexts of k words, and (g, s, c, n, p, b) of all entries after contexts of k words, kept or not. Every step is
+    """Kept contexts of k words, and (g, s, n, p, b, kept) of all entries after contexts of k words, kept or not. Every step is
     written and its shuffle files released before the next."""
     spark = training.sparkSession
     often = below.filter(F.col("n") >= least_context)
-    shared = spark.sparkContext.broadcast((k, live_bits(often, "g"), live_bits(below, "g")))
+    shared = spark.sparkContext.broadcast((k, *live_bits(below, "g", F.col("n") >= least_context, F.lit(True))))
     rows = training.mapInArrow(_count_grams(shared), "g long, c long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_next)
     counted = stored(rows, "grams")
     shared.destroy()
@@ -179,23 +178,24 @@ def _order(training: DataFrame, below: DataFrame, k: int, least_context: int, le
     rest_p, rest_q = (F.greatest(F.lit(1e-12), 1 - F.col(x)) for x in "pq")
     gain = 2 * F.col("nc") * (F.col("far") + rest_p * F.log(rest_p / rest_q))
     left = F.greatest(F.lit(1e-12), 1 - F.col("p") + DISCOUNT * F.col("size") / F.col("nc"))
-    kept = stored(sums.filter(gain > (F.col("size") + 1) * F.log("nc")).select("c", "nc", "size", F.log10(left / rest_q).alias("loglam")), "contexts")
-    marked = known.rows.join(kept.rows.select("c", F.lit(True).alias("kept")), "c", "left")
+    kept = stored(sums.filter(gain > (F.col("size") + 1) * F.log("nc")).select("c", "nc", F.log10(left / rest_q).alias("loglam")), "contexts")
+    marked = known.rows.join(kept.rows.select("c", F.lit(True).alias("kept")), "c", "left").withColumn("kept", F.col("kept").isNotNull())
     smooth = (F.col("n") - DISCOUNT) / F.col("nc")
-    after = stored(marked.select("g", "s", "c", "n", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p"), "b"), "grams")
+    after = stored(marked.select("g", "s", "n", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p"), "b", "kept"), "grams")
     known.remove()
     settle(spark)
     return kept, after
 
 
 def _least(rows: DataFrame, count: str, room: int) -> int:
-    """The least count, a power of two, such that at most ``room`` rows have as much."""
+    """The least count such that at most ``room`` rows have as much; 0 if all rows fit. Counts from 1,024 on go by powers of 2."""
+    step = F.when(F.col(count) < 1024, F.col(count)).otherwise(F.shiftleft(F.lit(1).cast("long"), 10) * F.pow(F.lit(2), F.floor(F.log2(F.col(count) / 1024))).cast("long"))
     least = 1 << 62
-    for r in rows.groupBy(F.floor(F.log2(count)).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("e")).collect():
+    for r in rows.groupBy(step.alias("from")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("from")).collect():
         room -= r["n"]
         if room < 0:
             return least
-        least = 1 << r["e"]
+        least = r["from"]
     return 0
 
 
@@ -209,13 +209,17 @@ def _table(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarra
 def send(found: States, depth: int, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, DataFrame]:
     """The tree with the most frequent contexts and entries, and a table (h, v) of the others' values, contexts marked."""
     parts, others, filters = [], [], []
-    for rows, key, count, value, room, mark in ((found.all("contexts"), "c", "nc", "loglam", HEAD_CONTEXTS, int(CONTEXT)), (found.all("entries"), "g", "n", "gain", HEAD_ENTRIES, 0)):
+    for tables, key, count, value, room, mark in ((found.contexts, "c", "nc", "loglam", HEAD_CONTEXTS, int(CONTEXT)), (found.entries, "g", "n", "gain", HEAD_ENTRIES, 0)):
+        rows = reduce(DataFrame.unionByName, tables)
         least = _least(rows, count, room)
         parts += _table(rows.filter(F.col(count) >= least), key, value)
         rest = rows.filter(F.col(count) < least)
-        others.append(rest.select(F.col(key).bitwiseXOR(F.lit(mark)).alias("h"), F.col(value).cast("float").alias("v")))
-        filters.append(live_bits(rest, key) if least else np.zeros(0, np.uint64))
-    return Tree(depth, total, vocabulary, sent, counts, *parts, *filters), others[0].unionByName(others[1])
+        others.append(rest.select(F.col(key).bitwiseXOR(F.lit(mark)).alias("h"), F.col(value).cast("double").alias("v")))
+        filters += live_bits(rest, key, F.lit(True)) if least else [np.zeros(0, np.uint64)]
+    bits = np.zeros(64 * FILTER, bool)
+    bits[parts[0] & np.uint64(64 * FILTER - 1)] = True
+    near = np.packbits(bits, bitorder="little").view(np.uint64)
+    return Tree(depth, total, vocabulary, sent, counts, *parts, near, *filters), others[0].unionByName(others[1])
 
 
 def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray, **limits) -> Tree:
@@ -224,6 +228,14 @@ def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, cou
     return send(states(training, words, total, vocabulary, **limits), limits.get("depth", DEPTH), total, vocabulary, sent, counts)[0]
 
 
+def found_once(table: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a sorted table of the distinct values, -1 where absent, and the number of each value among them."""
+    order, head = grouped(value)
+    number = np.empty(len(value), np.int64)
+    number[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(value))))
+    return find(table, value[order[head]]), number
+
+
 class Searches(NamedTuple):
     """How far tokens get with the head of the tree. Each search goes from the longest context to the shortest: an entry ends
     it with its gain, a context without the entry adds its share. ``known`` is what is added before anything outside of the
@@ -237,6 +249,7 @@ class Searches(NamedTuple):
 
 def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
     n, outside = len(value), len(tree.other_contexts) + len(tree.other_entries) > 0
+    single, number = found_once(tree.contexts, value)
     asks = 2 * tree.depth if outside else 0
     asked, hashes, adds = np.zeros((n, asks), bool), np.zeros((n, asks), np.uint64), np.zeros((n, asks + 1))
     live, last = np.ones(n, bool), np.zeros(n, np.int64)
@@ -244,7 +257,11 @@ def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
         at, c, _, g = grams(value, doc, k)
         on = live[at]
         at, c, g = at[on], c[on], g[on]
-        node = find(tree.contexts, c)
+        if k == 1:
+            node = single[number[at - 1]]
+        else:
+            node, some = np.full(len(c), -1), passes(tree.near, c)
+            node[some] = find(tree.contexts, c[some])
         # entries stand under kept contexts only
         may = (node >= 0) | passes(tree.other_contexts, c)
         at, c, g, node = at[may], c[may], g[may], node[may]
@@ -262,30 +279,16 @@ def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
     return Searches(adds[:, 0], asked, hashes, adds[:, 1:])
 
 
-def score_step(step: Step, tree: Tree):
-    """Per text: tokens, known ones, sums of base and tree log-probabilities without the base part of words that were not
-    sent and without what is asked for; and for those words (text, hash, number) rows."""
-    value, firsts = tokens(step)
-    doc = np.repeat(np.arange(step.n), np.diff(firsts))
-    at = find(tree.sent, value)
-    sent = at >= 0
-    base = np.where(sent, tree.base(tree.counts[np.maximum(at, 0)]) if len(tree.sent) else 0.0, 0.0)
-    sums = [np.bincount(doc, x, step.n) for x in (base, base + search(value, doc, tree).known)]
-    known = np.bincount(doc, sent, step.n).astype(np.int64)
-    rest = np.flatnonzero(~sent)
-    order = rest[np.lexsort((value[rest], doc[rest]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    head = np.flatnonzero(new)
-    return np.diff(firsts), known, *sums, doc[order][head], value[order][head], np.diff(np.append(head, len(order)))
-
-
-ASKS = "__key long, h array<long>, entry int, then array<float>"
+#: What a row asks for: nothing (the numbers of a text), the count of a word, an entry, a context. ``then`` is how often the
+#: word occurs, or what is added past the ask; ``more`` are the asks after it, the first in the lowest bit of ``entry``.
+TEXT, COUNT, ENTRY, SHARE = range(4)
+MORE = "struct<entry:int,h:array<long>,then:array<float>>"
+ROWS = f"__key long, h long, kind int, then float, doc struct<id:long,n_tokens:long,n_known:long,base:double,score:double>, more {MORE}"
 
 
-def _asks(sent):
-    """Rows of the tokens that ask for something outside of the head: hashes in the order of the search, which of them are
-    entries (bit by bit), and what is added past each."""
+def _score(sent):
+    """A row for each text, with what the tasks know; one for each of its words that are not sent; and one for each token
+    whose search asks for something outside of the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
@@ -294,53 +297,80 @@ def _asks(sent):
             for step in steps(batch.column(1)):
                 value, firsts = tokens(step)
                 doc = np.repeat(np.arange(step.n), np.diff(firsts))
+                single, place = found_once(tree.sent, value)
+                at = single[place]
+                known = at >= 0
+                base = np.where(known, tree.base(tree.counts[np.maximum(at, 0)]) if len(tree.sent) else 0.0, 0.0)
                 found = search(value, doc, tree)
-                some = found.asked.any(axis=1)
-                asked = found.asked[some]
-                number = np.cumsum(asked, axis=1) - 1
-                entry = (asked[:, 0::2].astype(np.int32) << number[:, 0::2].clip(0).astype(np.int32)).sum(axis=1).astype(np.int32)
-                cuts = pa.array(np.append(0, np.cumsum(asked.sum(axis=1))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.hashes[some][asked].view(np.int64), found.then[some][asked].astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[step.first + doc[some]]), lists[0], pa.array(entry), lists[1]], names=["__key", "h", "entry", "then"])
+                sums = [np.bincount(doc, x, step.n) for x in (base, base + found.known)]
+                # words that are not sent, once a text
+                rest = np.flatnonzero(~known)
+                rest = rest[np.lexsort((value[rest], doc[rest]))]
+                head = np.flatnonzero(np.append(True, (value[rest][1:] != value[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1]))[: len(rest)])
+                times = np.diff(np.append(head, len(rest)))
+                rare = rest[head]
+                # first asks, and those after them
+                open_ = np.flatnonzero(found.asked.any(axis=1))
+                asked = found.asked[open_]
+                first = asked.argmax(axis=1) if asked.size else np.zeros(0, int)
+                row = np.arange(len(open_))
+                after = asked.copy()
+                after[row, first] = False
+                number = np.maximum(np.cumsum(after, axis=1) - 1, 0).astype(np.int32)
+                entry = (after[:, 0::2].astype(np.int32) << number[:, 0::2]).sum(axis=1)
+                own = keys[step.first : step.first + step.n]
+                none = step.n + len(rare)
+                cuts = pa.array(np.concatenate([np.zeros(none + 1), np.cumsum(after.sum(axis=1))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (found.hashes[open_][after].view(np.int64), found.then[open_][after].astype(np.float32))]
+                more = pa.StructArray.from_arrays([pa.array(np.append(np.zeros(none, np.int32), entry.astype(np.int32))), *lists], names=["entry", "h", "then"], mask=pa.array(np.append(np.ones(none, bool), ~after.any(axis=1))))
+                rows = none + len(open_)
+                ids = batch.column(2).slice(step.first, step.n)
+                facts = [pa.concat_arrays([ids, pa.nulls(rows - step.n, pa.int64())])]
+                facts += [pa.array(np.append(x, np.zeros(rows - step.n, x.dtype))) for x in (np.diff(firsts), np.bincount(doc, known, step.n).astype(np.int64), *sums)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own, own[doc[rare]], own[doc[open_]]])),
+                        pa.array(np.concatenate([mix(own.view(np.uint64)), value[rare] ^ WORD, found.hashes[open_, first]]).view(np.int64)),
+                        pa.array(np.concatenate([np.full(step.n, TEXT), np.full(len(rare), COUNT), np.where(first % 2 == 0, ENTRY, SHARE)]).astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(step.n), times, found.then[open_, first]]).astype(np.float32)),
+                        pa.StructArray.from_arrays(facts, names=["id", "n_tokens", "n_known", "base", "score"], mask=pa.array(np.arange(rows) >= step.n)),
+                        more,
+                    ],
+                    names=["__key", "h", "kind", "then", "doc", "more"],
+                )
 
     return run
 
 
-def asked_scores(docs: DataFrame, shared, others: DataFrame, depth: int) -> DataFrame:
-    """Per key what is asked for outside of the head adds to the score.
-
-    Each round joins the first ask of every search that is still open, most of which end there, and writes what is left.
-    Contexts and entries outside of the head are the rarer ones, so that no hash is common.
-    """
-    rows, done = docs.mapInArrow(_asks(shared), ASKS), []
-    for _ in range(2 * depth):
-        asked = rows.withColumn("__h", F.get("h", F.lit(0))).join(others.withColumnRenamed("h", "__h"), "__h", "left")
-        is_entry, past = F.col("entry").bitwiseAND(F.lit(1)) == 1, F.get("then", F.lit(0)).cast("double")
-        value = F.when(is_entry, F.coalesce(F.col("v").cast("double"), past)).otherwise(F.coalesce(F.col("v").cast("double"), F.lit(0.0)) + past)
-        on = (F.size("h") > 1) & ~(is_entry & F.col("v").isNotNull())
-        tail = lambda c: F.when(on, F.slice(c, 2, 2 * depth)).alias(c)
-        turn = stored(asked.select("__key", value.alias("value"), tail("h"), F.shiftright("entry", 1).alias("entry"), tail("then")), "asks")
-        done.append(turn.rows.select("__key", "value"))
-        rows = turn.rows.filter(F.col("h").isNotNull()).select("__key", "h", "entry", "then")
-        if rows.isEmpty():
-            break
-        settle(docs.sparkSession)
-    return reduce(DataFrame.unionByName, done).groupBy("__key").agg(F.sum("value").alias("__asked"))
-
+def gathered(rows: DataFrame, table: DataFrame, total: int, vocabulary: int) -> DataFrame:
+    """Rows of ROWS with what they ask for joined to them and summed by key: (__key, id, n_tokens, n_known, base, score,
+    pending), pending being the asks that come next where a search goes on. What is asked for outside of the head is rare, so
+    no hash is common; the table's part for a task is small and hashed rather than sorted."""
+    joined = rows.join(table.hint("shuffle_hash"), "h", "left")
+    v, kind, then = F.col("v"), F.col("kind"), F.col("then").cast("double")
+    c = F.coalesce(v, F.lit(0.0))
+    base = F.when(kind == COUNT, then * F.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))).otherwise(0.0)
+    ask = F.when(kind == ENTRY, F.coalesce(v, then)).when(kind == SHARE, c + then).otherwise(0.0)
+    on = F.col("more").isNotNull() & ~((kind == ENTRY) & v.isNotNull())
+    of = lambda x: F.coalesce(F.col(f"doc.{x}"), F.lit(0))
+    return joined.groupBy("__key").agg(
+        F.max("doc.id").alias("id"),
+        F.sum(of("n_tokens")).alias("n_tokens"),
+        F.sum(of("n_known") + F.when((kind == COUNT) & (c > 0), then).otherwise(0).cast("long")).alias("n_known"),
+        F.sum(of("base") + base).alias("base"),
+        F.sum(of("score") + base + ask).alias("score"),
+        F.collect_list(F.when(on, F.col("more"))).alias("pending"),
+    )
 
-def _score(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            for step in steps(batch.column(1)):
-                n_tokens, known, base, score, doc, word, m = score_step(step, sent.value)
-                own = key[step.first : step.first + step.n]
-                none = np.zeros(len(doc), np.int64)
-                columns = [(own, own[doc]), (own, word.view(np.int64)), (np.zeros(step.n, np.int64), m), (n_tokens, none), (known, none), (base, none.astype(float)), (score, none.astype(float))]
-                ids = pa.concat_arrays([batch.column(2).slice(step.first, step.n), pa.nulls(len(doc), pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns] + [ids], names=["__key", "w", "m", "n_tokens", "n_known", "base", "score", "__id"])
 
-    return run
+def next_asks(rows: DataFrame) -> DataFrame:
+    """What is pending, as rows of ROWS."""
+    each = rows.select("__key", F.explode("pending").alias("p"))
+    tail = lambda x: F.slice(x, 2, 1 << 20)
+    more = F.when(F.size("p.h") > 1, F.struct(F.shiftright("p.entry", 1).alias("entry"), tail("p.h").alias("h"), tail("p.then").alias("then")))
+    kind = F.when(F.col("p.entry").bitwiseAND(F.lit(1)) == 1, ENTRY).otherwise(SHARE)
+    facts = F.lit(None).cast("struct<id:long,n_tokens:long,n_known:long,base:double,score:double>")
+    return each.select("__key", F.get("p.h", F.lit(0)).alias("h"), kind.alias("kind"), F.get("p.then", F.lit(0)).alias("then"), facts.alias("doc"), more.cast(MORE).alias("more"))
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, depth: int = DEPTH) -> DataFrame:
@@ -370,24 +400,21 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     found = states(training, counts, total, vocabulary, least_context, least_next, depth)
     tree, others = send(found, depth, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
     shared = spark.sparkContext.broadcast(tree)
-    rows = docs.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(shared), "__key long, w long, m long, n_tokens long, n_known long, base double, score double, __id long")
-    rows = rows.join(counts.filter(F.col("n") < max(1.0, SENT * total)).withColumnRenamed("n", "c"), "w", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = F.when(F.col("m") > 0, F.col("m") * F.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))).otherwise(0.0)
-    known = F.when(c > 0, F.col("m")).otherwise(0)
-    sums = rows.groupBy("__key").agg(
-        F.max("__id").alias(id_col),
-        F.sum(F.when(F.col("m") == 0, 1).otherwise(0)).alias("__rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + known).alias("n_known"),
-        F.sum(F.col("base") + rest).alias("base_score"),
-        F.sum(F.col("score") + rest).alias("score"),
-    )
+    settle(spark)
+    rare = counts.filter(F.col("n") < max(1.0, SENT * total)).select(F.col("w").bitwiseXOR(F.lit(int(WORD))).alias("h"), F.col("n").cast("double").alias("v"))
+    table = others.unionByName(rare)
+    each, times = once(docs)
+    asked = each.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(shared), ROWS)
+    sums = gathered(asked, table, total, vocabulary)
     if len(tree.other_contexts) or len(tree.other_entries):
-        more = asked_scores(docs.select("__key", "text"), shared, others, depth)
-        sums = sums.join(more, "__key", "left").withColumn("score", F.col("score") + F.coalesce("__asked", F.lit(0.0)))
-    # rows alike share a key: their sums are divided again
-    each = sums.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
-    whole = [F.expr(f"{n} div __rows").alias(n) for n in ("n_tokens", "n_known")]
-    parts = [(F.col(n) / F.col("__rows")).alias(n) for n in ("base_score", "score")]
-    return each.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), *whole, F.lit(total).cast("long").alias("train_tokens"), *parts)
+        # most searches end with their first ask; the others go on, one ask a round
+        parts = [stored(sums, "scores").rows]
+        while not (left := parts[-1].filter(F.size("pending") > 0)).isEmpty():
+            settle(spark)
+            parts.append(stored(gathered(next_asks(left), others, total, vocabulary), "scores").rows)
+        whole = reduce(DataFrame.unionByName, parts)
+        sums = whole.groupBy("__key").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    if times is not None:
+        sums = sums.join(times, "__key").withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
+    held = F.coalesce(held_out(F.col("id")), F.lit(False))
+    return sums.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

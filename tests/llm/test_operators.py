@@ -508,7 +508,7 @@ def test_contamination(spark, docs, texts, window):
     assert kept == {i for i, v in want.items() if not v[4]}
 
 
-@pytest.mark.parametrize("block_bytes", [1, 60, 400])
+@pytest.mark.parametrize("block_bytes", [1, 60, 200])
 def test_contamination_in_blocks(spark, docs, texts, monkeypatch, block_bytes):
     """Results are those of one block, and one block is alive at a time."""
     import gc
