@@ -16,8 +16,8 @@ from .textscan import LOWER, WORD_CHAR, Step, pair, steps, word_hashes, words
 
 #: Bytes of benchmark text that one broadcast holds, or a single item if that is longer; more are searched block by block.
 BLOCK_BYTES = 4_000_000
-#: Bytes of training text, in whole documents, that one suffix array covers.
-SHARD = 8 << 20
+#: Bytes of training text, in whole documents, that one suffix array covers. A task takes about 40 times as much memory for it.
+SHARD = 2 << 20
 MATCH = "array<struct<at:int,words:int,item:string>>"
 SCHEMA = f"__key long, __id long, n_words long, hits array<int>, items array<string>, matches {MATCH}"
 

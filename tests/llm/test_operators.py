@@ -534,6 +534,23 @@ def test_contamination_in_blocks(spark, docs, texts, monkeypatch, block_bytes):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
 
 
+def test_memory_of_a_scan():
+    """A batch of many documents takes the memory of a shard of it, not of the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"word{i % 997}" for i in range(20_000))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(range(80)), pa.array([text] * 80)], names=["__key", "__id", "text"])
+    tests = decontaminate.Tests([1], [" ".join(f"word{i}" for i in range(100, 120))], 10)
+    tracemalloc.start()
+    found = list(decontaminate._scanner(tests)(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.nbytes > 12_000_000 and peak < 150_000_000
+    assert {i for b in found for x in b.column("items").to_pylist() for i in x} == {"1"}
+
+
 def test_items_without_id(spark):
     """They hit, but are not listed; an id that repeats is one item."""
     docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None)], "doc_id long, text string")
