@@ -20,9 +20,11 @@ END = np.uint64(0x0E0D0E0D0E0D0E0D)
 #: Defaults of score_texts: least occurrences of a context and of a next word that it tells apart, at every size of the
 #: corpus, and words of the longest context.
 LEAST_CONTEXT, LEAST_NEXT, DEPTH = 10, 2, 3
-#: Share of all tokens of a word whose count is sent to the tasks, and contexts and entries (12 bytes each) sent to them, the
-#: most frequent ones first. The others are joined: no such bound changes a result.
-SENT, HEAD_CONTEXTS, HEAD_ENTRIES = 1e-6, 1_000_000, 4_000_000
+#: Words whose counts are sent to the tasks, and contexts and entries (12 bytes each) sent to them, the most frequent ones
+#: first. The others are joined: no such bound changes a result.
+HEAD_WORDS, HEAD_CONTEXTS, HEAD_ENTRIES = 500_000, 1_000_000, 4_000_000
+#: Texts are scored in so many parts at most, one for every 4 x HEAD_ENTRIES entries that are joined: shuffle files of a part go before the next.
+MOST_PARTS = 4
 #: 64-bit words of the filters of live grams that are sent to the tasks. They only spare rows that joins would drop.
 FILTER = 1 << 20
 DISCOUNT = 0.5
@@ -75,6 +77,32 @@ def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+class Lookup:
+    """A sorted table of hashes with the place where each run of equal highest bits starts: a search reads one or two places
+    where a binary search reads twenty."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length())
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.starts = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits), out=self.starts[1:])
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """As the function of that name."""
+        out = np.full(len(x), -1, np.int32)
+        run = (x >> self.shift).astype(np.int64)
+        at, end = self.starts[run], self.starts[run + 1]
+        left = np.flatnonzero(at < end)
+        x, at, end = x[left], at[left], end[left]
+        while len(left):
+            hit = self.table[at] == x
+            out[left[hit]] = at[hit]
+            at += 1
+            on = ~hit & (at < end)
+            left, x, at, end = left[on], x[on], at[on], end[on]
+        return out
+
+
 def live_bits(rows: DataFrame, column: str, *some) -> list[np.ndarray]:
     """Bitmaps of the lowest bits of hashes, of fixed size, one for each condition: each passes all hashes of the column in
     rows that meet its condition, and some others."""
@@ -111,8 +139,9 @@ def grams(value: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return own + k, c, short[own + 1], turned(c) ^ value[own + k]
 
 
-def _count_grams(sent):
-    """Rows (g, c, n): an entry, its context, how often it occurs."""
+def _count_grams(sent, bits: int):
+    """Rows (part, grams): the entries whose highest bits are the part, in ascending order; their contexts; how often they
+    occur. One row holds those of a batch, 20 bytes each, so that no row is made for a gram before it is known to stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, contexts, shorter = sent.value
@@ -126,8 +155,33 @@ def _count_grams(sent):
             if parts:
                 g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order, head = grouped(g)
-                n = np.diff(np.append(head, len(g)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[order[head]].view(np.int64)) for x in (g, c)), pa.array(n)], names=["g", "c", "n"])
+                n = np.diff(np.append(head, len(g))).astype(np.uint32)
+                g, c = g[order[head]], c[order[head]]
+                part = (g >> np.uint64(64 - bits)).astype(np.int32)
+                cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+                rows = [g[a:b].tobytes() + c[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(rows, pa.binary())], names=["part", "grams"])
+
+    return run
+
+
+def _sum_grams(least_next: int):
+    """Rows (g, c, n) of a part: an entry, its context, how often it occurs if that is ``least_next`` times at least."""
+
+    def run(part: pa.Table) -> pa.Table:
+        g, c, n = [], [], []
+        for row in part.column("grams").to_pylist():
+            size = len(row) // 20
+            for out, kind, at in ((g, np.uint64, 0), (c, np.uint64, 8 * size), (n, np.uint32, 16 * size)):
+                out.append(np.frombuffer(row, kind, size, at))
+        g, c, n = (np.concatenate(x) for x in (g, c, n))
+        order = np.argsort(g)
+        g = g[order]
+        head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        n = np.add.reduceat(n[order].astype(np.int64), head)
+        often = n >= least_next
+        head = head[often]
+        return pa.table({"g": pa.array(g[head].view(np.int64)), "c": pa.array(c[order[head]].view(np.int64)), "n": pa.array(n[often])})
 
     return run
 
@@ -135,8 +189,12 @@ def _count_grams(sent):
 class States(NamedTuple):
     """Written tables of kept contexts (c, nc, loglam) and their entries (g, n, gain), one of each per order."""
 
-    contexts: list[DataFrame]
-    entries: list[DataFrame]
+    contexts: list[Stored]
+    entries: list[Stored]
+
+    def remove(self) -> None:
+        for part in (*self.contexts, *self.entries):
+            part.remove()
 
 
 def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, depth: int = DEPTH) -> States:
@@ -149,12 +207,15 @@ def states(training: DataFrame, words: DataFrame, total: int, vocabulary: int, l
     """
     share = (F.col("n") + 0.1) / (total + 0.1 * (vocabulary + 1))
     below = stored(words.filter(F.col("n") >= least_next).select(F.col("w").alias("g"), F.lit(0).cast("long").alias("s"), "n", share.alias("p"), F.log10(share).cast("float").alias("b")), "words")
-    out, words_only = States([], []), below
+    out = States([], [])
     for k in range(1, depth + 1):
-        kept, below = _order(training, below.rows, k, least_context, least_next)
-        out.contexts.append(kept.rows)
-        out.entries.append(below.rows.filter("kept").select("g", "n", (F.log10("p") - F.col("b")).alias("gain")))
-    words_only.remove()
+        kept, after = _order(training, below.rows, k, least_context, least_next)
+        out.contexts.append(kept)
+        # of the order below only its entries are needed from here on
+        below.remove()
+        out.entries.append(stored(after.rows.filter("kept").select("g", "n", (F.log10("p") - F.col("b")).cast("float").alias("gain")), "entries"))
+        below = after
+    below.remove()
     return out
 
 
@@ -164,8 +225,9 @@ def _order(training: DataFrame, below: DataFrame, k: int, least_context: int, le
     spark = training.sparkSession
     often = below.filter(F.col("n") >= least_context)
     shared = spark.sparkContext.broadcast((k, *live_bits(below, "g", F.col("n") >= least_context, F.lit(True))))
-    rows = training.mapInArrow(_count_grams(shared), "g long, c long, n long").groupBy("c", "g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_next)
-    counted = stored(rows, "grams")
+    bits = (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    parts = training.mapInArrow(_count_grams(shared, bits), "part int, grams binary")
+    counted = stored(parts.groupBy("part").applyInArrow(_sum_grams(least_next), "g long, c long, n long"), "grams")
     shared.destroy()
     settle(spark)
     turn = lambda x: F.shiftleft(x, 17).bitwiseOR(F.shiftrightunsigned(x, 47))
@@ -199,27 +261,30 @@ def _least(rows: DataFrame, count: str, room: int) -> int:
     return 0
 
 
-def _table(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.select(key, F.col(value).cast("float")).toArrow()
+def _table(rows: DataFrame, key: str, value: str, kind: str = "float") -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select(key, F.col(value).cast(kind)).toArrow()
     hashes = found[key].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], found[value].to_numpy().astype(np.float32)[order]
+    return hashes[order], found[value].to_numpy().astype("f4" if kind == "float" else "f8")[order]
 
 
-def send(found: States, depth: int, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, DataFrame]:
-    """The tree with the most frequent contexts and entries, and a table (h, v) of the others' values, contexts marked."""
+def send(found: States, depth: int, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray) -> tuple[Tree, Stored]:
+    """The tree with the most frequent contexts and entries, and a written table (h, v) of the others' values, contexts
+    marked. The states are removed."""
     parts, others, filters = [], [], []
     for tables, key, count, value, room, mark in ((found.contexts, "c", "nc", "loglam", HEAD_CONTEXTS, int(CONTEXT)), (found.entries, "g", "n", "gain", HEAD_ENTRIES, 0)):
-        rows = reduce(DataFrame.unionByName, tables)
+        rows = reduce(DataFrame.unionByName, [t.rows for t in tables])
         least = _least(rows, count, room)
         parts += _table(rows.filter(F.col(count) >= least), key, value)
         rest = rows.filter(F.col(count) < least)
-        others.append(rest.select(F.col(key).bitwiseXOR(F.lit(mark)).alias("h"), F.col(value).cast("double").alias("v")))
+        others.append(rest.select(F.col(key).bitwiseXOR(F.lit(mark)).alias("h"), F.col(value).cast("float").alias("v")))
         filters += live_bits(rest, key, F.lit(True)) if least else [np.zeros(0, np.uint64)]
     bits = np.zeros(64 * FILTER, bool)
     bits[parts[0] & np.uint64(64 * FILTER - 1)] = True
     near = np.packbits(bits, bitorder="little").view(np.uint64)
-    return Tree(depth, total, vocabulary, sent, counts, *parts, near, *filters), others[0].unionByName(others[1])
+    outside = stored(others[0].unionByName(others[1]), "others")
+    found.remove()
+    return Tree(depth, total, vocabulary, sent, counts, *parts, near, *filters), outside
 
 
 def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, counts: np.ndarray, **limits) -> Tree:
@@ -228,12 +293,12 @@ def grow(training: DataFrame, total: int, vocabulary: int, sent: np.ndarray, cou
     return send(states(training, words, total, vocabulary, **limits), limits.get("depth", DEPTH), total, vocabulary, sent, counts)[0]
 
 
-def found_once(table: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a sorted table of the distinct values, -1 where absent, and the number of each value among them."""
+def found_once(look, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that ``look`` finds of the distinct values, -1 where absent, and the number of each value among them."""
     order, head = grouped(value)
     number = np.empty(len(value), np.int64)
     number[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(value))))
-    return find(table, value[order[head]]), number
+    return look(value[order[head]]), number
 
 
 class Searches(NamedTuple):
@@ -247,9 +312,10 @@ class Searches(NamedTuple):
     then: np.ndarray  #: tokens x asks
 
 
-def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
+def search(value: np.ndarray, doc: np.ndarray, tree: Tree, contexts: Lookup | None = None, entries: Lookup | None = None) -> Searches:
+    contexts, entries = contexts or Lookup(tree.contexts), entries or Lookup(tree.keys)
     n, outside = len(value), len(tree.other_contexts) + len(tree.other_entries) > 0
-    single, number = found_once(tree.contexts, value)
+    single, number = found_once(contexts.find, value)
     asks = 2 * tree.depth if outside else 0
     asked, hashes, adds = np.zeros((n, asks), bool), np.zeros((n, asks), np.uint64), np.zeros((n, asks + 1))
     live, last = np.ones(n, bool), np.zeros(n, np.int64)
@@ -261,11 +327,11 @@ def search(value: np.ndarray, doc: np.ndarray, tree: Tree) -> Searches:
             node = single[number[at - 1]]
         else:
             node, some = np.full(len(c), -1), passes(tree.near, c)
-            node[some] = find(tree.contexts, c[some])
+            node[some] = contexts.find(c[some])
         # entries stand under kept contexts only
         may = (node >= 0) | passes(tree.other_contexts, c)
         at, c, g, node = at[may], c[may], g[may], node[may]
-        key = find(tree.keys, g)
+        key = entries.find(g)
         hit = key >= 0
         adds[at[hit], last[at[hit]]] += tree.gain[key[hit]]
         live[at[hit]] = False
@@ -292,16 +358,17 @@ def _score(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = sent.value
+        contexts, entries = Lookup(tree.contexts), Lookup(tree.keys)
         for batch in batches:
             keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for step in steps(batch.column(1)):
                 value, firsts = tokens(step)
                 doc = np.repeat(np.arange(step.n), np.diff(firsts))
-                single, place = found_once(tree.sent, value)
+                single, place = found_once(lambda x: find(tree.sent, x), value)
                 at = single[place]
                 known = at >= 0
                 base = np.where(known, tree.base(tree.counts[np.maximum(at, 0)]) if len(tree.sent) else 0.0, 0.0)
-                found = search(value, doc, tree)
+                found = search(value, doc, tree, contexts, entries)
                 sums = [np.bincount(doc, x, step.n) for x in (base, base + found.known)]
                 # words that are not sent, once a text
                 rest = np.flatnonzero(~known)
@@ -394,26 +461,31 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     counts = stored(training.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words").rows
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, vocabulary = int(sums["n"] or 0), int(sums["v"])
-    frequent: pd.DataFrame = counts.filter(F.col("n") >= max(1.0, SENT * total)).toPandas()
-    hashes = frequent["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    found = states(training, counts, total, vocabulary, least_context, least_next, depth)
-    tree, others = send(found, depth, total, vocabulary, hashes[order], frequent["n"].to_numpy(float)[order])
+    least = _least(counts, "n", HEAD_WORDS)
+    hashes, often = _table(counts.filter(F.col("n") >= least), "w", "n", "double")
+    tree, outside = send(states(training, counts, total, vocabulary, least_context, least_next, depth), depth, total, vocabulary, hashes, often)
+    others = outside.rows
     shared = spark.sparkContext.broadcast(tree)
     settle(spark)
-    rare = counts.filter(F.col("n") < max(1.0, SENT * total)).select(F.col("w").bitwiseXOR(F.lit(int(WORD))).alias("h"), F.col("n").cast("double").alias("v"))
+    rare = counts.filter(F.col("n") < least).select(F.col("w").bitwiseXOR(F.lit(int(WORD))).alias("h"), F.col("n").cast("double").alias("v"))
     table = others.unionByName(rare)
     each, times = once(docs)
-    asked = each.select("__key", "text", F.col("__id").cast("long").alias("__id")).mapInArrow(_score(shared), ROWS)
-    sums = gathered(asked, table, total, vocabulary)
+    asked = each.select("__key", "text", F.col("__id").cast("long").alias("__id"))
+    ask = lambda rows: gathered(rows.mapInArrow(_score(shared), ROWS), table, total, vocabulary)
     if len(tree.other_contexts) or len(tree.other_entries):
         # most searches end with their first ask; the others go on, one ask a round
-        parts = [stored(sums, "scores").rows]
-        while not (left := parts[-1].filter(F.size("pending") > 0)).isEmpty():
+        n = min(MOST_PARTS, 1 + others.count() // max(1, 4 * HEAD_ENTRIES))
+        parts = []
+        for i in range(n):
+            parts.append(stored(ask(asked if n == 1 else asked.filter(F.pmod(F.xxhash64("__key"), F.lit(n)) == i)), "scores").rows)
+            while not (left := parts[-1].filter(F.size("pending") > 0)).isEmpty():
+                settle(spark)
+                parts.append(stored(gathered(next_asks(left), others, total, vocabulary), "scores").rows)
             settle(spark)
-            parts.append(stored(gathered(next_asks(left), others, total, vocabulary), "scores").rows)
         whole = reduce(DataFrame.unionByName, parts)
         sums = whole.groupBy("__key").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    else:
+        sums = ask(asked)
     if times is not None:
         sums = sums.join(times, "__key").withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int"))))
     held = F.coalesce(held_out(F.col("id")), F.lit(False))

@@ -370,6 +370,32 @@ def test_suffix_tree_outside_of_the_head(docs, texts, monkeypatch, contexts, ent
     assert got.keys() == want.keys() and all(got[i][0] == pytest.approx(want[i], rel=1e-5, abs=1e-4) for i in want)
 
 
+def test_suffix_tree_removes_its_states(spark, docs, monkeypatch):
+    """When texts are scored, what the states were made from is gone, and what was sent of them too."""
+    import os
+    from urllib.parse import urlparse
+
+    from codeloom.llm.common import checkpoint_folder
+
+    checkpoint_folder(spark)
+    folder = urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(suffix_tree, "HEAD_ENTRIES", 200)
+    assert suffix_tree.score_texts(docs, lambda i: queries.remainder(i, 10) == 0, least_context=3).count() == docs.count()
+    left = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert "scores" in left and not left & {"grams", "contexts", "entries"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_lookups_equal_binary_searches(n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    table = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), np.arange(n // 3, dtype=np.uint64)]))
+    asked = np.concatenate([table, table + np.uint64(1), rng.integers(0, 1 << 63, 100, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert suffix_tree.Lookup(table).find(asked).tolist() == suffix_tree.find(table, asked).tolist()
+
+
 # ---- lines
 
 def test_lines(docs, texts):
