@@ -123,3 +123,19 @@ def test_columns(spark):
     assert got["ui/board.tsx"] == "tsx" and got["tools/load.cjs"] == "javascript" and got["a.d.ts"] is None and got["docs/harbour.md"] is None
     p = {r["path"]: r["p"] for r in df.select("path", parsed(F.col("content"), F.col("language")).alias("p")).collect()}
     assert p["n.ts"] is None and p["docs/harbour.md"] is None and len(p["app/vessel.ts"]["symbols"]) == 6
+
+
+def test_a_token_is_read_once(monkeypatch):
+    """Looking ahead does not read a token again, and a slash is told from a regular expression by what stands before it."""
+    from collections import Counter
+
+    from codeloom.operators import lexer
+
+    seen, read = Counter(), lexer.Lexer._read
+    monkeypatch.setattr(lexer.Lexer, "_read", lambda self: seen.update([self.pos]) or read(self))
+    text = "".join(f"const f{i} = async (n: number, m?: string): Promise<Array<number>> => {{\n  return (n) => g{i}(n, `#${{n}}`);\n}};\n" for i in range(20))
+    found = parse_source(text, "typescript")
+    assert len(found["symbols"]) == 21 and len(found["calls"]) == 20
+    assert set(seen.values()) == {1}
+    calls = parse_source("const a = b / c(1) / d(2);\nconst e = f(/g(3)/);\n", "typescript")["calls"]
+    assert [c["callee"] for c in calls] == ["c", "d", "f"]
