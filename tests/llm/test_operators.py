@@ -386,6 +386,47 @@ def test_suffix_tree_removes_its_states(spark, docs, monkeypatch):
     assert "scores" in left and not left & {"grams", "contexts", "entries"}
 
 
+@pytest.mark.parametrize(("heavy", "room", "words"), [(1 << 20, 1 << 20, 30), (50, 1 << 20, 10**6), (1 << 20, 40, 10**6), (50, 40, 30), (20, 300, 0), (1, 1 << 20, 100)])
+def test_suffix_tree_deals_tokens(docs, texts, monkeypatch, heavy, room, words):
+    """Scores don't depend on how many parts the tokens after a word are dealt to, on how many are in memory, and on which words
+    are sent to the tasks."""
+    for name, value in (("HEAVY", heavy), ("ROOM", room), ("HEAD_WORDS", words)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = {r["doc_id"]: r for r in suffix_tree.score_texts(docs, lambda i: queries.remainder(i, 10) == 0, least_context=3).collect()}
+    want = brute.suffix_scores(texts, 3, 2, 3)
+    for i, (held, n, known, total, base) in brute.unigram(texts).items():
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
+        assert r["base_score"] == pytest.approx(base, abs=1e-6)
+        assert r["score"] == pytest.approx(want[i], rel=1e-5, abs=1e-4), i
+
+
+def test_suffix_tree_sends_blocks_of_tokens(spark, monkeypatch, tmp_path):
+    """No row is made for a token, however much of the tree is outside of what is sent to the tasks."""
+    import random
+
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(4000)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
+    for name in ("HEAD_WORDS", "HEAD_CONTEXTS", "HEAD_ENTRIES"):
+        monkeypatch.setattr(suffix_tree, name, 0)
+    plain = type(df).mapInArrow
+
+    def counted(self, run, schema, *rest):
+        def each(batches):
+            import uuid
+
+            for batch in run(batches):
+                (tmp_path / f"{batch.num_rows}-{uuid.uuid4().hex}").touch()
+                yield batch
+
+        return plain(self, each, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    assert suffix_tree.score_texts(df, lambda i: i % 10 == 0).count() == 20
+    assert sum(int(x.name.split("-")[0]) for x in tmp_path.iterdir()) < 2000  # of 80,020 tokens
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 3000])
 def test_lookups_equal_binary_searches(n):
     import numpy as np
