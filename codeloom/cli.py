@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None, senders: dict | None = None) -> int:
         index = review.index_files(files, parses)
         if a.parse_cache:
             index.new_parses.write.mode("append").parquet(a.parse_cache)
-        g = link.link(index.parses.select(*review.GRAPH, "path", "parse"))
+        g = link.kept(link.link(index.parses.select(*review.GRAPH, "path", "parse")))
         text = "\n".join(r["report"] for r in review.report(index, g).collect())
     else:
         config = settings.preset(a.strategy, a.provider, a.model)

@@ -648,7 +648,7 @@ def q_index_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import review
 
     run = review.index_files(_sources(spark, sf_dir))
-    g = link.link(link.checkpoint(run.parses.select(*review.GRAPH, "path", "parse")), review.GRAPH)
+    g = link.link(run.parses.select(*review.GRAPH, "path", "parse"), review.GRAPH)
     return g.stats.select("repo_id", "files", "symbols", "calls_total", "calls_resolved", "imports_total", "imports_resolved", "imports_external", "edges_calls", "edges_imports")
 
 
@@ -671,6 +671,6 @@ def q_index_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import review
 
     run = review.index_files(_sources(spark, sf_dir, 1000, 7))
-    g = link.link(link.checkpoint(run.parses.select(*review.GRAPH, "path", "parse")), review.GRAPH)
+    g = link.link(run.parses.select(*review.GRAPH, "path", "parse"), review.GRAPH)
     return g.stats.select("files", "symbols", "edges_calls", "edges_imports")
 

@@ -15,7 +15,7 @@ from ..functions.scrub import redaction_totals, scrubbed
 from ..functions.text import omitted_note, review_body, template_column, trim
 from ..operators import comments as c
 from ..operators import context, diff, extract, graph, link, model_calls, ranges
-from ..operators.iterate import checkpoint
+from ..operators.iterate import checkpoint, stored
 from ..sources.settings import Prompt, Strategy, load_prompt
 
 PROMPTS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "prompts")
@@ -32,22 +32,28 @@ class IndexRun(NamedTuple):
 def index_files(files: DataFrame, cache: DataFrame | None = None, keys: list[str] | None = None) -> IndexRun:
     """Parses the indexable files of snapshots (keys, path, blob_sha, size, content).
 
-    A blob is parsed once under the parser's version: keys that the cache has are joined to it, and of the rest each
-    distinct key is read by one task. Missing or too large contents are left out and counted.
+    A blob is parsed once under the parser's version: keys that the cache has are joined to it, and rows of the other keys
+    meet in one task, key by key, where the first is read and the rest take its parse. Missing or too large contents are left
+    out and counted.
     """
     keys = keys or GRAPH
     listed = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files_listed"))
     own = files.filter(context.is_indexable(F.col("path"), F.col("size"))).withColumn("language", extract.language_of(F.col("path")))
-    own = own.withColumn("key", parse_cache_key(F.col("language"), F.col("blob_sha")))
-    hits = own.join(cache.select("key", F.col("parse").alias("__old")), "key", "left") if cache is not None else own.withColumn("__old", F.lit(None).cast(extract.PARSE))
-    units = F.char_length("content")
-    readable = F.col("content").isNotNull() & (units <= context.MAX_INDEXED)
-    hits = hits.withColumn("state", F.when(F.col("__old").isNotNull(), "cached").when(readable, "parsed").otherwise("unreadable"))
-    todo = hits.filter("state = 'parsed'").select("key", "language", "content").dropDuplicates(["key"])
-    fresh = checkpoint(todo.select("key", extract.parsed(F.col("content"), F.col("language")).alias("parse")))
-    done = hits.filter("state <> 'unreadable'").drop("content").join(fresh.withColumnRenamed("parse", "__new"), "key", "left")
-    parses = done.select(*keys, "path", "language", "blob_sha", F.coalesce("__old", "__new").alias("parse"))
-    counts = hits.groupBy(*keys).agg(
+    own = own.withColumn("key", parse_cache_key(F.col("language"), F.col("blob_sha"))).select(*keys, "path", "language", "blob_sha", "key", "content")
+    cached = None
+    if cache is not None:
+        known = cache.filter("parse is not null")
+        cached = own.drop("content").join(known.select("key", "parse"), "key")
+        own = own.join(known.select("key"), "key", "left_anti")
+    readable = F.col("content").isNotNull() & (F.char_length("content") <= context.MAX_INDEXED)
+    own = own.withColumn("content", F.when(readable, F.col("content"))).repartition("key").sortWithinPartitions("key")
+    rows = own.select(*keys, "path", "language", "blob_sha", "key", F.when(F.col("content").isNull(), "unreadable").otherwise("parsed").alias("state"), extract.parsed(F.col("content"), F.col("language")).alias("parse"))
+    if cached is not None:
+        rows = rows.unionByName(cached.withColumn("state", F.lit("cached")))
+    rows = stored(rows, "parses")
+    parses = rows.filter("state <> 'unreadable'").select(*keys, "path", "language", "blob_sha", "parse")
+    fresh = rows.filter("state = 'parsed'").select("key", "parse").dropDuplicates(["key"])
+    counts = rows.groupBy(*keys).agg(
         F.count_if(F.col("state") != "unreadable").alias("files_indexed"),
         F.count_if(F.col("state") == "parsed").alias("parsed"),
         F.count_if(F.col("state") == "cached").alias("from_cache"),
@@ -125,7 +131,7 @@ def _symbols(changes, files, read, found, pieces, stats, heads, config, parses):
     """The symbol sections of each review, from what its diffs left of the budget."""
     needed = changes.select(*GRAPH).distinct()
     index = index_files(files.join(needed, GRAPH, "left_semi"), parses)
-    g = link.link(checkpoint(index.parses.select(*GRAPH, "path", "parse")), GRAPH)
+    g = link.kept(link.link(index.parses.select(*GRAPH, "path", "parse"), GRAPH))
     included = pieces.filter("taken and kind = 'diff'").select(*KEYS, F.col("path").alias("new_path"))
     lines = diff.diff_lines(found.join(included, [*KEYS, "new_path"], "left_semi"), tuple(KEYS))
     changed = checkpoint(ranges.changed_symbols(lines, g.symbols, KEYS, GRAPH))

@@ -103,7 +103,7 @@ def index_batch(jobs: DataFrame, files: DataFrame, tables: dict[str, DataFrame],
     repos = last.join(repositories.select("id", F.col("github_repo_id").alias("repository_id")), "repository_id").select(F.col("id").alias("own"), F.col("repository_id").alias("repo_id"), "sha")
     mine = files.join(repos, ["repo_id", "sha"]).withColumn("repo_id", F.col("own")).drop("own")
     run = review.index_files(mine, parses)
-    g = link.link(checkpoint(run.parses.select(*review.GRAPH, "path", "parse")), review.GRAPH)
+    g = link.kept(link.link(run.parses.select(*review.GRAPH, "path", "parse"), review.GRAPH))
     now = run.parses.select("repo_id", "path", "language", F.col("blob_sha").alias("blob_hash"))
     index = store.persist_index(tables["files"], tables["symbols"], tables["edges"], repos.select(F.col("own").alias("repo_id")), now, g.symbols, g.edges)
     after |= {"files": checkpoint(index.files), "symbols": checkpoint(index.symbols), "edges": checkpoint(index.edges)}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import extract, lexer
 from codeloom.operators.extract import language_of, parse_source, parsed
 
 from .samples import FILES
@@ -139,3 +140,32 @@ def test_a_token_is_read_once(monkeypatch):
     assert set(seen.values()) == {1}
     calls = parse_source("const a = b / c(1) / d(2);\nconst e = f(/g(3)/);\n", "typescript")["calls"]
     assert [c["callee"] for c in calls] == ["c", "d", "f"]
+
+
+def test_statements_in_common_are_read_once(monkeypatch):
+    """A new version of a file reads the statement that changed; what it gives is what a reader without memory gives."""
+    text = FILES["app/ferries/ferry.ts"]
+    monkeypatch.setattr(extract, "_memory", extract._Memory())
+    parse_source(text, "typescript")
+    tokens = []
+    monkeypatch.setattr(lexer.Lexer, "_read", lambda self, read=lexer.Lexer._read: tokens.append(1) or read(self))
+    again = parse_source("// moved\nconst added = go(1);\n" + text, "typescript")
+    statements = len(extract._memory.kept)
+    known = len(tokens)
+    monkeypatch.setattr(extract, "_memory", extract._Memory())
+    assert again == parse_source("// moved\nconst added = go(1);\n" + text, "typescript")
+    assert statements > 1 and known * 3 < len(tokens) - known
+
+
+def test_memory_changes_no_result(monkeypatch):
+    """Texts cut, joined and broken at many places, each read after the others and alone."""
+    pieces = [FILES["app/clock.ts"], FILES["ui/board.tsx"], FILES["tools/load.cjs"], "const r = a / b\n/c/.test(d)\n", "f()\n", "(g)\n", "type A<B> = B extends C ? D : E\n", "let t = `x${y(1)}`;", "/* open", "1e", "+2;", "'s", "async", " function h() {}", "\n<T>(u)"]
+    kept = extract._Memory()
+    for i in range(400):
+        text = "".join(pieces[(i * k + k * k) % len(pieces)][(i * 7) % 40 * (k % 2) :] for k in range(1, 6))
+        text = text[: len(text) - (i * 13) % 90]
+        for language in ("typescript", "tsx", "javascript"):
+            monkeypatch.setattr(extract, "_memory", extract._Memory())
+            plain = parse_source(text, language)
+            monkeypatch.setattr(extract, "_memory", kept)
+            assert parse_source(text, language) == plain == parse_source(text, language), (text, language)

@@ -248,3 +248,19 @@ def test_report(spark, sample):
     g, run = sample
     said = json.loads(review.report(run, g).first()["report"])
     assert said["files_indexed"] == 6 and said["symbol_kinds"]["class"] == 3 and said["most_called"][0] == "app/clock.ts:minutes (4 callers)"
+
+
+def test_modules_by_the_bases_of_files(spark):
+    """A file tells each base that an import may find it by, in the order that an import tries, and few of them."""
+    swaps = [(old, new) for old, news in link.STANDS_FOR.items() for new in news]
+    tried = [*link.TRIED, *[f"/index{e}" for e in link.TRIED]]
+
+    def forward(base):
+        swapped = [base[: -len(old)] + new for old, new in swaps if base.endswith(old) and base[: -len(old)] not in ("",) and base[-len(old) - 1] != "/"]
+        return [base, *swapped, *[base + t for t in tried]]
+
+    paths = ["a/b.ts", "a/b.tsx", "a/b.js", "a/b.mts", "a/b/index.ts", "a/b/index.js", "a/.ts", ".ts", "index.ts", "./index.ts", "a/b.d.ts", "a/b.json", "a/b"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", F.inline(link.reached_from(F.col("path")))).collect()
+    assert max(sum(r["path"] == p for r in rows) for p in paths) <= 5
+    for base in ["a/b", "a/b.js", "a/b.jsx", "a/b.mjs", "a/", "a/.js", ".js", ".", "a/b.ts", "a/b/index", "a/b.d.js", "a/b.d"]:
+        assert [r["path"] for r in sorted((r for r in rows if r["base"] == base), key=lambda r: r["rank"])] == [p for p in forward(base) if p in paths], base
